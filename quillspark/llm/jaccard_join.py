@@ -47,22 +47,27 @@ def _class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
-def _prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, salt: int) -> np.ndarray:
-    """The tokens of which one at least is shared by any set that is similar enough: n - ceil(t n) + 1, in the order of the salt."""
+def _prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, extra: int, salt: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 + extra % of n tokens in the order of the salt: frequent ones last, the others permuted.
+
+    Of two sets with t of their union in common, the prefixes share 1 + extra % of the smaller size tokens at least.
+    """
     if not len(tokens):
         return tokens
-    length = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    length = len(tokens) + 1 + extra * len(tokens) // 100 - -(-percent * len(tokens) // 100)
     values, ranks = frequent
-    place = np.searchsorted(values, tokens)
-    place[place == len(values)] = 0
-    common = values[place] == tokens if len(values) else np.zeros(len(tokens), dtype=bool)
+    common = np.zeros(len(tokens), dtype=bool)
+    if len(values):
+        place = np.searchsorted(values, tokens)
+        place[place == len(values)] = 0
+        common = values[place] == tokens
     rare = tokens[~common]
     if salt:
         rare = rare[np.argsort(mix64(rare, salt))]
     if len(rare) >= length:
         return rare[:length]
     late = tokens[common]
-    late = late[np.lexsort((mix64(late, salt), ranks[place[common]]))]
+    late = late[np.lexsort((mix64(late, salt), ranks[place[common]]))] if len(late) else late
     return np.concatenate([rare, late[: length - len(rare)]])
 
 
@@ -106,60 +111,116 @@ def _scan(k: int):
     return scan
 
 
-def _emit_prefixes(k: int, percent: int, frequent):
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32())])
+def _emit_prefixes(k: int, percent: int, extra: int, frequent):
+    """The prefix tokens of each class under the first order, once for each task that meets the class."""
+    schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = frequent.value, set()
+        seen: set[int] = set()
         for part in text_slices(batches, "text"):
-            tokens, classes, sizes = [np.empty(0, np.uint64)], [], []
+            tokens, classes = [np.empty(0, np.uint64)], []
             for s in shingle_sets(part.column("text"), k):
                 c = _class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    tokens.append(_prefix(s, order, percent, ORDERS[0]))
+                    tokens.append(_prefix(s, frequent.value, percent, extra, ORDERS[0]))
                     classes.append(c)
-                    sizes.append(len(s))
-            repeats = [len(t) for t in tokens[1:]]
-            yield _rows(schema, np.concatenate(tokens).view(np.int64), np.repeat(np.array(classes, np.int64), repeats), np.repeat(np.array(sizes, np.int32), repeats))
+            every = np.concatenate(tokens).view(np.int64)
+            yield _rows(schema, np.zeros(len(every), np.int64), every, np.repeat(np.array(classes, np.int64), [len(t) for t in tokens[1:]]))
+
+    return emit
+
+
+def _emit_again(percent: int, extra: int, frequent, salt: int):
+    """The prefix tokens of saved sets under another order, within the group of the orders before."""
+    schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "tokens"):
+            found = [_prefix(np.frombuffer(t, np.uint64), frequent.value, percent, extra, salt) for t in part.column("tokens").to_pylist()]
+            repeats = [len(t) for t in found]
+            yield _rows(
+                schema,
+                np.repeat(part.column("group").to_numpy(), repeats),
+                np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64),
+                np.repeat(part.column("class").to_numpy(), repeats),
+            )
 
     return emit
 
 
 def _emit_sets(k: int):
-    schema = pa.schema([("class", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             sets = shingle_sets(part.column("text"), k)
-            yield _rows(schema, [_class_of(s) for s in sets], [s.tobytes() for s in sets])
+            yield _rows(schema, [_class_of(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
 
     return emit
 
 
-def _verify(percent: int, frequent):
-    """Pairs that share prefix tokens under every further order, and then enough tokens in all."""
+def _links_in_blocks(percent: int):
+    """Exact links among the classes of two blocks of a group; of those, a forest that joins what the links join."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = frequent.value
-        for batch in batches:
-            found = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_tokens", "b_tokens"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                if not all(np.isin(_prefix(x, order, percent, s), _prefix(y, order, percent, s)).any() for s in ORDERS[1:]):
-                    continue
-                both = int(np.isin(x, y, assume_unique=True).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append((a, b))
-            yield _rows(schema, [p[0] for p in found], [p[1] for p in found])
-
-    return verify
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+    def find(table: pa.Table) -> pa.Table:
+        ids = table.column("class").to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(column)[column] > 1
+        column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            lo, hi = np.searchsorted(column, (start, start + 8192))
+            dense = np.zeros((len(sets), 8192), dtype=np.float32)
+            dense[row[lo:hi], column[lo:hi] - start] = 1
+            both += dense @ dense.T  # counts below 2 ** 24 are exact
+        both = both.astype(np.int64)
+        x, y = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+        top = list(range(len(sets)))
+
+        def find_top(i: int) -> int:
+            while top[i] != i:
+                top[i] = i = top[top[i]]
+            return i
+
+        forest = []
+        for i, j in zip(x.tolist(), y.tolist()):
+            i, j = find_top(i), find_top(j)
+            if i != j:
+                top[j] = i
+                forest.append((ids[i], ids[j]))
+        return pa.Table.from_batches([_rows(schema, [p[0] for p in forest], [p[1] for p in forest])])
+
+    return find
+
+
+def _groups(prefixes: DataFrame, sizes: DataFrame, percent: int, extra: int) -> DataFrame:
+    """(class, group): classes that may be similar share a group; others have none.
+
+    prefixes: (group, token, class); sizes: (class, size). A class must share the needed number of prefix tokens with
+    others; who does not is dropped, twice, as each drop may leave others without partners. What is left is
+    connected over each token's smallest class.
+    """
+    dealt = prefixes.repartition("group", "token")
+    listed = dealt.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    lists = saved(dealt.join(listed.select("group", "token").hint("shuffle_hash"), ["group", "token"]).distinct(), "lists")
+    least = 1 + F.floor(extra * F.floor(percent * F.col("size") / 100) / 100)
+    for _ in range(2):
+        counted = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= least)
+        left = lists.join(counted.select("class"), "class")
+        lists = saved(left.join(left.groupBy("group", "token").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["group", "token"]), "lists")
+    hubs = lists.groupBy("group", "token").agg(F.min("class").alias("a"))
+    edges = lists.join(hubs, ["group", "token"]).select("a", F.col("class").alias("b")).where("a <> b").distinct()
+    return components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, extra: int = 5, max_frequent: int = MAX_FREQUENT, block: int = 256) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their k-word shingle sets of percent or more.
 
     docs needs doc_id and text; other columns are ignored. Returns one row per row of docs: doc_id, n_shingles
@@ -169,11 +230,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     fewer than k words are one shingle. Repeated rows give repeated results. A row whose doc_id is null takes part,
     and its component_id is null only where no other member has an id. An empty table gives an empty result.
 
-    How: texts with equal sets form one class, so copies are never paired. A class sends its prefix under the first
-    order to a join on tokens. Each token's classes are held against the smallest and the largest of them only;
-    links found so merge the groups, and a second round compares just those members of a token's list that are
-    still in different components, so no link between components is missed. Before a pair is verified exactly it
-    must pass the prefix filters of the other orders.
+    How: texts with equal sets form one class, so copies are never paired. Classes that share enough tokens of their
+    prefixes under the first order fall into groups; the prefixes under each further order split these groups, so a
+    pair must pass the filters of all orders. Within a last group all pairs are verified exactly, in tasks of two
+    blocks of classes each, and every task returns no more links than it has classes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,37 +246,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     by_value = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[by_value], np.arange(len(values))[by_value]))
 
-    prefixes = texts.mapInArrow(_emit_prefixes(k, percent, frequent), "token long, class long, size int").repartition("token")
-    hubs = prefixes.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    lists = saved(prefixes.join(hubs.hint("shuffle_hash"), "token"), "lists")
-
-    to_hub = lists.select("class", F.explode(F.array("low", "high")).alias("hub")).where("class <> hub")
-    pairs = saved(to_hub.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct(), "pairs")
-
-    firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-        sets = keyed.join(needed.select("row_key").distinct(), "row_key", "left_semi").select("text")
-        sets = sets.mapInArrow(_emit_sets(k), "class long, tokens binary").dropDuplicates(["class"])
-        sets = saved(sets, "sets")
-        one, two = (sets.select(F.col("class").alias(s), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
-        return saved(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(percent, frequent), "a long, b long"), "links")
-
-    links = verified(pairs)
-    joined = components(links)
-    now = lists.join(joined.withColumnRenamed("node", "class"), "class", "left")
-    now = now.select("token", "class", "size", F.coalesce("component", "class").alias("component"))
-    apart = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    apart = now.join(apart, "token")
-    one = apart.select("token", F.col("class").alias("a"), F.col("size").alias("m"), F.col("component").alias("x"))
-    two = apart.select("token", F.col("class").alias("b"), F.col("size").alias("n"), F.col("component").alias("y"))
-    fits = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & (100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
-    rest = saved(one.join(two, "token").where(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verified(rest)
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+    columns = "group long, token long, class long"
+    firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"))
+    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, extra, frequent), columns), firsts.select("class", "size"), percent, extra)
+    wanted = firsts.join(groups, "class").select("row_key")
+    chosen = keyed.join(wanted.distinct(), "row_key", "left_semi").select("text")
+    sets = saved(chosen.mapInArrow(_emit_sets(k), "class long, size long, tokens binary").dropDuplicates(["class"]), "sets")
+    for salt in ORDERS[1:]:
+        prefixes = sets.join(groups, "class").select("group", "class", "tokens").mapInArrow(_emit_again(percent, extra, frequent, salt), columns)
+        groups = _groups(prefixes, sets.select("class", "size"), percent, extra)
+
+    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    tasks = sets.join(placed.select("class", "group", F.explode(pairs).alias("pair")), "class").select("group", "pair.i", "pair.j", "class", "tokens")
+    joined = components(saved(tasks.groupBy("group", "i", "j").applyInArrow(_links_in_blocks(percent), "a long, b long"), "links"))
 
     placed = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.select("doc_id", "size", F.coalesce("component", "class").alias("component"))
