@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, hash_words, mix64, saved, split_words, text_slices
@@ -47,14 +48,19 @@ def _class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
-def _prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, extra: int, salt: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 + extra % of n tokens in the order of the salt: frequent ones last, the others permuted.
+def _extra(size):
+    """How many tokens beyond one the prefixes of similar sets share: a quarter of small sets, a twentieth more of large ones."""
+    return np.minimum(size // 4, 20 + size // 20)
 
-    Of two sets with t of their union in common, the prefixes share 1 + extra % of the smaller size tokens at least.
+
+def _prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, salt: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 + extra(n) tokens in the order of the salt: frequent ones last, the others permuted.
+
+    Of two sets with t of their union in common, the prefixes share 1 + extra(the smaller size) tokens at least.
     """
     if not len(tokens):
         return tokens
-    length = len(tokens) + 1 + extra * len(tokens) // 100 - -(-percent * len(tokens) // 100)
+    length = len(tokens) + 1 + int(_extra(len(tokens))) - -(-percent * len(tokens) // 100)
     values, ranks = frequent
     common = np.zeros(len(tokens), dtype=bool)
     if len(values):
@@ -111,7 +117,7 @@ def _scan(k: int):
     return scan
 
 
-def _emit_prefixes(k: int, percent: int, extra: int, frequent):
+def _emit_prefixes(k: int, percent: int, frequent):
     """The prefix tokens of each class under the first order, once for each task that meets the class."""
     schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
 
@@ -123,7 +129,7 @@ def _emit_prefixes(k: int, percent: int, extra: int, frequent):
                 c = _class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    tokens.append(_prefix(s, frequent.value, percent, extra, ORDERS[0]))
+                    tokens.append(_prefix(s, frequent.value, percent, ORDERS[0]))
                     classes.append(c)
             every = np.concatenate(tokens).view(np.int64)
             yield _rows(schema, np.zeros(len(every), np.int64), every, np.repeat(np.array(classes, np.int64), [len(t) for t in tokens[1:]]))
@@ -131,13 +137,13 @@ def _emit_prefixes(k: int, percent: int, extra: int, frequent):
     return emit
 
 
-def _emit_again(percent: int, extra: int, frequent, salt: int):
+def _emit_again(percent: int, frequent, salt: int):
     """The prefix tokens of saved sets under another order, within the group of the orders before."""
     schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "tokens"):
-            found = [_prefix(np.frombuffer(t, np.uint64), frequent.value, percent, extra, salt) for t in part.column("tokens").to_pylist()]
+            found = [_prefix(np.frombuffer(t, np.uint64), frequent.value, percent, salt) for t in part.column("tokens").to_pylist()]
             repeats = [len(t) for t in found]
             yield _rows(
                 schema,
@@ -200,27 +206,32 @@ def _links_in_blocks(percent: int):
     return find
 
 
-def _groups(prefixes: DataFrame, sizes: DataFrame, percent: int, extra: int) -> DataFrame:
+def _groups(prefixes: DataFrame, sizes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """(class, group): classes that may be similar share a group; others have none.
 
     prefixes: (group, token, class); sizes: (class, size). A class must share the needed number of prefix tokens with
-    others; who does not is dropped, twice, as each drop may leave others without partners. What is left is
-    connected over each token's smallest class.
+    others of fitting size; who does not is dropped, in rounds, as each drop may leave others without partners. What is
+    left is connected along each token's classes in the order of size, so far as neighbours' sizes fit.
     """
     dealt = prefixes.repartition("group", "token")
     listed = dealt.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     lists = saved(dealt.join(listed.select("group", "token").hint("shuffle_hash"), ["group", "token"]).distinct(), "lists")
-    least = 1 + F.floor(extra * F.floor(percent * F.col("size") / 100) / 100)
-    for _ in range(2):
-        counted = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= least)
-        left = lists.join(counted.select("class"), "class")
-        lists = saved(left.join(left.groupBy("group", "token").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["group", "token"]), "lists")
-    hubs = lists.groupBy("group", "token").agg(F.min("class").alias("a"))
-    edges = lists.join(hubs, ["group", "token"]).select("a", F.col("class").alias("b")).where("a <> b").distinct()
+    partner = F.floor(percent * F.col("size") / 100)  # the smallest size of a similar set
+    least = 1 + F.least(F.floor(partner / 4), 20 + F.floor(partner / 20))
+    lists = lists.join(sizes, "class")
+    for _ in range(rounds):
+        by_size = W.partitionBy("group", "token").orderBy("size", "class")
+        near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
+        paired = lists.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near")
+        enough = paired.groupBy("class", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("class")
+        lists = saved(paired.join(enough, "class"), "lists")
+    by_size = W.partitionBy("group", "token").orderBy("size", "class")
+    steps = lists.select("size", F.col("class").alias("a"), F.lead("class").over(by_size).alias("b"), F.lead("size").over(by_size).alias("next"))
+    edges = steps.where(100 * F.col("size") >= percent * F.col("next")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, extra: int = 5, max_frequent: int = MAX_FREQUENT, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequent: int = MAX_FREQUENT, block: int = 256) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their k-word shingle sets of percent or more.
 
     docs needs doc_id and text; other columns are ignored. Returns one row per row of docs: doc_id, n_shingles
@@ -248,13 +259,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, extra: in
 
     columns = "group long, token long, class long"
     firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"))
-    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, extra, frequent), columns), firsts.select("class", "size"), percent, extra)
+    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), firsts.select("class", "size"), percent)
     wanted = firsts.join(groups, "class").select("row_key")
     chosen = keyed.join(wanted.distinct(), "row_key", "left_semi").select("text")
     sets = saved(chosen.mapInArrow(_emit_sets(k), "class long, size long, tokens binary").dropDuplicates(["class"]), "sets")
     for salt in ORDERS[1:]:
-        prefixes = sets.join(groups, "class").select("group", "class", "tokens").mapInArrow(_emit_again(percent, extra, frequent, salt), columns)
-        groups = _groups(prefixes, sets.select("class", "size"), percent, extra)
+        prefixes = sets.join(groups, "class").select("group", "class", "tokens").mapInArrow(_emit_again(percent, frequent, salt), columns)
+        groups = _groups(prefixes, sets.select("class", "size"), percent, rounds=1)
 
     blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
