@@ -4,20 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import jaccard_join
+from quillspark.llm import jaccard_join, kn_quality, line_templates, mixing, packing
 from quillspark.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return kn_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go; n_chars follows the text."""
+    cleaned = line_templates.drop_recurring_lines(docs).drop("n_lines", "n_dropped")
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
     return jaccard_join.keep_first(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix takes them."""
+    return mixing.take_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
     ("n-gram Jaccard join", near_duplicates),
+    ("source mixing", mix),
+    ("best-fit packing", pack),
 ]
 
 #: SQL can't express model fitting and packing; tests compare the stages with brute force.

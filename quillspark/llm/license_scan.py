@@ -76,7 +76,11 @@ def scan_licenses(
     anchors = sorted({rarest(p) for p, _ in phrases} | {rarest(k) for _, _, k in notices})
 
     w = F.col("words")
-    starts = F.flatten(F.array(*(F.transform(_starts(w, p, rarest(p)), lambda i, label=label: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))) for p, label in phrases)))
+
+    def labelled(phrase: list[str], label: str) -> Column:
+        return F.transform(_starts(w, phrase, rarest(phrase)), lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
+
+    starts = F.flatten(F.array(*(labelled(p, label) for p, label in phrases)))
 
     order = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda x: (-idf[x], x)))}
     ranks = F.create_map(*(F.lit(x) for word, i in order.items() for x in (word, i)))

@@ -39,10 +39,11 @@ def targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFr
     on = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     everything = F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     left = ranked.withColumn("level", (everything - before).cast("double") / on).withColumn("ratio", ratio)
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    capped = F.col("ratio") <= F.col("level")
-    target = F.when(capped, F.col("most").cast("double")).otherwise(F.col("final") * F.col("weight"))
-    return left.withColumn("final", level).select("source", "source_size", target.alias("target"))
+    first = F.when(F.col("ratio") > F.col("level"), F.struct("ratio", F.col("source").isNull(), "source", "level"))
+    final = F.min(first).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["level"]
+    open_ = F.col("ratio") > F.col("final")
+    target = F.when(open_, F.col("final") * F.col("weight")).otherwise(F.col("most").cast("double"))
+    return left.withColumn("final", final).select("source", "source_size", target.alias("target"))
 
 
 def _thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,11 +119,12 @@ levels AS (
   SELECT *, most::DOUBLE / weight AS ratio,
     ((sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::DOUBLE
       / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM weighed),
+first AS (SELECT level FROM levels WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1),
 final AS (
-  SELECT source, source_size, CASE WHEN ratio <= level THEN most::DOUBLE ELSE (SELECT min(level) FROM levels WHERE ratio > level) * weight END AS target FROM levels),
+  SELECT source, source_size, CASE WHEN ratio > (SELECT level FROM first) THEN (SELECT level FROM first) * weight ELSE most::DOUBLE END AS target FROM levels),
 ranked AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-    sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(size) OVER (PARTITION BY rows.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM rows JOIN final ON rows.source IS NOT DISTINCT FROM final.source)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranked
 """

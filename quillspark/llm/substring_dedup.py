@@ -60,7 +60,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((docs, orders, ats, sizes, digests), schema)], schema=schema)
 
 
-@F.arrow_udf("struct<text: string, spans: array<struct<start: int, stop: int>>>")
 def _cut_spans(texts: pa.Array, runs: pa.Array) -> pa.Array:
     """Texts without the runs of bytes; a run grows no further than to whole characters inside it."""
     out, spans = [], []
@@ -112,7 +111,8 @@ def drop_repeats(docs: DataFrame, least_bytes: int = 160) -> DataFrame:
         ).otherwise(F.concat(runs, F.array(F.struct(x["at"].alias("start"), (x["at"] + x["size"]).alias("stop"))))),
     )
     runs = listed.select("doc", F.filter(grown, lambda r: r["stop"] - r["start"] >= least_bytes).alias("runs")).where(F.size("runs") > 0)
-    cut = own.join(saved(runs, "runs"), "doc", "left").withColumn("cut", _cut_spans("text", "runs"))
+    cut_spans = F.arrow_udf(_cut_spans, "struct<text: string, spans: array<struct<start: int, stop: int>>>")
+    cut = own.join(saved(runs, "runs"), "doc", "left").withColumn("cut", cut_spans("text", "runs"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     left = F.coalesce(F.octet_length("cut.text"), F.lit(0)).cast("long")
     return cut.select("doc_id", F.col("cut.text").alias("text"), n_bytes.alias("n_bytes"), (n_bytes - left).alias("dropped_bytes"), F.col("cut.spans").alias("spans"))
