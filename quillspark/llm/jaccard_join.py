@@ -117,29 +117,34 @@ def _scan(k: int):
     return scan
 
 
+_PREFIX = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32())])
+
+
 def _emit_prefixes(k: int, percent: int, frequent):
     """The prefix tokens of each class under the first order, once for each task that meets the class."""
-    schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
+    schema = _PREFIX
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in text_slices(batches, "text"):
-            tokens, classes = [np.empty(0, np.uint64)], []
+            tokens, classes, sizes = [np.empty(0, np.uint64)], [], []
             for s in shingle_sets(part.column("text"), k):
                 c = _class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
                     tokens.append(_prefix(s, frequent.value, percent, ORDERS[0]))
                     classes.append(c)
+                    sizes.append(len(s))
             every = np.concatenate(tokens).view(np.int64)
-            yield _rows(schema, np.zeros(len(every), np.int64), every, np.repeat(np.array(classes, np.int64), [len(t) for t in tokens[1:]]))
+            repeats = [len(t) for t in tokens[1:]]
+            yield _rows(schema, np.zeros(len(every), np.int64), every, np.repeat(np.array(classes, np.int64), repeats), np.repeat(np.array(sizes, np.int32), repeats))
 
     return emit
 
 
 def _emit_again(percent: int, frequent, salt: int):
     """The prefix tokens of saved sets under another order, within the group of the orders before."""
-    schema = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64())])
+    schema = _PREFIX
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "tokens"):
@@ -150,18 +155,19 @@ def _emit_again(percent: int, frequent, salt: int):
                 np.repeat(part.column("group").to_numpy(), repeats),
                 np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64),
                 np.repeat(part.column("class").to_numpy(), repeats),
+                np.repeat(part.column("size").to_numpy().astype(np.int32), repeats),
             )
 
     return emit
 
 
 def _emit_sets(k: int):
-    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("group", pa.int64()), ("class", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             sets = shingle_sets(part.column("text"), k)
-            yield _rows(schema, [_class_of(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
+            yield _rows(schema, part.column("group").to_numpy(), [_class_of(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
 
     return emit
 
@@ -206,27 +212,25 @@ def _links_in_blocks(percent: int):
     return find
 
 
-def _groups(prefixes: DataFrame, sizes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def _groups(prefixes: DataFrame, percent: int) -> DataFrame:
     """(class, group): classes that may be similar share a group; others have none.
 
-    prefixes: (group, token, class); sizes: (class, size). A class must share the needed number of prefix tokens with
-    others of fitting size; who does not is dropped, in rounds, as each drop may leave others without partners. What is
-    left is connected along each token's classes in the order of size, so far as neighbours' sizes fit.
+    prefixes: (group, token, class, size). A class must share the needed number of prefix tokens with others of fitting
+    size, else it is dropped. The others are connected along each token's classes in the order of size, so far as
+    neighbours' sizes fit. Counting brings together no more than one class's own tokens.
     """
-    dealt = prefixes.repartition("group", "token")
-    listed = dealt.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    lists = saved(dealt.join(listed.select("group", "token").hint("shuffle_hash"), ["group", "token"]).distinct(), "lists")
+    key = ["group", "token"]
+    dealt = prefixes.repartition(*key)
+    listed = dealt.groupBy(*key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("size").alias("most")).where("low < high")
+    lists = dealt.join(listed.select(*key).hint("shuffle_hash"), key).distinct()
+    by_size = W.partitionBy(*key).orderBy("size", "class")
+    near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
+    paired = lists.withColumn("near", F.coalesce(near, F.lit(False))).where("near")
     partner = F.floor(percent * F.col("size") / 100)  # the smallest size of a similar set
     least = 1 + F.least(F.floor(partner / 4), 20 + F.floor(partner / 20))
-    lists = lists.join(sizes, "class")
-    for _ in range(rounds):
-        by_size = W.partitionBy("group", "token").orderBy("size", "class")
-        near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
-        paired = lists.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near")
-        enough = paired.groupBy("class", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("class")
-        lists = saved(paired.join(enough, "class"), "lists")
-    by_size = W.partitionBy("group", "token").orderBy("size", "class")
-    steps = lists.select("size", F.col("class").alias("a"), F.lead("class").over(by_size).alias("b"), F.lead("size").over(by_size).alias("next"))
+    held = saved(paired.groupBy("group", "class", "size").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least), "held")
+    left = held.select("group", "class", "size", F.explode("tokens").alias("token"))
+    steps = left.select("size", F.col("class").alias("a"), F.lead("class").over(by_size).alias("b"), F.lead("size").over(by_size).alias("next"))
     edges = steps.where(100 * F.col("size") >= percent * F.col("next")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
@@ -242,8 +246,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     and its component_id is null only where no other member has an id. An empty table gives an empty result.
 
     How: texts with equal sets form one class, so copies are never paired. Classes that share enough tokens of their
-    prefixes under the first order fall into groups; the prefixes under each further order split these groups, so a
-    pair must pass the filters of all orders. Within a last group all pairs are verified exactly, in tasks of two
+    prefixes under the first order fall into groups; the prefixes under each further order split these groups, and the
+    parts are intersected, so a pair must pass the filters of all orders. Within a last group all pairs are verified exactly, in tasks of two
     blocks of classes each, and every task returns no more links than it has classes.
     """
     spark = docs.sparkSession
@@ -257,20 +261,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     by_value = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[by_value], np.arange(len(values))[by_value]))
 
-    columns = "group long, token long, class long"
-    firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"))
-    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), firsts.select("class", "size"), percent)
-    wanted = firsts.join(groups, "class").select("row_key")
-    chosen = keyed.join(wanted.distinct(), "row_key", "left_semi").select("text")
-    sets = saved(chosen.mapInArrow(_emit_sets(k), "class long, size long, tokens binary").dropDuplicates(["class"]), "sets")
-    for salt in ORDERS[1:]:
-        prefixes = sets.join(groups, "class").select("group", "class", "tokens").mapInArrow(_emit_again(percent, frequent, salt), columns)
-        groups = _groups(prefixes, sets.select("class", "size"), percent, rounds=1)
+    columns = "group long, token long, class long, size int"
+    firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
+    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), percent)
+    wanted = firsts.join(groups, "class").select("row_key", "group")
+    chosen = keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("group", "text")
+    sets = saved(chosen.mapInArrow(_emit_sets(k), "group long, class long, size long, tokens binary"), "sets")
+    finer = [_groups(sets.mapInArrow(_emit_again(percent, frequent, salt), columns), percent) for salt in ORDERS[1:]]
+    groups = finer[0].withColumnRenamed("group", "g0")
+    for i, more in enumerate(finer[1:], 1):
+        groups = groups.join(more.withColumnRenamed("group", f"g{i}"), "class")
+    groups = saved(groups.select("class", F.xxhash64(*(f"g{i}" for i in range(len(finer)))).alias("group")), "groups")
 
     blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    tasks = sets.join(placed.select("class", "group", F.explode(pairs).alias("pair")), "class").select("group", "pair.i", "pair.j", "class", "tokens")
+    tasks = sets.drop("group").join(placed.select("class", "group", F.explode(pairs).alias("pair")), "class").select("group", "pair.i", "pair.j", "class", "tokens")
     joined = components(saved(tasks.groupBy("group", "i", "j").applyInArrow(_links_in_blocks(percent), "a long, b long"), "links"))
 
     placed = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
