@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, kn_quality, license_scan, line_templates, mixing, packing, substring_dedup, url_filter
+from . import cap_near_dup, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packing, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -42,12 +47,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_cap_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_near_dup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_search": op1_hnsw_search,
     "op2_license_scan": op2_license_scan,
     "op3_best_two_fit_packing": op3_best_two_fit_packing,
     "op4_source_mixing": op4_source_mixing,
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_cap_near_dup": op9_cap_near_dup,
     "op10_line_dedup": op10_line_dedup,
 }
 
