@@ -221,7 +221,7 @@ def _groups(prefixes: DataFrame, percent: int) -> DataFrame:
     """
     key = ["group", "token"]
     dealt = prefixes.repartition(*key)
-    listed = dealt.groupBy(*key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("size").alias("most")).where("low < high")
+    listed = dealt.groupBy(*key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("size").alias("most")).where("low < high AND most > 0")  # all columns, so that both sides read one exchange
     lists = dealt.join(listed.select(*key).hint("shuffle_hash"), key).distinct()
     by_size = W.partitionBy(*key).orderBy("size", "class")
     near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))

@@ -55,7 +55,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5, max_share: float = 0.5) -> DataFrame:
     """docs with recurring lines cut from text, and the columns n_lines and n_dropped.
 
-    docs needs text; other columns stay as they are. A text of which recurring lines hold more than max_share of the
+    docs needs text; other columns stay as they are, but for older ones named n_lines or n_dropped. A text of which recurring lines hold more than max_share of the
     words is left whole: that is a copy of other texts rather than a text with boilerplate, and the work of document
     dedup. Blank lines always stay. Null stays null and has no lines; an empty text has one line. Exact copies count as
     one text and are treated alike, and repeated rows stay repeated.
@@ -72,5 +72,5 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.
     cleaned = F.when(F.col("row.text").isNull(), F.col("row.text").cast("string")).when(F.col("cut").isNull(), F.col("t")).otherwise(F.array_join(left, "\n"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     n_dropped = F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")
-    kept: list[Column] = [cleaned.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    kept: list[Column] = [cleaned.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
