@@ -179,7 +179,7 @@ def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_scope_sentinel(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogued(spark, sf).where(Filters(game="de", generated="include", include_superseded=True).predicate("en")).select("doc_id", "game")
+    return catalogued(spark, sf).where(Filters(game="de", generated="include", include_superseded=True).predicate()).select("doc_id", "game")
 
 
 @query
