@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,7 +38,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and what they hold, for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries trim by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds max_bytes of the column, or one row that is longer."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -47,6 +56,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

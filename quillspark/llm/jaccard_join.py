@@ -108,7 +108,7 @@ def _scan(k: int):
                     seen.add(c)
                     pool.append(s)
                     pooled += len(s)
-            if pooled > 4_000_000:
+            if pooled > 2_000_000:
                 yield shared()
                 pool, pooled = [], 0
         if pool:

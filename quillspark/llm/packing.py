@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import saved, split_words, text_slices
 
 #: Words whose ids a task remembers before it starts over.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 @functools.cache
@@ -58,7 +58,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        for part in text_slices(batches, "text", 1 << 21):
+        for part in text_slices(batches, "text", 1 << 20):
             flat, bounds = encode(part.column("text"), path, known)
             rows: list[list] = [[] for _ in schema]
             for doc, start, stop in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
