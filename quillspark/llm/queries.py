@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cap_near_dup, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packing, substring_dedup, url_filter
+from .oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).drop("score")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cap_near_dup": op9_cap_near_dup,
     "op10_line_dedup": op10_line_dedup,
 }
-
-ORACLES: dict[str, str] = {
-    "op4_source_mixing": mixing.ORACLE,
-}

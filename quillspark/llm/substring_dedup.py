@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved, text_slices
@@ -100,17 +101,11 @@ def drop_repeats(docs: DataFrame, least_bytes: int = 160) -> DataFrame:
     place = F.struct("order", "doc", "at")
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     repeats = chunks.join(firsts, "digest").where(place != F.col("first")).select("doc", "at", "size").distinct()
-    listed = repeats.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("repeats"))
-    # neighbours join into runs
-    grown = F.aggregate(
-        "repeats",
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda runs, x: F.when(
-            (F.size(runs) > 0) & (F.element_at(runs, -1)["stop"] == x["at"]),
-            F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(F.element_at(runs, -1)["start"].alias("start"), (x["at"] + x["size"]).alias("stop")))),
-        ).otherwise(F.concat(runs, F.array(F.struct(x["at"].alias("start"), (x["at"] + x["size"]).alias("stop"))))),
-    )
-    runs = listed.select("doc", F.filter(grown, lambda r: r["stop"] - r["start"] >= least_bytes).alias("runs")).where(F.size("runs") > 0)
+    in_place = W.partitionBy("doc").orderBy("at")
+    broken = F.when(F.lag(F.col("at") + F.col("size")).over(in_place) == F.col("at"), 0).otherwise(1)
+    numbered = repeats.withColumn("broken", broken).withColumn("run", F.sum("broken").over(in_place))
+    runs = numbered.groupBy("doc", "run").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop")).where(F.col("stop") - F.col("start") >= least_bytes)
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     cut_spans = F.arrow_udf(_cut_spans, "struct<text: string, spans: array<struct<start: int, stop: int>>>")
     cut = own.join(saved(runs, "runs"), "doc", "left").withColumn("cut", cut_spans("text", "runs"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
