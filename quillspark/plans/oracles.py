@@ -135,8 +135,8 @@ SELECT * FROM ranked WHERE rank <= 10""",
     "filter_scope_sentinel": f"WITH {_DOCS} SELECT doc_id, game FROM catalogued WHERE game IN ('de', 'both')",
     "filter_section_prefix": f"WITH {_DOCS} SELECT doc_id, section FROM catalogued WHERE section = 'corpus' OR starts_with(section, 'corpus/')",
     "filter_tag": f"WITH {_DOCS} SELECT doc_id, array_to_string(tags, ',') AS tags FROM catalogued WHERE list_contains(tags, 'src3')",
-    "filter_flags": f"""WITH {_DOCS}, modes AS (SELECT unnest(['exclude', 'include', 'only']) AS mode), both AS (SELECT unnest([false, true]) AS superseded)
-SELECT mode AS generated, both.superseded, (SELECT count(*) FROM catalogued c WHERE (mode = 'include' OR c.generated = (mode = 'only')) AND (both.superseded OR NOT c.superseded)) AS n FROM modes, both""",
+    "filter_flags": f"""WITH {_DOCS}, modes AS (SELECT unnest(['exclude', 'include', 'only']) AS mode), flags AS (SELECT unnest([false, true]) AS superseded)
+SELECT mode AS generated, flags.superseded, (SELECT count(*) FROM catalogued c WHERE (mode = 'include' OR c.generated = (mode = 'only')) AND (flags.superseded OR NOT c.superseded)) AS n FROM modes, flags""",
     "list_docs": f"WITH {_DOCS} SELECT section, doc_id, title FROM catalogued WHERE game IN ('es', 'none') ORDER BY section, doc_id LIMIT 50",
     "substring_catalog": f"WITH {_DOCS} SELECT doc_id, title FROM catalogued WHERE contains(lower(title), 'document 1') OR contains(doc_id::VARCHAR, 'document 1')",
     "index_stats": f"WITH {_DOCS} SELECT count(*) AS n_docs, count(*) FILTER (generated) AS n_generated, count(*) FILTER (superseded) AS n_superseded, count(*) FILTER (verified > 0) AS n_verified, count(DISTINCT section) AS n_sections, sum(n_chars)::BIGINT AS n_chars FROM catalogued",
@@ -153,13 +153,24 @@ SELECT CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed'
     "title_collisions": "SELECT doc_id, title || ' (' || source || ')' AS unique_title FROM (SELECT doc_id, source, string_split(text, chr(10))[1] AS title, count(*) OVER (PARTITION BY string_split(text, chr(10))[1]) AS n FROM documents) WHERE n > 1",
     "duplicate_copies": "SELECT sha256(text) AS content_sha256, min(doc_id) AS canonical, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "marker_counts": r"""SELECT doc_id, len(regexp_extract_all(body, '\[verified\b'))::BIGINT AS verified, len(regexp_extract_all(body, '\[upstream\b'))::BIGINT AS upstream, 0::BIGINT AS author
-FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\b(the|la|die)\b', '[verified \1]', 'g'), '\b(of|des|und)\b', '[upstream]', 'g') AS body FROM documents)""",
+FROM (SELECT doc_id, replace(replace(text, '. ', '. [verified] '), ', ', ', [upstream: x] ') AS body FROM documents)""",
     "identifier_split": f"SELECT p_partkey, {_split(_capital('string_split(p_name, chr(32))[1]') + ' || ' + _capital('string_split(p_name, chr(32))[-1]') + chr(32) + '|| ' + repr('XMLFile_') + ' || p_partkey || ' + repr('-v2Beta'))} AS words FROM part",
     "record_shape": r"""SELECT p_partkey, q, coalesce(regexp_matches(q, '\b(?:0x[0-9A-Fa-f]{4,8}|[0-9A-Fa-f]{8})\b') OR regexp_matches(q, '(?i)[\w\-'' ]+\.(?:esp|esm|esl)\b')
   OR regexp_matches(q, '\b[A-Za-z][A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*\b|\b\w*_[A-Za-z]\w*\b'), false) AS shaped
 FROM (SELECT p_partkey, [lpad(printf('%X', p_partkey), 8, '0'), '0x' || lpad(printf('%X', p_partkey), 6, '0'), lpad(printf('%X', p_partkey), 6, '0'), p_brand || '.esp',
   array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), replace(p_name, ' ', '_'), p_name][p_partkey % 7 + 1] AS q FROM part)""",
     "exact_key_lookup": f"WITH {_RECORDS} SELECT a.path AS asked, b.path, b.editor_id FROM records a JOIN records b ON a.form_id || ':' || a.plugin = b.form_id || ':' || b.plugin WHERE a.path % 10 = 0",
+    "lookup_ranked": f"""WITH {_RECORDS}, asked AS (SELECT {_terms("p_name")} AS terms FROM part WHERE p_partkey = 42),
+fielded AS ({" UNION ALL ".join(f"SELECT path, {w}::DOUBLE AS weight, {_TOKENS.format(e)} AS toks FROM records" for e, w in (("editor_id", 4), (_split("editor_id"), 3), ("p_name", 3), ("p_type", 1)))}),
+lengths AS (SELECT path, sum(len(toks)) AS length FROM fielded GROUP BY path),
+stats AS (SELECT count(*) AS n_rows, avg(length) AS avg_length FROM lengths),
+phrases AS (SELECT lower(unnest(terms)) AS term FROM asked),
+found AS (SELECT term, path, sum(weight) AS f FROM (SELECT path, weight, unnest(toks) AS term FROM fielded) WHERE term IN (SELECT term FROM phrases) GROUP BY term, path),
+freq AS (SELECT term, count(*) AS df FROM found GROUP BY term),
+idfs AS (SELECT term, CASE WHEN ln((n_rows - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_rows - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM freq, stats),
+scores AS (SELECT f.path, sum(i.idf * f.f * 2.2 / (f.f + 1.2 * (0.25 + 0.75 * l.length / s.avg_length))) AS score FROM phrases p JOIN found f USING (term) JOIN idfs i USING (term) JOIN lengths l USING (path), stats s GROUP BY f.path),
+ranked AS (SELECT path, score, row_number() OVER (ORDER BY round(score, 9) DESC, path) AS rank FROM scores)
+SELECT path, 1 AS arm, editor_id AS label, round(score, 6) AS score, rank FROM ranked JOIN records USING (path) WHERE rank <= 30""",
     "neighbour_window": "SELECT conv_id, turn, role FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations w WHERE w.conv_id = c.conv_id AND abs(w.turn - c.turn) <= 1 AND w.role = 'user' AND length(w.text) > 300)",
     "outline_runs": """WITH f AS (SELECT conv_id, turn, length(text) > 200 AS long, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, length(text) > 200 ORDER BY turn) AS run FROM conversations)
 SELECT conv_id, long, min(turn) AS first, max(turn) AS last, count(*) AS n FROM f GROUP BY conv_id, long, run""",

@@ -293,8 +293,7 @@ def duplicate_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def marker_counts(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.regexp_replace(F.col("text"), r"\b(the|la|die)\b", "[verified $1]")
-    body = F.regexp_replace(body, r"\b(of|des|und)\b", "[upstream]")
+    body = F.replace(F.replace("text", F.lit(". "), F.lit(". [verified] ")), F.lit(", "), F.lit(", [upstream: x] "))
     counts = catalog.confidence_of(body)
     return table(spark, sf, "documents").select("doc_id", *(F.element_at(counts, t).cast("long").alias(t) for t in ("verified", "upstream", "author")))
 

@@ -58,8 +58,8 @@ def route(files: DataFrame, mappings: DataFrame) -> DataFrame:
     """
     is_txt = F.lower("path").endswith(".txt")
     kind = F.lower("path").endswith(".md") | (is_txt & F.col("include_txt"))
-    excluded = F.exists("exclude", lambda x: F.expr("path").rlike(x))
-    met = files.join(F.broadcast(mappings), "source").where(F.expr("path rlike regex")).where(kind & ~excluded)
+    excluded = F.exists("exclude", lambda x: F.rlike(F.col("path"), x))
+    met = files.join(F.broadcast(mappings), "source").where(F.rlike(F.col("path"), F.col("regex"))).where(kind & ~excluded)
     claimed = met.withColumn("n", F.row_number().over(W.partitionBy("source", "path").orderBy("pos"))).where("n = 1")
     below = F.when(F.col("is_glob"), F.expr("substring(path, if(prefix = '', 1, length(prefix) + 2))")).otherwise(F.substring_index("path", "/", -1))
     name = F.substring_index("path", "/", -1)
