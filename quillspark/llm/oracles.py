@@ -41,10 +41,10 @@ split AS (SELECT t, i, list_transform({_WORDS.format("line")}, lambda x: CASE WH
 marks AS (SELECT t, i, toks, len(toks) AS n, (len(toks), toks[1:3]) AS leaf FROM split WHERE len(toks) > 0),
 busy AS (SELECT leaf FROM marks GROUP BY leaf HAVING count(DISTINCT t) >= 5),
 weighed AS (SELECT leaf, toks, n, count(*) AS times FROM marks WHERE leaf IN (SELECT leaf FROM busy) GROUP BY ALL),
-fields AS (SELECT leaf, toks, n, times, unnest(toks) AS token, generate_subscripts(toks, 1) AS at FROM weighed),
+fields AS (SELECT leaf, toks, n, times, unnest(toks) AS token, generate_subscripts(toks, 1) AS spot FROM weighed),
 totals AS (SELECT leaf, sum(times) AS total FROM weighed GROUP BY leaf),
-template AS (SELECT leaf, at, token FROM fields JOIN totals USING (leaf) GROUP BY leaf, at, token, total HAVING 2 * sum(times) > total),
-fits AS (SELECT f.leaf, f.toks FROM fields f JOIN template USING (leaf, at, token) GROUP BY f.leaf, f.toks, f.n HAVING count(*) >= 0.8::DOUBLE * f.n),
+template AS (SELECT leaf, spot, token FROM fields JOIN totals USING (leaf) GROUP BY leaf, spot, token, total HAVING 2 * sum(times) > total),
+fits AS (SELECT f.leaf, f.toks FROM fields f JOIN template USING (leaf, spot, token) GROUP BY f.leaf, f.toks, f.n HAVING count(*) >= 0.8::DOUBLE * f.n),
 fitting AS (SELECT m.* FROM marks m JOIN fits USING (leaf, toks)),
 often AS (SELECT leaf FROM fitting GROUP BY leaf HAVING count(DISTINCT t) >= 5),
 cuts AS (SELECT t, list(i) AS cut, sum(n) AS cut_words FROM fitting WHERE leaf IN (SELECT leaf FROM often) GROUP BY t),
