@@ -6,15 +6,17 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: White space of ASCII, as a class of a regular expression.
+SPACES = r"[\x20\x09-\x0D]"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_dir: str | None = None
 
@@ -38,6 +40,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def words_between(text: Column, gaps: str) -> Column:
+    """The words of a text between runs of the characters of a class. Splitting is several times faster than extracting."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), f"{gaps}+"), "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, wherever it stands in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def release() -> None:
     """Give freed memory back to the system: Spark keeps Python workers, and what they hold, for later stages."""
     pa.default_memory_pool().release_unused()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_UPPER
+from .common import ASCII_UPPER, let, words_between
 
 #: Phrases and their labels, as the task states them.
 BASE: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -25,12 +27,11 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
 )
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())
-    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+    return words_between(F.translate(text.cast("string"), ASCII_UPPER, ASCII_UPPER.lower()), GAPS)
 
 
 def _literal(words: Sequence[str]) -> Column:
@@ -40,9 +41,9 @@ def _literal(words: Sequence[str]) -> Column:
 def _starts(words: Column, phrase: Sequence[str], anchor: str) -> Column:
     """Where the phrase's words stand consecutively: places of its rarest word whose neighbours match by relative position."""
     at = phrase.index(anchor)
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.element_at(words, i + 1) == anchor)
-    starts = F.transform(places, lambda i: i - at)
-    return F.filter(starts, lambda i: (i >= 0) & (i + len(phrase) <= F.size(words)) & (F.slice(words, F.greatest(i, F.lit(0)) + 1, len(phrase)) == _literal(phrase)))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == anchor)
+    stands = lambda i: reduce(and_, (F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)))
+    return F.filter(F.transform(places, lambda i: i - at), lambda i: (i >= 0) & stands(i))
 
 
 def _idf(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
@@ -53,7 +54,7 @@ def _idf(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
 
 
 def scan_licenses(
-    docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES, top: int = 8, least: float = 0.6
+    docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES, top: int = 8, posted: int = 4, least: float = 0.6
 ) -> DataFrame:
     """Licence phrases and notices of each row of docs.
 
@@ -62,9 +63,9 @@ def scan_licenses(
     of templates), score (the best alignment's share of template words, 0 to 1) and notices (label, start, score of
     each aligned template).
 
-    A document's top rarest licence words, by IDF over all documents, are looked up in the templates' postings; each
-    pair of positions gives an alignment, which counts if least of the template's words stand at their relative
-    positions and its key phrase is whole. Documents without the rarest word of any phrase hold none and are not
+    The index holds the positions of each template's posted rarest words, by IDF over all documents. A document's top
+    rarest words of the index are looked up; each pair of positions gives an alignment, which counts if least of the
+    template's words stand at their relative positions and its key phrase is whole. Documents without the rarest word of any phrase hold none and are not
     looked at further. Null and empty texts have no words. Repeated rows give repeated results.
     """
     phrases = [(p.split(), label) for p, label in base]
@@ -82,25 +83,24 @@ def scan_licenses(
 
     starts = F.flatten(F.array(*(labelled(p, label) for p, label in phrases)))
 
-    order = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda x: (-idf[x], x)))}
-    ranks = F.create_map(*(F.lit(x) for word, i in order.items() for x in (word, i)))
-    looked = F.slice(F.sort_array(F.transform(F.array_intersect(w, _literal(vocabulary)), lambda x: F.struct(F.element_at(ranks, x).alias("rank"), x.alias("word")))), 1, top)
-    postings: dict[str, list[tuple[int, int]]] = {word: [] for word in vocabulary}
-    for t, (_, notice, _) in enumerate(notices):
-        for at, word in enumerate(notice):
-            postings[word].append((t, at))
-    pairs = F.create_map(
-        *(x for word in vocabulary if postings[word] for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in postings[word]))))
-    )
+    # the rarest words of each template and of its key phrase, so that every alignment with a whole key can be found
+    rare_of = [sorted(set(t), key=lambda w: (-idf[w], w))[:posted] + [rarest(k)] for _, t, k in notices]
+    index = sorted({word for rare in rare_of for word in rare}, key=lambda x: (-idf[x], x))
+    ranks = F.create_map(*(F.lit(x) for i, word in enumerate(index) for x in (word, i)))
+    looked = F.slice(F.sort_array(F.transform(F.array_intersect(w, _literal(index)), lambda x: F.struct(F.element_at(ranks, x).alias("rank"), x.alias("word")))), 1, top)
+    postings = {word: [(t, at) for t, (_, notice, _) in enumerate(notices) if word in rare_of[t] for at, x in enumerate(notice) if x == word] for word in index}
+    pairs = F.create_map(*(x for word, own in postings.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in own)))))
     bodies = F.array(*(_literal(notice) for _, notice, _ in notices))
     keys = F.array(*(_literal(key) for _, _, key in notices))
     key_at = F.array(*(F.lit(next(i for i in range(len(n)) if n[i : i + len(k)] == k)) for _, n, k in notices))
     labels = F.array(*(F.lit(label) for label, _, _ in notices))
 
-    rare = F.transform(F.col("looked"), lambda x: x["word"])
-    hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(rare, F.element_at(w, i + 1)))
-    aligned = F.array_distinct(
-        F.flatten(F.transform(hits, lambda i: F.transform(F.coalesce(F.try_element_at(pairs, F.element_at(w, i + 1)), F.array()), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("start")))))
+    hits = let(F.transform(F.col("looked"), lambda x: x["word"]), lambda rare: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(rare, F.get(w, i))))
+    # an alignment as one number, so that distinct ones are found by hashing: template, then start, which may be negative
+    numbers = F.transform(hits, lambda i: F.transform(F.element_at(pairs, F.get(w, i)), lambda p: p["t"].cast("long") * F.lit(1 << 40) + (i - p["at"] + (1 << 20))))
+    aligned = F.transform(
+        F.array_distinct(F.flatten(numbers)),
+        lambda x: F.struct(F.floor(x / F.lit(1 << 40)).cast("int").alias("t"), (F.pmod(x, F.lit(1 << 40)) - (1 << 20)).cast("int").alias("start")),
     )
 
     def scored(p: Column) -> Column:
@@ -108,7 +108,7 @@ def scan_licenses(
         same = F.filter(F.sequence(F.lit(0), F.size(body) - 1), lambda j: (p["start"] + j >= 0) & F.coalesce(F.get(w, p["start"] + j) == F.get(body, j), F.lit(False)))
         key = F.element_at(keys, p["t"] + 1)
         begin = p["start"] + F.element_at(key_at, p["t"] + 1)
-        whole = (begin >= 0) & (F.slice(w, F.greatest(begin, F.lit(0)) + 1, F.size(key)) == key)
+        whole = F.forall(F.sequence(F.lit(0), F.size(key) - 1), lambda j: (begin + j >= 0) & F.coalesce(F.get(w, begin + j) == F.get(key, j), F.lit(False)))
         score = F.size(same) / F.size(body)
         return F.struct(F.element_at(labels, p["t"] + 1).alias("label"), p["start"].cast("long").alias("start"), score.alias("score"), whole.alias("whole"))
 

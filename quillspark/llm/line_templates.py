@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import SPACES, saved, words_between
 
 VARIABLE = "<*>"
 
@@ -18,12 +18,11 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    tokens = F.regexp_extract_all("line", F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    tokens = words_between(F.col("line"), SPACES)
     masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
     masked = F.when(F.col("line").rlike("[0-9]"), masked).otherwise(tokens)
     lines = lines.select("text_key", "at", masked.alias("tokens"))
-    lines = lines.withColumn("n", F.size("tokens"))
+    lines = lines.withColumn("n", F.size("tokens")).where("n > 0")
     leaf = F.xxhash64("n", F.array_join(F.slice("tokens", 1, depth), " "))
     return lines.select("text_key", "at", "tokens", "n", leaf.alias("leaf"), F.xxhash64(F.array_join("tokens", " ")).alias("line_key"))
 
@@ -38,7 +37,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     marks = saved(spots.select("text_key", "at", "n", "leaf", "line_key").distinct(), "marks")
     busy = marks.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     busy = saved(busy.select("leaf"), "busy")
-    weights = marks.join(busy, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.count("*").alias("times"))
+    weights = marks.join(busy.hint("merge"), "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.count("*").alias("times"))
     distinct = spots.select("leaf", "line_key", "tokens").join(busy, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.first("tokens").alias("tokens"))
     weighed = saved(distinct.join(weights, ["leaf", "line_key"]), "weighed")
     fields = weighed.select("leaf", "line_key", "times", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
@@ -47,7 +46,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     template = counts.join(totals, "leaf").where("2 * times > total").select("leaf", "i", "token")
     hits = fields.join(template, ["leaf", "i", "token"]).groupBy("leaf", "line_key", "n").agg(F.count("*").alias("hits"))
     fits = hits.where(F.col("hits") >= similarity * F.col("n")).select("leaf", "line_key")
-    fitting = saved(marks.join(fits, ["leaf", "line_key"]).select("leaf", "text_key", "at", "n"), "fitting")
+    fitting = saved(marks.join(fits.hint("merge"), ["leaf", "line_key"]).select("leaf", "text_key", "at", "n"), "fitting")
     often = fitting.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     return fitting.join(often.select("leaf"), "leaf", "left_semi").select("text_key", "at", "n")
 
@@ -64,8 +63,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.
     cuts = saved(recurring.groupBy("text_key").agg(F.collect_set("at").alias("cut"), F.sum("n").alias("cut_words")), "cuts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("t"), F.xxhash64(text).alias("key"))
-    joined = own.join(cuts, F.col("key") == F.col("text_key"), "left")
-    words = F.regexp_count("t", F.lit("[^\\x20\\x09-\\x0D]+"))
+    joined = own.join(cuts.hint("merge"), F.col("key") == F.col("text_key"), "left")
+    words = F.size(words_between(F.col("t"), SPACES))
     cut = F.when(F.col("cut_words") <= max_share * words, F.col("cut"))
     joined = joined.select("row", "t", F.split("t", "\n").alias("lines"), cut.alias("cut"))
     left = F.filter("lines", lambda line, i: ~F.array_contains("cut", i))

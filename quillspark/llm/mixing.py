@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import SPACES, saved, words_between
 
 #: Bits of the hash and of a histogram level; three levels resolve a threshold to one hash value.
 LEVELS, LEVEL_BITS = 3, 16
 
 
 def _size() -> Column:
-    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return F.size(words_between(F.col("text"), SPACES)).cast("long")
 
 
 def _hash() -> Column:

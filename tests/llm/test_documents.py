@@ -1,5 +1,6 @@
 """Operators on documents against plain Python, with nulls, copies, long texts and clashing columns."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -185,11 +186,11 @@ def test_line_templates(spark, docs, no_docs):
 
 
 def test_substrings(spark, docs, no_docs):
-    import random
+    rng = random.Random(9)
 
-    from .conftest import words
+    def words(rng, n):
+        return " ".join(rng.choice("renthan") + rng.choice(["ster", "ing", "al", "ed", "um", "ix"]) + rng.choice("abcdefg") for _ in range(n))
 
-    rng = random.Random(9)
     passage = words(rng, 70)
     rows = [(i, words(rng, 60) + " " + passage + " " + words(rng, 50)) for i in range(6)] + [(10 + i, words(rng, 150)) for i in range(6)] + [(20, None), (21, ""), (2, "short")]
     found = {(r["doc_id"], r["n_bytes"]): r for r in collected(substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")))}
