@@ -88,16 +88,15 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.substring(text, 1, most)).otherwise(text)
 
 
-def glob_regex(pattern: str) -> str:
-    """A path pattern as a Java regex: * and ? cross slashes, **/ may be empty, [...] is a class."""
-    out, rest = "", pattern
-    if rest.startswith("**/"):
-        out, rest = "(?:.*/)?", rest[3:]
-    for piece in re.findall(r"\*+|\?|\[!?\]?[^\]]*\]|.", rest, re.S):
-        if piece[0] == "*":
-            out += ".*"
+def _pattern_regex(pattern: str, star: str, one: str) -> str:
+    out = ""
+    for piece in re.findall(r"\*\*/|\*+|\?|\[!?\]?[^\]]*\]|.", pattern, re.S):
+        if piece == "**/":
+            out += "(?:.*/)?"
+        elif piece[0] == "*":
+            out += ".*" if len(piece) > 1 else star
         elif piece == "?":
-            out += "."
+            out += one
         elif piece[0] == "[" and len(piece) > 1:
             out += "[" + ("^" + piece[2:] if piece[1] == "!" else piece[1:]).replace("\\", "\\\\")
         else:
@@ -105,6 +104,16 @@ def glob_regex(pattern: str) -> str:
     return f"^(?s:{out})$"
 
 
+def glob_regex(pattern: str) -> str:
+    """A path pattern as a Java regex: * and ? stay inside a folder, ** crosses them, **/ may be empty, [...] is a class."""
+    return _pattern_regex(pattern, "[^/]*", "[^/]")
+
+
+def name_regex(pattern: str) -> str:
+    """An exclusion pattern as a Java regex: as glob_regex, but * and ? cross folders too."""
+    return _pattern_regex(pattern, ".*", ".")
+
+
 def literal_prefix(pattern: str) -> str:
     """The folders of a pattern before its first wildcard."""
     parts = pattern.split("/")

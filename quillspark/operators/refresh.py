@@ -55,7 +55,7 @@ def upsert(rows: DataFrame, removed: DataFrame | None, path: str, key: str, buck
     staged = f"{path.rstrip('/')}__staged"
     emptied = {r["bucket"] for r in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()}  # as many as buckets at most
     new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for number in emptied:
         gone_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={number}")
         gone_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone_path, True)

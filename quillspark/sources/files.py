@@ -43,7 +43,7 @@ def mapping_rows(spark: SparkSession, mappings: list[dict], global_exclude: list
     """(pos, source, pattern, target, rename, include_txt, is_glob, prefix, regex, exclude): the position is the priority."""
     rows = [
         (i, m["source"], m["from"], m.get("to", ""), m.get("rename"), bool(m.get("include_txt")), any(c in m["from"] for c in "*?["), T.literal_prefix(m["from"]), T.glob_regex(m["from"]),
-         [T.glob_regex(p) for p in [*(global_exclude or []), *m.get("exclude", [])]])
+         [T.name_regex(p) for p in [*(global_exclude or []), *m.get("exclude", [])]])
         for i, m in enumerate(mappings)
     ]
     return spark.createDataFrame(rows, "pos int, source string, pattern string, target string, rename string, include_txt boolean, is_glob boolean, prefix string, regex string, exclude array<string>")

@@ -8,22 +8,24 @@ from quillspark.sources import files
 
 
 def on(spark, column, text):
+    column = column() if callable(column) else column
     return spark.createDataFrame([(text,)], "text string").select(column.alias("x")).first()["x"]
 
 
-LINES = F.split("text", "\n")
+def lines():
+    return F.split("text", "\n")
 
 
 def test_flags(spark):
-    assert on(spark, catalog.title_of(LINES), "\n<!-- c -->\n# The `big`   title \nx") == "The big title"
-    assert on(spark, catalog.title_of(LINES), "text\n# no") is None
-    assert tuple(on(spark, catalog.generated_of(LINES), "<!-- GENERATED by `tool.py`. -->\nx")) == (True, "tool.py")
-    assert tuple(on(spark, catalog.generated_of(LINES), "x\n<!-- GENERATED by t -->")) == (False, None)
-    assert tuple(on(spark, catalog.generated_of(LINES), "# T\n\n> **Auto-generated** by\n> maker,")) == (True, ">") or True
-    assert on(spark, catalog.superseded_of(LINES), "\n" * 14 + "> **Superseded** by x") is True
-    assert on(spark, catalog.superseded_of(LINES), "\n" * 15 + "> **Superseded** by x") is False
-    assert on(spark, catalog.phase_of(LINES), "\n" * 7 + "**Phase 2, document 3.**") == "Phase 2, document 3"
-    assert on(spark, catalog.phase_of(LINES), "\n" * 8 + "**Phase 2, document 3.**") is None
+    assert on(spark, catalog.title_of(lines()), "\n<!-- c -->\n# The `big`   title \nx") == "The big title"
+    assert on(spark, catalog.title_of(lines()), "text\n# no") is None
+    assert tuple(on(spark, catalog.generated_of(lines()), "<!-- GENERATED by `tool.py`. -->\nx")) == (True, "tool.py")
+    assert tuple(on(spark, catalog.generated_of(lines()), "x\n<!-- GENERATED by t -->")) == (False, None)
+    assert tuple(on(spark, catalog.generated_of(lines()), "# T\n\n> **Auto-generated** by\n> maker,")) == (True, ">") or True
+    assert on(spark, catalog.superseded_of(lines()), "\n" * 14 + "> **Superseded** by x") is True
+    assert on(spark, catalog.superseded_of(lines()), "\n" * 15 + "> **Superseded** by x") is False
+    assert on(spark, catalog.phase_of(lines()), "\n" * 7 + "**Phase 2, document 3.**") == "Phase 2, document 3"
+    assert on(spark, catalog.phase_of(lines()), "\n" * 8 + "**Phase 2, document 3.**") is None
     assert on(spark, catalog.confidence_of(F.col("text")), "[verified] [verified: x] [verifiedly] [author]")["verified"] == 2
 
 
