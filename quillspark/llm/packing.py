@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, split_words, text_slices
+from .common import hash_words, saved, split_words, text_slices
 
-#: Words whose ids a task remembers before it starts over.
-REMEMBERED = 1 << 17
+#: Words whose ids a worker process remembers (about 40 bytes each) before it starts over.
+REMEMBERED = 1 << 20
 
 
 @functools.cache
@@ -28,28 +29,60 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode(texts: pa.Array, path: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+class KnownWords:
+    """Token ids of words by a 64-bit hash of the word, as flat arrays sorted by hash."""
+
+    def __init__(self):
+        self.keys, self.starts, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint32)
+
+    def add(self, keys: np.ndarray, lists: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, lists), np.int32, len(lists))
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths + len(self.ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.starts, self.lengths = np.insert(self.starts, at, starts[order]), np.insert(self.lengths, at, lengths[order])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum()))])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and which of them are known."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+
+_known: dict[str, KnownWords] = {}
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, flat, and each text's bounds in them (one more than texts).
 
-    The tokenizer drops white space and no token crosses it, so each distinct word is encoded once; known keeps them.
+    For tokenizers that lower case, drop white space and part letters from other signs, as this one: no token crosses a
+    space or stands on both sides of a letter and a stop, so words parted there are encoded once each and remembered.
     """
-    words, bounds = split_words(texts)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a special token could come about
+        texts = pc.ascii_lower(texts)
+    words, bounds = split_words(pc.replace_substring_regex(texts, "([A-Za-z])([.,])", r"\1 \2"))
+    if not len(words):
+        return np.empty(0, np.uint32), bounds
     coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = [w for w in distinct if w not in known]
-    if new:
-        known.update(zip(new, (e.ids for e in _tokenizer(path).encode_batch_fast(new, add_special_tokens=False))))
-    ids = [known[w] for w in distinct]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
-    which = coded.indices.to_numpy().astype(np.int64)
-    each = lengths[which]
+    hashes = hash_words(coded.dictionary)
+    known = _known.setdefault(path, KnownWords())
+    at, found = known.find(hashes)
+    if not found.all():
+        if len(known.keys) > REMEMBERED:
+            known = _known[path] = KnownWords()
+            found = np.zeros(len(hashes), bool)
+        new = coded.dictionary.filter(pa.array(~found)).to_pylist()
+        known.add(hashes[~found], [e.ids for e in _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)])
+        at, _ = known.find(hashes)
+    which = coded.indices.to_numpy()
+    starts, each = known.starts[at][which], known.lengths[at][which].astype(np.int64)
     ends = np.cumsum(each)
-    gather = np.repeat(starts[which] - ends + each, each) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[gather], np.concatenate([[0], ends])[bounds]
+    gather = np.repeat(starts - ends + each, each) + np.arange(int(ends[-1]))
+    return known.ids[gather], np.concatenate([[0], ends])[bounds]
 
 
 def _cut(path: str, capacity: int, with_ids: bool):
@@ -57,9 +90,8 @@ def _cut(path: str, capacity: int, with_ids: bool):
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
-        for part in text_slices(batches, "text", 1 << 20):
-            flat, bounds = encode(part.column("text"), path, known)
+        for part in text_slices(batches, "text"):
+            flat, bounds = encode(part.column("text"), path)
             rows: list[list] = [[] for _ in schema]
             for doc, start, stop in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 ids = np.append(flat[start:stop], np.uint32(0)).astype("<u4")
