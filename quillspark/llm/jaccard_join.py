@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
     groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), percent)
     wanted = firsts.join(groups, "class").select("row_key", "group")
-    chosen = keyed.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"]).select("group", "text")
+    chosen = keyed.select("row_key", "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"]).select("group", "text")
     sets = saved(chosen.mapInArrow(_emit_sets(k), "group long, class long, size long, tokens binary"), "sets")
     finer = [_groups(sets.mapInArrow(_emit_again(percent, frequent, salt), columns), percent) for salt in ORDERS[1:]]
     groups = finer[0].withColumnRenamed("group", "g0")
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    tasks = sets.drop("group").join(placed.select("class", "group", F.explode(pairs).alias("pair")), "class").select("group", "pair.i", "pair.j", "class", "tokens")
+    tasks = sets.drop("group").join(placed.select("class", "group", F.explode(pairs).alias("pair")).hint("merge"), "class").select("group", "pair.i", "pair.j", "class", "tokens")
     joined = components(saved(tasks.groupBy("group", "i", "j").applyInArrow(_links_in_blocks(percent), "a long, b long"), "links"))
 
     placed = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
