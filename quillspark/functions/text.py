@@ -21,8 +21,8 @@ STOPWORDS = frozenset(
 #: What counts as a term of a query, and how many terms a query has at most.
 QUERY_TERM = r"[A-Za-z0-9_][A-Za-z0-9_.\-']*"
 MOST_TERMS = 64
-#: A token of the index: letters, digits and private-use characters.
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+#: Tokens of the index are letters, digits and private-use characters; this is what stands between them.
+BETWEEN = r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def _latin_bases() -> tuple[str, str]:
@@ -45,8 +45,8 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens in order; null text has none."""
-    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(TOKEN), 0), F.array().cast("array<string>"))
+    """Index tokens in order; null text has none. Splitting is several times faster than extracting matches."""
+    return F.array_remove(F.split(F.coalesce(fold(text), F.lit("")), BETWEEN), "")
 
 
 def query_terms(text: Column, folded: bool = True, most: int = MOST_TERMS) -> Column:
