@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, dealt over all cores where there are fewer files than cores; many files are read as they are."""
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def catalogued(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with metadata: language as scope, source as section, labels as verified and superseded."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -65,17 +72,17 @@ def _shown(scores: DataFrame, k: int) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(_bm25(table(spark, sf, "documents"), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0}), 10)
+    return _shown(_bm25(texts(spark, sf), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0}), 10)
 
 
 @query
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(_bm25(table(spark, sf, "documents"), _phrases(spark, sf, only_first=False), {"text": F.col("text")}, {"text": 1.0}), 10)
+    return _shown(_bm25(texts(spark, sf), _phrases(spark, sf, only_first=False), {"text": F.col("text")}, {"text": 1.0}), 10)
 
 
 @query
 def bm25_two_field(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("breadcrumb", F.concat_ws(" ", F.lit("the corpus"), "source", "lang"))
+    docs = texts(spark, sf).withColumn("breadcrumb", F.concat_ws(" ", F.lit("the corpus"), "source", "lang"))
     asked = spark.range(1).select(F.lit(0).cast("long").alias("item_id"), F.lit("src3 fr threthe leaux corpus").alias("text"))
     return _shown(_bm25(docs, lexical.query_phrases(asked, "item_id", F.col("text")), {"breadcrumb": F.col("breadcrumb"), "text": F.col("text")}, {"breadcrumb": 2.0, "text": 1.0}), 20)
 
@@ -83,17 +90,17 @@ def bm25_two_field(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
     asked = spark.range(1).select(F.lit(0).cast("long").alias("item_id"), F.lit("mit.license apache.license.version released").alias("text"))
-    return _shown(_bm25(table(spark, sf, "documents"), lexical.query_phrases(asked, "item_id", F.col("text")), {"text": F.col("text")}, {"text": 1.0}), 50)
+    return _shown(_bm25(texts(spark, sf), lexical.query_phrases(asked, "item_id", F.col("text")), {"text": F.col("text")}, {"text": 1.0}), 50)
 
 
 @query
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.term_stats(lexical.build_postings(table(spark, sf, "documents"), "doc_id", {"text": F.col("text")}))
+    return lexical.term_stats(lexical.build_postings(texts(spark, sf), "doc_id", {"text": F.col("text")}))
 
 
 @query
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    found = lexical.corpus_stats(lexical.row_lengths(table(spark, sf, "documents"), "doc_id", {"text": F.col("text")}))
+    found = lexical.corpus_stats(lexical.row_lengths(texts(spark, sf), "doc_id", {"text": F.col("text")}))
     return found.select("n_rows", F.round("avg_length", 6).alias("avg_length"))
 
 
@@ -130,7 +137,7 @@ def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 def _arms(spark: SparkSession, sf: str, docs: DataFrame, k: int = ranking.CANDIDATES) -> dict[str, tuple[DataFrame, float]]:
     """Keyword and vector ranks of allowed documents for the first item; vectors stand for the documents of their id."""
-    scores = _bm25(table(spark, sf, "documents"), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0})
+    scores = _bm25(texts(spark, sf), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0})
     allowed = docs.select(F.col("doc_id").alias("row_id"))
     words = ranking.top_by(scores.join(allowed, "row_id", "left_semi"), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id"))
     asked = _vectors(spark, sf).where("row_id = 0").select(F.col("row_id").alias("query_id"), "vec")
@@ -392,7 +399,7 @@ def link_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, items = texts(spark, sf), table(spark, sf, "benchmark")
     scores = _bm25(docs, _phrases(spark, sf, only_first=False), {"text": F.col("text")}, {"text": 1.0})
     hits = ranking.top_by(scores, 10, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id")).select(F.col("query_id").alias("case_id"), F.col("row_id").alias("doc_id"), "rank")
     # acceptable: documents of the residue class of the case
@@ -401,7 +408,7 @@ def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents_to_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("text").alias("body"))
+    return texts(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("text").alias("body"))
 
 
 @query
