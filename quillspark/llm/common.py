@@ -57,6 +57,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """One large object that a Python worker keeps for its next tasks; asking for another one drops it."""
+    if name not in _held:
+        _held.clear()
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds max_bytes of the column, or one row that is longer."""
     for batch in batches:

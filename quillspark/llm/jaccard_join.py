@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, hash_words, mix64, saved, split_words, text_slices
+from .common import components, hash_words, held, mix64, saved, split_words, text_slices
 
 #: Shingles counted as frequent; it sets the token orders and the size of what is broadcast (16 bytes each), never the links.
 MAX_FREQUENT = 1 << 17
@@ -86,6 +86,7 @@ def _scan(k: int):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("size", pa.int64()), ("class", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("", lambda: None)
         seen: set[int] = set()
         pool: list[np.ndarray] = []
         pooled = 0

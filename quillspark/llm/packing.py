@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import zlib
@@ -15,24 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_words, saved, split_words, text_slices
+from .common import hash_words, held, saved, split_words, text_slices
 
 #: Words whose ids a worker process remembers (about 40 bytes each) before it starts over.
 REMEMBERED = 1 << 20
 
 
-@functools.cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+class KnownWords:
+    """A tokenizer, and token ids of words by a 64-bit hash of the word, as flat arrays sorted by hash."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-class KnownWords:
-    """Token ids of words by a 64-bit hash of the word, as flat arrays sorted by hash."""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
 
-    def __init__(self):
+    def forget(self) -> None:
         self.keys, self.starts, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
@@ -52,9 +50,6 @@ class KnownWords:
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
 
-_known: dict[str, KnownWords] = {}
-
-
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, flat, and each text's bounds in them (one more than texts).
 
@@ -69,14 +64,14 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint32), bounds
     coded = words.dictionary_encode()
     hashes = hash_words(coded.dictionary)
-    known = _known.setdefault(path, KnownWords())
+    known = held(path, lambda: KnownWords(path))
     at, found = known.find(hashes)
     if not found.all():
         if len(known.keys) > REMEMBERED:
-            known = _known[path] = KnownWords()
+            known.forget()
             found = np.zeros(len(hashes), bool)
         new = coded.dictionary.filter(pa.array(~found)).to_pylist()
-        known.add(hashes[~found], [e.ids for e in _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)])
+        known.add(hashes[~found], [e.ids for e in known.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
         at, _ = known.find(hashes)
     which = coded.indices.to_numpy()
     starts, each = known.starts[at][which], known.lengths[at][which].astype(np.int64)
