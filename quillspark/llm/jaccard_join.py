@@ -118,7 +118,7 @@ def _scan(k: int):
     return scan
 
 
-_PREFIX = pa.schema([("group", pa.int64()), ("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32())])
+_PREFIX = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32())])
 
 
 def _emit_prefixes(k: int, percent: int, frequent):
@@ -138,26 +138,22 @@ def _emit_prefixes(k: int, percent: int, frequent):
                     sizes.append(len(s))
             every = np.concatenate(tokens).view(np.int64)
             repeats = [len(t) for t in tokens[1:]]
-            yield _rows(schema, np.zeros(len(every), np.int64), every, np.repeat(np.array(classes, np.int64), repeats), np.repeat(np.array(sizes, np.int32), repeats))
+            yield _rows(schema, every, np.repeat(np.array(classes, np.int64), repeats), np.repeat(np.array(sizes, np.int32), repeats))
 
     return emit
 
 
 def _emit_again(percent: int, frequent, salt: int):
-    """The prefix tokens of saved sets under another order, within the group of the orders before."""
+    """The prefix tokens of saved sets under another order; mixed with the set's group, so they meet within it only."""
     schema = _PREFIX
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "tokens"):
+            groups = part.column("group").to_numpy().view(np.uint64)
             found = [_prefix(np.frombuffer(t, np.uint64), frequent.value, percent, salt) for t in part.column("tokens").to_pylist()]
             repeats = [len(t) for t in found]
-            yield _rows(
-                schema,
-                np.repeat(part.column("group").to_numpy(), repeats),
-                np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64),
-                np.repeat(part.column("class").to_numpy(), repeats),
-                np.repeat(part.column("size").to_numpy().astype(np.int32), repeats),
-            )
+            tokens = mix64(np.concatenate([np.empty(0, np.uint64), *found]) ^ np.repeat(groups, repeats))
+            yield _rows(schema, tokens.view(np.int64), np.repeat(part.column("class").to_numpy(), repeats), np.repeat(part.column("size").to_numpy().astype(np.int32), repeats))
 
     return emit
 
@@ -213,30 +209,33 @@ def _links_in_blocks(percent: int):
     return find
 
 
-def _groups(prefixes: DataFrame, percent: int) -> DataFrame:
+def _groups(prefixes: DataFrame, percent: int, count: bool) -> DataFrame:
     """(class, group): classes that may be similar share a group; others have none.
 
-    prefixes: (group, token, class, size). A class must share the needed number of prefix tokens with others of fitting
-    size, else it is dropped. The others are connected along each token's classes in the order of size, so far as
-    neighbours' sizes fit. Counting brings together no more than one class's own tokens.
+    prefixes: (token, class, size). With count, a class must share the needed number of prefix tokens with others of
+    fitting size, else it is dropped. A token's other classes, in the order of size and so far as neighbours' sizes fit,
+    are connected to the first of them. Counting brings together no more than one class's own tokens.
     """
-    key = ["group", "token"]
-    dealt = prefixes.repartition(*key)
-    listed = dealt.groupBy(*key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("size").alias("most")).where("low < high AND most > 0")  # all columns, so that both sides read one exchange
-    lists = dealt.join(listed.select(*key).hint("shuffle_hash"), key).distinct()
-    by_size = W.partitionBy(*key).orderBy("size", "class")
-    near = (100 * F.lag("size").over(by_size) >= percent * F.col("size")) | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
-    paired = lists.withColumn("near", F.coalesce(near, F.lit(False))).where("near")
-    partner = F.floor(percent * F.col("size") / 100)  # the smallest size of a similar set
-    least = 1 + F.least(F.floor(partner / 4), 20 + F.floor(partner / 20))
-    held = saved(paired.groupBy("group", "class", "size").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least), "held")
-    left = held.select("group", "class", "size", F.explode("tokens").alias("token"))
-    steps = left.select("size", F.col("class").alias("a"), F.lead("class").over(by_size).alias("b"), F.lead("size").over(by_size).alias("next"))
-    edges = steps.where(100 * F.col("size") >= percent * F.col("next")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = prefixes.repartition("token")
+    listed = dealt.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("size").alias("most"))
+    listed = listed.where("low < high AND most > 0")  # all columns, so that both sides read one exchange
+    left = dealt.join(listed.select("token").hint("shuffle_hash"), "token").distinct()
+    by_size = W.partitionBy("token").orderBy("size", "class")
+    fits = 100 * F.lag("size").over(by_size) >= percent * F.col("size")
+    if count:
+        near = fits | (100 * F.col("size") >= percent * F.lead("size").over(by_size))
+        paired = left.withColumn("near", F.coalesce(near, F.lit(False))).where("near")
+        partner = F.floor(percent * F.col("size") / 100)  # the smallest size of a similar set
+        least = 1 + F.least(F.floor(partner / 4), 20 + F.floor(partner / 20))
+        held_ = saved(paired.groupBy("class", "size").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least), "held")
+        left = held_.select("class", "size", F.explode("tokens").alias("token"))
+    runs = left.withColumn("apart", F.when(fits, 0).otherwise(1)).withColumn("run", F.sum("apart").over(by_size))
+    head = F.first("class").over(W.partitionBy("token", "run").orderBy("size", "class"))
+    edges = runs.select(head.alias("a"), F.col("class").alias("b")).where("a <> b").distinct()
     return components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequent: int = MAX_FREQUENT, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequent: int = MAX_FREQUENT, block: int = 512) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their k-word shingle sets of percent or more.
 
     docs needs doc_id and text; other columns are ignored. Returns one row per row of docs: doc_id, n_shingles
@@ -262,13 +261,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, max_frequ
     by_value = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[by_value], np.arange(len(values))[by_value]))
 
-    columns = "group long, token long, class long, size int"
+    columns = "token long, class long, size int"
     firsts = classes.where("size > 0").groupBy("class").agg(F.min("row_key").alias("row_key"))
-    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), percent)
+    groups = _groups(texts.mapInArrow(_emit_prefixes(k, percent, frequent), columns), percent, count=True)
     wanted = firsts.join(groups, "class").select("row_key", "group")
     chosen = keyed.select("row_key", "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"]).select("group", "text")
     sets = saved(chosen.mapInArrow(_emit_sets(k), "group long, class long, size long, tokens binary"), "sets")
-    finer = [_groups(sets.mapInArrow(_emit_again(percent, frequent, salt), columns), percent) for salt in ORDERS[1:]]
+    finer = [_groups(sets.mapInArrow(_emit_again(percent, frequent, salt), columns), percent, count=False) for salt in ORDERS[1:]]
     groups = finer[0].withColumnRenamed("group", "g0")
     for i, more in enumerate(finer[1:], 1):
         groups = groups.join(more.withColumnRenamed("group", f"g{i}"), "class")
