@@ -101,6 +101,12 @@ class Engine:
         fields = F.struct("chunk_id", "doc_id", "title", "breadcrumb", "section", "game", "kind", F.round("score", 5).alias("score"), "arms", only_true.alias("generated"), "superseded", "text")
         return hits.select("rank", F.to_json(fields).alias("json"))
 
+    def dump_chunks(self, path: str) -> None:
+        """All chunks as JSON lines, each with its document's metadata."""
+        docs = self.table("documents")
+        meta = F.struct(*(c for c in docs.columns if c not in ("doc_id", "body"))).alias("document")
+        self.table("chunks").drop("game", "generated", "superseded", "embed_text").join(docs.select("doc_id", meta), "doc_id").write.mode("overwrite").json(path)
+
     def fetch(self, doc_id: str, chunk: int | None = None, most: int = BUDGET) -> DataFrame:
         """A document's chunks, those next to one of them, or its outline if the document is longer than most characters.
 

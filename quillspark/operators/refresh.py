@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,3 +59,27 @@ def upsert(rows: DataFrame, removed: DataFrame | None, path: str, key: str, buck
     for number in emptied:
         gone_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={number}")
         gone_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone_path, True)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
+    """Settings of an index, a few rows of key and value; empty if there are none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").parquet(path).collect()}
+
+
+def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    """Set some settings and keep the others; the last write of a key wins."""
+    merged = read_meta(spark, path) | values
+    spark.createDataFrame(sorted(merged.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def is_stale(meta: dict[str, str], stamp: str, version: str) -> bool:
+    """Whether an index was made from another catalog, or by another version of the chunker."""
+    return meta.get("catalog_stamp") != stamp or meta.get("chunk_version") != version
+
+
+def drop_set(table: DataFrame, source_set: str) -> DataFrame:
+    """A table without one source set; tables partitioned by it lose just that folder when they are rewritten."""
+    return table.where(~F.col("source_set").eqNullSafe(F.lit(source_set)))

@@ -92,3 +92,15 @@ def test_titles_and_copies(spark):
     assert {r["doc_id"]: r["unique_title"] for r in catalog.unique_titles(docs).collect()} == {"a": "T (s)", "b": "T", "c": None}
     pairs = spark.createDataFrame([("a", "b", False), ("a", "c", False), ("a", "c", True), ("a", "z", False)], "canonical string, copy string, expect_divergent boolean")
     assert sorted(r["status"] for r in catalog.check_copies(docs, pairs).collect()) == ["diverged", "expected", "missing", "same"]
+
+
+def test_meta(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    assert refresh.read_meta(spark, path) == {}
+    refresh.write_meta(spark, path, {"catalog_stamp": "1", "chunk_version": "1"})
+    refresh.write_meta(spark, path, {"catalog_stamp": "2"})
+    meta = refresh.read_meta(spark, path)
+    assert meta == {"catalog_stamp": "2", "chunk_version": "1"}
+    assert not refresh.is_stale(meta, "2", "1") and refresh.is_stale(meta, "3", "1")
+    sets = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source_set string, n int")
+    assert sorted(r["n"] for r in refresh.drop_set(sets, "a").collect()) == [2, 3]

@@ -19,6 +19,8 @@ def test_engine(spark, tmp_path):
     assert "dragon" in engine.render(engine.search("dragon"))
     assert engine.hit_json(engine.search("dragon")).count() >= 1
     assert engine.fetch("g/one#0").count() >= 1 and engine.fetch("g/one", most=10).first()["text"] is None
+    engine.dump_chunks(str(tmp_path / "dump"))
+    assert spark.read.json(str(tmp_path / "dump")).where("document.title = 'One'").count() == 2
     assert [r["doc_id"] for r in engine.list_docs(Filters(section="g")).collect()] == ["g/one", "g/two"]
 
 
