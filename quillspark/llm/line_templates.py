@@ -23,8 +23,8 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     masked = F.when(F.col("line").rlike("[0-9]"), masked).otherwise(tokens)
     lines = lines.select("text_key", "at", masked.alias("tokens"))
     lines = lines.withColumn("n", F.size("tokens")).where("n > 0")
-    leaf = F.xxhash64("n", F.array_join(F.slice("tokens", 1, depth), " "))
-    return lines.select("text_key", "at", "tokens", "n", leaf.alias("leaf"), F.xxhash64(F.array_join("tokens", " ")).alias("line_key"))
+    leaf = F.xxhash64("n", F.slice("tokens", 1, depth))
+    return lines.select("text_key", "at", "tokens", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("line_key"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5) -> DataFrame:
