@@ -9,28 +9,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, held, saved
 from .hnsw import usable
 
-#: Filters that a vector exceeds on average, and those it joins in any case.
-AVERAGE, LEAST = 24, 4
+#: Share of pairs at the least cosine that may have no common filter, and pairs drawn to find its level.
+MISSED, PROBES = 0.0005, 8192
+#: Filters that a vector joins in any case. A label of up to so many blocks of classes is one filter.
+LEAST, EXACT = 4, 8
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _front(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places at which no other one is larger in both a and b."""
+    order = np.lexsort((-b, -a))
+    top = np.maximum.accumulate(b[order])
+    return order[np.concatenate([[True], b[order][1:] > top[:-1]])]
 
 
 class ProductCode:
-    """side * side directions (c_i, d_j): random unit codewords c for the first half of the components, d for the second."""
+    """side * side directions (c_i, d_j): random unit codewords c for the first half of the components, d for the second.
 
-    def __init__(self, dimensions: int, side: int):
+    Vectors are rotated at random first, so that the share of pairs with a common filter does not hang on the data.
+    The level is such that pairs of cosine least have one but for a share of MISSED, as measured on random pairs.
+    """
+
+    def __init__(self, dimensions: int, side: int, least: float = 0.93):
         rng = np.random.default_rng(1000 * side + dimensions)
         half = max(1, dimensions // 2)
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         self.side, self.half = side, half
-        self.first, self.second = unit(rng.standard_normal((side, half))), unit(rng.standard_normal((side, max(1, dimensions - half))))
-        probe = unit(rng.standard_normal((512, dimensions)))
-        one, two = self._scores(probe)
-        both = np.sort((one[:, :, None] + two[:, None, :]).ravel())
-        self.level = both[max(0, len(both) - AVERAGE * len(probe))]
+        self.first, self.second = _unit(rng.standard_normal((side, half))), _unit(rng.standard_normal((side, max(1, dimensions - half))))
+        self.turn = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
+        self.level = -np.inf if side == 1 else float(np.quantile(self._shared(rng, dimensions, least), MISSED))
+
+    def _shared(self, rng: np.random.Generator, dimensions: int, least: float) -> np.ndarray:
+        """Of random pairs of cosine least, the highest level at which both exceed a filter.
+
+        Only codewords that no other one beats for both vectors of the pair can be in that filter, and these are few.
+        """
+        out = []
+        for _ in range(0, PROBES, 256):
+            x, z = _unit(rng.standard_normal((256, dimensions))), rng.standard_normal((256, dimensions))
+            z = _unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+            y = _unit(least * x + np.sqrt(max(0.0, 1 - least * least)) * z)
+            for x1, x2, y1, y2 in zip(*self._scores(x), *self._scores(y)):
+                i, j = _front(x1, y1), _front(x2, y2)
+                out.append(np.minimum(x1[i][:, None] + x2[j], y1[i][:, None] + y2[j]).max())
+        return np.array(out)
 
     def _scores(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = v @ self.turn
         rest = v[:, self.half :] if v.shape[1] > self.half else np.zeros((len(v), 1))
         return v[:, : self.half] @ self.first.T, rest @ self.second.T
 
@@ -49,22 +79,25 @@ class ProductCode:
         return out
 
 
-def _join_filters(side: int):
-    schema = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("filter", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("vector", pa.binary()), ("filters", pa.binary())])
+def _join_filters(least: float):
+    schema = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("side", pa.int32()), ("filter", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("vector", pa.binary()), ("earlier", pa.binary())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, ProductCode] = {}
+        codes = held(f"codes-{least}", dict)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 part = whole.slice(at, 1000)
                 rows: list[list] = [[] for _ in schema]
                 for row in part.to_pylist():
                     v = np.asarray(row["embedding"], dtype=np.float64)
-                    code = codes.get(len(v)) or codes.setdefault(len(v), ProductCode(len(v), side))
+                    kind = len(v), row["side"]
+                    code = codes.get(kind) or codes.setdefault(kind, ProductCode(*kind, least))
                     filters = code.decode((v / np.linalg.norm(v))[None, :])[0]
-                    values = (row["label"], len(v), filters, row["class"], row["members"], v.astype(np.float32).tobytes(), filters.astype(np.int64).tobytes())
+                    raw = filters.astype(np.int32).tobytes()
+                    earlier = [raw[: 4 * n] for n in range(len(filters))]
+                    values = (row["label"], *kind, filters, row["class"], row["members"], v.astype(np.float32).tobytes(), earlier)
                     for column, value in zip(rows, values):
-                        column.extend(value if value is filters else [value] * len(filters))
+                        column.extend(value if value is filters or value is earlier else [value] * len(filters))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
     return join
@@ -75,7 +108,7 @@ def _verify(least: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def verify(table: pa.Table) -> pa.Table:
-        here, i, j = (table.column(c)[0].as_py() for c in ("filter", "i", "j"))
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
         ids, members = table.column("class").to_numpy(), table.column("members").to_numpy()
         own = table.column("own").to_numpy()
         v = np.stack([np.frombuffer(x, np.float32) for x in table.column("vector").to_pylist()]).astype(np.float64)
@@ -89,9 +122,8 @@ def _verify(least: float):
             near = np.unique(np.concatenate([x, y]))
             place = np.full(len(ids), -1)
             place[near] = np.arange(len(near))
-            raw = table.column("filters").to_pylist()
-            lists = [np.frombuffer(raw[n], np.int64) for n in near.tolist()]
-            lists = [f[f < here] for f in lists]
+            raw = table.column("earlier").to_pylist()
+            lists = [np.frombuffer(raw[n], np.int32) for n in near.tolist()]
             names, columns = np.unique(np.concatenate(lists), return_inverse=True)
             has = np.zeros((len(near), len(names)), dtype=np.float32)
             has[np.repeat(np.arange(len(near)), [len(f) for f in lists]), columns] = 1
@@ -124,7 +156,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, side: int | None =
 
     embeddings needs vec_id, embedding and label; extra columns are ignored. Vectors of equal label that is not null
     link when their cosine is least or more in double precision, among the pairs that share a filter; pairs of that
-    cosine do so with a probability above 0.99. n_links counts the other vectors linked directly, component_id is the
+    cosine do so with a probability of 0.999, whatever the number of filters. A label of up to EXACT * block classes is
+    one filter, where all pairs meet: there the sums are exact. n_links counts the other vectors linked directly, component_id is the
     smallest vec_id reachable and kept marks the row whose own id that is.
 
     Null, zero and non-finite vectors and those without a label link with nothing. Equal vectors of a label form one
@@ -136,16 +169,17 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, side: int | None =
     keyed = own.withColumn("class", F.when(takes_part, F.xxhash64("label", "embedding")))
     classes = keyed.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("members"), F.min("vec_id").alias("first"))
     classes = saved(classes, "classes")
-    if side is None:
-        most = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
-        side = int(min(4096, max(32, np.ceil(np.sqrt(most)))))
-    columns = "label long, d int, filter long, class long, members long, vector binary, filters binary"
-    joined = saved(classes.mapInArrow(_join_filters(side), columns), "filters")
-    sizes = joined.groupBy("label", "d", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    sides = classes.groupBy("label").agg(F.count("*").alias("n"))
+    wanted = F.when(F.col("n") <= EXACT * block, 1).otherwise(F.least(F.lit(4096), F.greatest(F.lit(32), F.ceil(F.sqrt("n")))))
+    sides = sides.select("label", (wanted if side is None else F.lit(side)).cast("int").alias("side"))
+    columns = "label long, d int, side int, filter long, class long, members long, vector binary, earlier binary"
+    joined = saved(classes.join(sides, "label").mapInArrow(_join_filters(least), columns), "filters")
+    sizes = joined.groupBy("label", "d", "side", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.when(F.col("side") == 1, EXACT).otherwise(1))
+    sizes = sizes.select("label", "d", "filter", blocks.cast("int").alias("blocks"))
     dealt = joined.join(sizes, ["label", "d", "filter"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    tasks = dealt.withColumn("pair", F.explode(pairs)).select("label", "d", "filter", "pair.i", "pair.j", "own", "class", "members", "vector", "filters")
+    tasks = dealt.withColumn("pair", F.explode(pairs)).select("label", "d", "filter", "pair.i", "pair.j", "own", "class", "members", "vector", "earlier")
     found = saved(tasks.groupBy("label", "d", "filter", "i", "j").applyInArrow(_verify(least), "a long, b long, links long"), "found")
     groups = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "class")
     counts = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

@@ -3,6 +3,7 @@ from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import cap_near_dup, hnsw, url_filter
@@ -74,6 +75,35 @@ def test_near_vectors(spark):
     assert cap_near_dup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("side", [32, 316, 1000])
+def test_pairs_share_filters_at_every_side(side):
+    """At the least cosine, for random vectors and for such that have the first half of the components alone."""
+    rng = np.random.default_rng(17)
+    code = cap_near_dup.ProductCode(64, side)
+    for wide in (64, 32):
+        x, z = rng.standard_normal((2, 1000, 64)) * (np.arange(64) < wide)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        shared = sum(len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(code.decode(x), code.decode(y)))
+        assert shared >= 996
+
+
+def test_links_of_a_large_label(spark):
+    """Pairs close to the threshold: as one filter all links are found, over many filters nearly all."""
+    rng = np.random.default_rng(4)
+    x, z = rng.standard_normal((2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    for least, side in ((1000, None), (994, 316)):
+        found = cap_near_dup.near_vectors(vecs, side=side, block=128).collect()
+        assert all(r["n_links"] <= 1 and (r["n_links"] == 0 or r["component_id"] == r["vec_id"] % 500) for r in found)
+        assert sum(r["n_links"] for r in found) >= least
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
