@@ -54,7 +54,7 @@ def _idf(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
 
 
 def scan_licenses(
-    docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES, top: int = 8, posted: int = 4, least: float = 0.6
+    docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES, least: float = 0.6
 ) -> DataFrame:
     """Licence phrases and notices of each row of docs.
 
@@ -63,9 +63,10 @@ def scan_licenses(
     of templates), score (the best alignment's share of template words, 0 to 1) and notices (label, start, score of
     each aligned template).
 
-    The index holds the positions of each template's posted rarest words, by IDF over all documents. A document's top
-    rarest words of the index are looked up; each pair of positions gives an alignment, which counts if least of the
-    template's words stand at their relative positions and its key phrase is whole. Documents without the rarest word of any phrase hold none and are not
+    The index holds where the rarest word, by IDF over all documents, of each template's key phrase stands in the
+    template. Every place of such a word in a document gives an alignment, which counts if least of the template's words
+    stand at their relative positions and its key phrase is whole; as a whole key holds its rarest word, none is missed,
+    whatever else the document holds. Documents without the rarest word of any phrase hold none and are not
     looked at further. Null and empty texts have no words. Repeated rows give repeated results.
     """
     phrases = [(p.split(), label) for p, label in base]
@@ -83,19 +84,17 @@ def scan_licenses(
 
     starts = F.flatten(F.array(*(labelled(p, label) for p, label in phrases)))
 
-    # the rarest words of each template and of its key phrase, so that every alignment with a whole key can be found
-    rare_of = [sorted(set(t), key=lambda w: (-idf[w], w))[:posted] + [rarest(k)] for _, t, k in notices]
-    index = sorted({word for rare in rare_of for word in rare}, key=lambda x: (-idf[x], x))
-    ranks = F.create_map(*(F.lit(x) for i, word in enumerate(index) for x in (word, i)))
-    looked = F.slice(F.sort_array(F.transform(F.array_intersect(w, _literal(index)), lambda x: F.struct(F.element_at(ranks, x).alias("rank"), x.alias("word")))), 1, top)
-    postings = {word: [(t, at) for t, (_, notice, _) in enumerate(notices) if word in rare_of[t] for at, x in enumerate(notice) if x == word] for word in index}
+    key_starts = [next(i for i in range(len(n)) if n[i : i + len(k)] == k) for _, n, k in notices]
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, _, k) in enumerate(notices):
+        postings.setdefault(rarest(k), []).append((t, key_starts[t] + k.index(rarest(k))))
     pairs = F.create_map(*(x for word, own in postings.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in own)))))
     bodies = F.array(*(_literal(notice) for _, notice, _ in notices))
     keys = F.array(*(_literal(key) for _, _, key in notices))
-    key_at = F.array(*(F.lit(next(i for i in range(len(n)) if n[i : i + len(k)] == k)) for _, n, k in notices))
+    key_at = F.array(*(F.lit(i) for i in key_starts))
     labels = F.array(*(F.lit(label) for label, _, _ in notices))
 
-    hits = let(F.transform(F.col("looked"), lambda x: x["word"]), lambda rare: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(rare, F.get(w, i))))
+    hits = let(_literal(sorted(postings)), lambda rare: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(rare, F.get(w, i))))
     # an alignment as one number, so that distinct ones are found by hashing: template, then start, which may be negative
     numbers = F.transform(hits, lambda i: F.transform(F.element_at(pairs, F.get(w, i)), lambda p: p["t"].cast("long") * F.lit(1 << 40) + (i - p["at"] + (1 << 20))))
     aligned = F.transform(
@@ -114,7 +113,7 @@ def scan_licenses(
 
     flagged = words.withColumn("maybe", F.arrays_overlap(w, _literal(anchors)))
     empty_base, empty_notice = F.array().cast("array<struct<start:bigint,label:string>>"), F.array().cast("array<struct<label:string,start:bigint,score:double,whole:boolean>>")
-    found = flagged.withColumn("base", F.when(F.col("maybe"), starts).otherwise(empty_base)).withColumn("looked", F.when(F.col("maybe"), looked))
+    found = flagged.withColumn("base", F.when(F.col("maybe"), starts).otherwise(empty_base))
     found = found.withColumn("notices", F.when(F.col("maybe"), F.filter(F.transform(aligned, scored), lambda x: x["whole"] & (x["score"] >= least))).otherwise(empty_notice))
     of_base = F.transform("base", lambda x: x["label"])
     of_all = F.concat(of_base, F.transform("notices", lambda x: x["label"]))

@@ -103,6 +103,27 @@ def test_licenses(spark):
     assert all(0 <= g[7] <= 1 for g in got)
 
 
+def test_several_notices_in_a_text(spark):
+    """Every alignment with a whole key is found, whatever other rare words a text holds."""
+    bodies = [t for _, t, _ in license_scan.TEMPLATES]
+    rare = "any charge fee hereby software redistribution mozilla forms binary conditions published foundation gnu "
+    texts = [f"{bodies[9]} {bodies[6]}", f"{bodies[9]} {bodies[2]}", " and ".join(bodies), *(rare * 3 + b for b in bodies), *(f"{b} {b}" for b in bodies), "apache license", "version 2 mit license mit license", "cc by nc cc by sa"]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, "charge fee hereby software any word") for i in range(9))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in collected(license_scan.scan_licenses(docs))}
+    for doc_id, text in enumerate(texts):
+        w, want = text.split(), Counter()
+        for label, body, key in license_scan.TEMPLATES:
+            body, key = body.split(), key.split()
+            at = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+            for start in range(-at, len(w) - at):
+                same = sum(0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(body))
+                if w[start + at : start + at + len(key)] == key and same >= 0.6 * len(body):
+                    want[label, start, round(same / len(body), 9)] += 1
+        assert Counter((n["label"], n["start"], round(n["score"], 9)) for n in found[doc_id]["notices"]) == want
+        assert {label for label, _, _ in want} <= set(found[doc_id]["labels"].split(","))
+    assert found[2]["labels"] == "apache,bsd,cc-by-nc,cc-by-sa,gpl,isc,mit,mpl"
+
+
 def test_packing(spark, docs, no_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
