@@ -230,6 +230,24 @@ def test_substrings(spark, docs, no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
 
+def test_passages_of_51_words_are_cut_whole(spark):
+    """Each passage stands in two texts among other words; all but few are found, and those to the last word."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passages = [words(51) for _ in range(400)]
+    texts = [f"{words(40)} {p} {words(40)}" for p in passages + passages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in collected(substring_dedup.drop_repeats(docs))}
+    assert all(found[i]["dropped_bytes"] == 0 for i in range(400))
+    whole = [found[400 + i]["text"].count(" ") == 80 and p not in found[400 + i]["text"] for i, p in enumerate(passages)]
+    hit = sum(found[400 + i]["dropped_bytes"] > 0 for i in range(400))
+    assert hit >= 396 and sum(whole) >= 0.97 * hit, (hit, sum(whole))
+    for i, text in enumerate(texts):
+        for s in found[i]["spans"]:
+            assert text[s["start"] : s["stop"]] in texts[i - 400]
+
+
 def test_cuts_shift_with_the_content():
     import numpy as np
 
