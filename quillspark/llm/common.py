@@ -32,14 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, a saved table of a few numbers a row, marked for broadcast if it has no more than most rows; else joined in a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def words_between(text: Column, gaps: str) -> Column:
     """The words of a text between runs of the characters of a class. Splitting is several times faster than extracting."""
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), f"{gaps}+"), "")

@@ -39,16 +39,19 @@ WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
 lines AS (SELECT t, i, string_split(t, chr(10))[i] AS line FROM (SELECT t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM texts)),
 split AS (SELECT t, i, list_transform({_WORDS.format("line")}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM lines),
 marks AS (SELECT t, i, toks, len(toks) AS n, (len(toks), toks[1:3]) AS leaf FROM split WHERE len(toks) > 0),
-busy AS (SELECT leaf FROM marks GROUP BY leaf HAVING count(DISTINCT t) >= 5),
-weighed AS (SELECT leaf, toks, n, count(*) AS times FROM marks WHERE leaf IN (SELECT leaf FROM busy) GROUP BY ALL),
-fields AS (SELECT leaf, toks, n, times, unnest(toks) AS token, generate_subscripts(toks, 1) AS spot FROM weighed),
-totals AS (SELECT leaf, sum(times) AS total FROM weighed GROUP BY leaf),
-template AS (SELECT leaf, spot, token FROM fields JOIN totals USING (leaf) GROUP BY leaf, spot, token, total HAVING 2 * sum(times) > total),
-fits AS (SELECT f.leaf, f.toks FROM fields f JOIN template USING (leaf, spot, token) GROUP BY f.leaf, f.toks, f.n HAVING count(*) >= 0.8::DOUBLE * f.n),
-fitting AS (SELECT m.* FROM marks m JOIN fits USING (leaf, toks)),
-often AS (SELECT leaf FROM fitting GROUP BY leaf HAVING count(DISTINCT t) >= 5),
-cuts AS (SELECT t, list(i) AS cut, sum(n) AS cut_words FROM fitting WHERE leaf IN (SELECT leaf FROM often) GROUP BY t),
-cut AS (SELECT t, cut FROM cuts WHERE cut_words <= 0.5::DOUBLE * len({_WORDS.format("t")}))
+weighed AS (SELECT leaf, toks, n, count(DISTINCT t) AS texts FROM marks GROUP BY ALL),
+busy AS (SELECT leaf, sum(texts) AS total FROM weighed GROUP BY leaf HAVING sum(texts) >= 5),
+fields AS (SELECT leaf, toks, n, texts, total, unnest(toks) AS token, generate_subscripts(toks, 1) AS spot FROM weighed JOIN busy USING (leaf)),
+held AS (SELECT leaf, spot, token, sum(texts) >= 5 AS frequent, 2 * sum(texts) > total AS major FROM fields GROUP BY leaf, spot, token, total),
+known AS (
+  SELECT leaf, toks, n, count(*) FILTER (frequent) AS of_frequent, count(*) FILTER (major) AS of_major, list(CASE WHEN frequent THEN token END ORDER BY spot) AS body
+  FROM fields JOIN held USING (leaf, spot, token) GROUP BY leaf, toks, n),
+templates AS (
+  SELECT leaf, toks, body, 1 AS kind FROM known WHERE of_frequent >= 0.8::DOUBLE * n
+  UNION ALL SELECT leaf, toks, [], 0 FROM known WHERE of_major >= 0.8::DOUBLE * n),
+fitting AS (SELECT m.t, m.i, leaf, body, kind FROM marks m JOIN templates USING (leaf, toks)),
+often AS (SELECT leaf, body, kind FROM fitting GROUP BY ALL HAVING count(DISTINCT t) >= 5),
+cut AS (SELECT t, list(DISTINCT i) AS cut FROM fitting SEMI JOIN often USING (leaf, body, kind) GROUP BY t)
 SELECT doc_id, CASE WHEN cut IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(cut, i)), lambda i: string_split(text, chr(10))[i]), chr(10)) END AS text,
   CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(cut), 0)::BIGINT AS n_dropped
 FROM documents LEFT JOIN cut ON t = coalesce(text, '')
