@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .functions import records as R
 from .functions import text as T
 from .operators import chunking, lexical, lookup, ranking, refresh
 from .operators.filters import Filters, clamped
+from .operators.index import Stored
+from .sources import files
 
 #: Limits of the tools.
 BUDGET, MOST_HITS, MOST_DOCS, MOST_RECORDS = 14_000, 20, 500, 100
@@ -22,11 +26,27 @@ def chunk_fields() -> dict[str, Column]:
     return {name: F.col(name) for name in WEIGHTS}
 
 
+#: Columns of documents that may be left out, and their types.
+OPTIONAL = {
+    "game": "string", "section": "string", "kind": "string", "project": "string", "mod": "string", "tags": "array<string>", "generated": "boolean", "superseded": "boolean", "superseded_by": "string",
+    "verified": "int", "source_repo": "string", "source_path": "string", "path": "string", "confidence": "map<string,int>", "links_out": "array<string>",
+}
+
+
 class Engine:
-    """Documents, chunks, postings, lengths, vectors, records and scripts as tables below one folder."""
+    """Documents, chunks, postings, vectors, records and scripts as tables below one folder.
+
+    encode gives a query's vector; embed gives those of a batch of passages inside tasks; model names both, so that
+    vectors of another model are made anew.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, encode: Callable[[str], Sequence[float]] | None = None):
-        self.spark, self.root, self.encode = spark, root.rstrip("/"), encode
+    def __init__(
+        self, spark: SparkSession, root: str, encode: Callable[[str], Sequence[float]] | None = None, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, model: str = "", buckets: int = 64
+    ):
+        self.spark, self.root, self.encode, self.embed, self.model, self.buckets = spark, root.rstrip("/"), encode, embed, model, buckets
+        self.chunks = Stored(spark, self.root, "chunks", "chunk_id", "doc_id", chunk_fields(), buckets)
+        self.records = Stored(spark, self.root, "records", "path", "path", lookup.record_fields(), buckets)
+        self.scripts = Stored(spark, self.root, "scripts", "path", "path", lookup.script_fields(), buckets)
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -34,27 +54,98 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
 
-    def build(self, documents: DataFrame, vectors: DataFrame | None = None, term_buckets: int = 64) -> None:
-        """Index documents (doc_id, title, body, game, section, kind, project, mod, tags, generated, superseded, verified).
+    def _has(self, name: str) -> bool:
+        return refresh.exists(self.spark, self._path(name))
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(name))
+        return self.table(name)
+
+    def build(self, documents: DataFrame, vectors: DataFrame | None = None) -> dict[str, int]:
+        """Index documents anew, without anything that was there: (doc_id, title, body) and columns of OPTIONAL; vectors: (chunk_id, vec)."""
+        for name in ("documents", "vectors", "meta", *(f"chunks{x}" for x in ("", "_postings", "_stats", "_meta"))):
+            refresh.delete(self.spark, self._path(name))
+        return self.refresh(documents, vectors)
+
+    def _prepared(self, documents: DataFrame) -> DataFrame:
+        """Documents with all columns, and state: a hash of body, metadata and the version of the chunker."""
+        rows = documents.withColumn("doc_id", F.col("doc_id").cast("string"))
+        for name, kind in OPTIONAL.items():
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None).cast(kind))
+        return rows.withColumn("state", refresh.document_state(F.col("body"), F.lit(chunking.VERSION), *(F.to_json(F.struct(c)) for c in sorted(rows.columns) if c not in ("doc_id", "body"))))
 
-        Postings are laid out by a hash of the term and sorted by it, so a query reads a few row groups of a few
-        folders. vectors: (chunk_id, vec).
+    def plan(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, status) of documents against what is indexed."""
+        new = self._prepared(documents).select("doc_id", "state")
+        return refresh.plan(self.table("documents").select("doc_id", "state") if self._has("documents") else new.limit(0), new, "doc_id", ["state"])
+
+    def refresh(self, documents: DataFrame, vectors: DataFrame | None = None, stamp: str = "") -> dict[str, int]:
+        """Bring the index to documents, and return how many were added, changed, removed and left, and chunks embedded.
+
+        Only documents that were added or changed are chunked and indexed; those and removed ones lose their chunks,
+        postings and vectors. Chunks without vectors are embedded then, but for generated ones. Documents are written
+        last, so a run that is cut short is made up for by the next.
         """
-        documents.write.mode("overwrite").parquet(self._path("documents"))
-        docs = self.table("documents")
-        chunks = chunking.chunk(docs).join(docs.select("doc_id", "game", "generated", "superseded"), "doc_id")
-        chunks.write.mode("overwrite").parquet(self._path("chunks"))
-        chunks = self.table("chunks")
-        postings = lexical.build_postings(chunks, "chunk_id", chunk_fields()).withColumn("bucket", refresh.bucket("term", term_buckets))
-        postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(self._path("postings"))
-        lexical.row_lengths(chunks, "chunk_id", chunk_fields()).write.mode("overwrite").parquet(self._path("lengths"))
-        lexical.corpus_stats(self.table("lengths")).write.mode("overwrite").parquet(self._path("stats"))
+        plan = self._kept(self.plan(documents), "plan")
+        counts = {"added": 0, "changed": 0, "removed": 0, "unchanged": 0} | {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        touched = self._prepared(documents).join(plan.where("status in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi")
+        removed = plan.where("status = 'removed'").select("doc_id")
+        if counts["added"] + counts["changed"] + counts["removed"]:
+            cut = chunking.chunk(touched).join(touched.select("doc_id", "game", "generated", "superseded"), "doc_id")
+            self.chunks.replace(cut, removed)
+            if self._has("vectors"):  # those of replaced chunks go with them
+                gone = plan.where("status in ('changed', 'removed')").select("doc_id")
+                refresh.upsert(self.table("vectors").drop("bucket").limit(0), gone, self._path("vectors"), "doc_id", self.buckets)
+            refresh.upsert(touched, removed, self._path("documents"), "doc_id", self.buckets)
+        counts["embedded"] = self._embed(vectors)
+        refresh.write_meta(self.spark, self._path("meta"), {"catalog_stamp": stamp, "chunk_version": chunking.VERSION, "model": self.model})
+        return counts
+
+    def _embed(self, vectors: DataFrame | None) -> int:
+        """Add given vectors, and make those of chunks that lack them in batches inside tasks; another model drops all."""
+        if refresh.read_meta(self.spark, self._path("meta")).get("model", self.model) != self.model:
+            refresh.delete(self.spark, self._path("vectors"))
+        doc_id = F.regexp_replace("chunk_id", "#[0-9]+$", "").alias("doc_id")
         if vectors is not None:
-            vectors.write.mode("overwrite").parquet(self._path("vectors"))
+            self._put_vectors(vectors.select("chunk_id", doc_id, F.col("vec").cast("array<float>").alias("vec")))
+        if self.embed is None:
+            return 0
+        pending = self.pending()
+        n = pending.count()
+        if n:
+            embed = self.embed
+            udf = F.arrow_udf(lambda texts: pa.array([[float(x) for x in v] for v in embed(texts.to_pylist())], pa.list_(pa.float32())), "array<float>")
+            self._put_vectors(pending.select("chunk_id", doc_id, udf("embed_text").alias("vec")))
+        return n
+
+    def _put_vectors(self, new: DataFrame) -> None:
+        """Of one document, vectors of other chunks stay; of one chunk, the new vector counts."""
+        new = self._kept(new, "new_vectors")
+        if self._has("vectors"):
+            old = self.table("vectors").join(new.select("doc_id").distinct(), "doc_id", "left_semi").join(new.select("chunk_id"), "chunk_id", "left_anti")
+            new = self._kept(new.unionByName(old.select(*new.columns)), "all_vectors")
+        refresh.upsert(new, None, self._path("vectors"), "doc_id", self.buckets)
+
+    def pending(self) -> DataFrame:
+        """Chunks that are to have a vector and have none yet."""
+        rows = self.chunks.rows()
+        if not self._has("vectors"):
+            return rows.where(~F.coalesce("generated", F.lit(False)))
+        return refresh.pending(rows, self.table("vectors").select("chunk_id"))
+
+    def stats(self) -> DataFrame:
+        """One row: documents, generated, superseded and verified ones, sections, chunks, vectors, tokens."""
+        docs = self.table("documents").agg(
+            F.count("*").alias("n_docs"), F.count_if("generated").alias("n_generated"), F.count_if("superseded").alias("n_superseded"), F.count_if(F.col("verified") > 0).alias("n_verified"), F.countDistinct("section").alias("n_sections")
+        )
+        chunks = self.chunks.rows().agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_tokens"))
+        vectors = self.table("vectors").agg(F.count("*").alias("n_vectors")) if self._has("vectors") else self.spark.range(1).select(F.lit(0).cast("long").alias("n_vectors"))
+        return docs.crossJoin(chunks).crossJoin(vectors)  # three rows
 
     def _vector_arm(self, query: str, rows: DataFrame) -> DataFrame | None:
         """None, and with it keyword search alone, without an encoder or vectors."""
-        if self.encode is None:
+        if self.encode is None or not self._has("vectors"):
             return None
         asked = self.spark.createDataFrame([(0, [float(x) for x in self.encode(query)])], "query_id int, vec array<float>")
         vectors = self.table("vectors").join(rows.select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "row_id")
@@ -63,10 +154,11 @@ class Engine:
     def search(self, query: str, k: int = 5, filters: Filters = Filters()) -> DataFrame:
         """The k best chunks: keyword and vector ranks fused, boosts, at most three chunks of a document."""
         k = clamped(k, 1, MOST_HITS)
-        docs, chunks = self.table("documents"), self.table("chunks")
+        docs, chunks = self.table("documents"), self.chunks.rows()
         asked = self.spark.createDataFrame([(0, query)], "query_id int, q string")
         phrases = lexical.query_phrases(asked, "query_id", F.col("q"))
-        scores = lexical.bm25(self.table("postings"), self.table("lengths"), phrases, WEIGHTS, self.table("stats"))
+        index = self.chunks.index(phrases)
+        scores = lexical.bm25(index.postings, index.stats, phrases, WEIGHTS)
 
         def keyword_arm(f: Filters, most: int) -> tuple[DataFrame, DataFrame]:
             allowed = docs.where(f.predicate()).select("doc_id")
@@ -82,9 +174,12 @@ class Engine:
             arms["records"] = (keyword_arm(replace(filters, generated="only"), ranking.ROUTED)[0], 1.0)
         fused = ranking.rrf(arms).withColumnRenamed("row_id", "chunk_id")
         hits = fused.join(chunks.select("chunk_id", "doc_id", "chunk_index", "heading_path", "breadcrumb", "text"), "chunk_id")
-        hits = hits.join(docs.select("doc_id", "title", "section", "game", "kind", "generated", "superseded", "verified"), "doc_id")
+        own = docs.select("doc_id", "title", "section", "game", "kind", "generated", "superseded", "superseded_by", "verified", "source_repo", "source_path", "path", "confidence")
+        hits = hits.join(own, "doc_id")
         hits = hits.withColumn("score", ranking.boosted(F.col("score"), F.col("verified"), F.col("superseded"))).withColumn("row_id", F.col("chunk_id"))
-        return ranking.cap_per_doc(hits, k).drop("query_id", "row_id", "in_doc")
+        best = ranking.cap_per_doc(hits, k).drop("query_id", "row_id", "in_doc")
+        numbers = chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+        return best.join(numbers, "doc_id")
 
     def render(self, hits: DataFrame, budget: int = BUDGET) -> str:
         """Hits as text within the budget, with their flags; they are as few as a search returns."""
@@ -96,46 +191,107 @@ class Engine:
         return "\n\n".join(parts)
 
     def hit_json(self, hits: DataFrame) -> DataFrame:
-        """(rank, json) of each hit; generated only where it is true."""
-        only_true = F.when(F.col("generated"), F.lit(True))
-        fields = F.struct("chunk_id", "doc_id", "title", "breadcrumb", "section", "game", "kind", F.round("score", 5).alias("score"), "arms", only_true.alias("generated"), "superseded", "text")
-        return hits.select("rank", F.to_json(fields).alias("json"))
+        """(rank, json) of each hit; generated only where it is true, superseded_by only where the document is superseded."""
+        source = F.when(F.col("source_repo") != "", F.concat_ws(":", "source_repo", "source_path"))
+        always = F.struct(
+            "chunk_id", "doc_id", "title", "breadcrumb", "section", "game", "kind", F.round("score", 5).alias("score"), F.col("arms").alias("matched_by"), source.alias("source"), "path",
+            F.coalesce("confidence", F.create_map().cast("map<string,int>")).alias("confidence"), F.concat_ws(" of ", F.col("chunk_index") + 1, "n_chunks").alias("chunk"),
+        )
+        generated = F.when(F.col("generated"), ', "generated": true').otherwise("")
+        quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("null"))
+        superseded = F.when(F.col("superseded"), F.concat(F.lit(', "superseded_by": '), quoted("superseded_by"))).otherwise("")
+        start = F.regexp_replace(F.to_json(always, {"ignoreNullFields": "false"}), r"\}$", "")
+        return hits.select("rank", F.concat(start, generated, superseded, F.lit(', "text": '), quoted("text"), F.lit("}")).alias("json"))
 
     def dump_chunks(self, path: str) -> None:
         """All chunks as JSON lines, each with its document's metadata."""
         docs = self.table("documents")
-        meta = F.struct(*(c for c in docs.columns if c not in ("doc_id", "body"))).alias("document")
-        self.table("chunks").drop("game", "generated", "superseded", "embed_text").join(docs.select("doc_id", meta), "doc_id").write.mode("overwrite").json(path)
+        meta = F.struct(*(c for c in docs.columns if c not in ("doc_id", "body", "state", "bucket"))).alias("document")
+        self.chunks.rows().drop("game", "generated", "superseded", "embed_text", "length", "segment", "bucket").join(docs.select("doc_id", meta), "doc_id").write.mode("overwrite").json(path)
 
     def fetch(self, doc_id: str, chunk: int | None = None, most: int = BUDGET) -> DataFrame:
-        """A document's chunks, those next to one of them, or its outline if the document is longer than most characters.
+        """A document's body, the chunks next to one of its own, or its outline if it is longer than most characters.
 
         doc_id may be doc#n. Returns (first, last, heading, text); text is null in an outline.
         """
         if "#" in doc_id and doc_id.rsplit("#", 1)[1].isdigit():
             doc_id, number = doc_id.rsplit("#", 1)
             chunk = int(number) if chunk is None else chunk
-        own = self.table("chunks").where(F.col("doc_id") == doc_id)
-        heading = F.array_join("heading_path", chunking.CRUMB)
+        own = self.chunks.rows().where(F.col("doc_id") == doc_id)
+        heading = F.when(F.size("heading_path") > 0, F.array_join("heading_path", chunking.CRUMB)).otherwise("(opening)")
         if chunk is not None:
             own = own.where(F.col("chunk_index").between(chunk - 1, chunk + 1))
-        elif (own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) > most:
+            return own.select(F.col("chunk_index").alias("first"), F.col("chunk_index").alias("last"), heading.alias("heading"), "text").orderBy("first")
+        doc = self.table("documents").where(F.col("doc_id") == doc_id)
+        if (doc.select(F.length("body").alias("n")).first() or {"n": 0})["n"] > most:
             runs = ranking.outline_runs(own.select("doc_id", "chunk_index", heading.alias("heading")), ["doc_id"], "chunk_index", "heading")
             return runs.select("first", "last", "heading", F.lit(None).cast("string").alias("text")).orderBy("first")
-        return own.select(F.col("chunk_index").alias("first"), F.col("chunk_index").alias("last"), heading.alias("heading"), "text").orderBy("first")
+        last = own.agg(F.max("chunk_index").alias("last"))
+        return doc.crossJoin(last).select(F.lit(0).alias("first"), "last", F.col("title").alias("heading"), F.col("body").alias("text"))  # one row each
+
+    def links(self, doc_ids: DataFrame) -> DataFrame:
+        """(doc_id, n, linked, title): the documents that each of doc_ids (doc_id) links to, in order; title is null for one that is gone."""
+        docs = self.table("documents")
+        out = docs.join(doc_ids, "doc_id", "left_semi").select("doc_id", F.posexplode("links_out").alias("n", "linked"))
+        return out.join(docs.select(F.col("doc_id").alias("linked"), "title"), "linked", "left").select("doc_id", "n", "linked", "title")
 
     def list_docs(self, filters: Filters = Filters(), limit: int = 100) -> DataFrame:
         """Documents by section and id; generated and superseded ones are listed too."""
         wide = replace(filters, generated="include" if filters.generated == "exclude" else filters.generated, include_superseded=True)
         return self.table("documents").where(wide.predicate()).select("section", "doc_id", "title", "kind", "game").orderBy("section", "doc_id").limit(clamped(limit, 1, MOST_DOCS))
 
+    def refresh_records(self, records: DataFrame | None = None, scripts: DataFrame | None = None) -> dict[str, dict[str, int]]:
+        """Bring records and scripts, told apart by path, to the given tables; what has another size or time is indexed anew.
+
+        Counts of added, changed, removed and unchanged by table. Sets that are not in a given table go.
+        """
+        out = {}
+        for name, store, new in (("records", self.records, records), ("scripts", self.scripts, scripts)):
+            if new is None:
+                continue
+            old = store.rows() if store.exists() else new.limit(0)
+            plan = self._kept(refresh.plan(old.select("path", "size", "mtime"), new.select("path", "size", "mtime"), "path", ["size", "mtime"]), f"{name}_plan")
+            out[name] = {"added": 0, "changed": 0, "removed": 0, "unchanged": 0} | {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
+            if sum(out[name].values()) > out[name]["unchanged"]:
+                store.replace(new.join(plan.where("status in ('added', 'changed')").select("path"), "path", "left_semi"), plan.where("status = 'removed'").select("path"))
+        return out
+
+    def scan_sets(self, manifest: str) -> dict[str, dict[str, int]]:
+        """refresh_records from the trees that a manifest of source sets names."""
+        sets, _ = files.read_source_sets(self.spark, manifest)
+        trees = {"records": files.read_records, "scripts": files.read_scripts}
+        named = lambda s, rows: rows.withColumn("path", F.concat(F.lit(f"{s['name']}/"), "path"))  # noqa: E731  a path is of one set
+        found = {kind: [named(s, trees[kind](self.spark, s["root"], s["name"], s["game"])) for s in sets if s["kind"] == kind] for kind in trees}
+        return self.refresh_records(*(reduce(DataFrame.unionByName, own) if own else None for own in found.values()))
+
+    def drop_set(self, source_set: str) -> None:
+        """Delete a source set from records and scripts."""
+        for store in (self.records, self.scripts):
+            if store.exists():
+                gone = store.rows().where(F.col("source_set") == source_set).select("path")
+                store.replace(store.rows().drop("bucket", "length", "segment").limit(0), self._kept(gone, "gone"))
+
     def lookup(self, query: str, limit: int = 20, **filters) -> DataFrame:
-        return lookup.find(self.table("records"), self.table("scripts"), query, clamped(limit, 1, MOST_RECORDS), **filters)
+        """Exact hits, then records, then scripts, from the stored index."""
+        asked = self.spark.createDataFrame([(0, query)], "query_id int, q string")
+        phrases = lexical.query_phrases(asked, "query_id", F.col("q"))
+        has_scripts = self.scripts.exists()
+        return lookup.find(
+            self.records.rows(), self.scripts.rows() if has_scripts else None, query, clamped(limit, 1, MOST_RECORDS),
+            record_index=self.records.index(phrases), script_index=self.scripts.index(phrases) if has_scripts else None, **filters,
+        )
+
+    def record_stats(self) -> DataFrame:
+        """(source_set, game, n_records, n_scripts, n_types, n_named) of every set."""
+        return lookup.stats(self.records.rows(), self.scripts.rows())
 
     def read(self, query: str, full: bool = False, most: int = BUDGET, **filters) -> DataFrame:
-        """The first hit's text and up to three alternates: (path, label, text); other languages left out unless full."""
+        """The first hit's text and up to three alternates: (rank, path, label, text); other languages left out unless full."""
         hits = self.lookup(query, 4, **filters)
-        bodies = self.table("scripts").select("path", "text").unionByName(self.table("records").select("path", F.col("text") if "text" in self.table("records").columns else F.lit(None).cast("string").alias("text")))
+        of = lambda rows: rows.select("path", F.col("text") if "text" in rows.columns else F.lit(None).cast("string").alias("text"))
+        bodies = of(self.records.rows())
+        if self.scripts.exists():
+            bodies = bodies.unionByName(of(self.scripts.rows()))
         text = F.col("text") if full else R.without_locales(F.col("text"))
         first = F.col("rank") == 1
         return hits.join(bodies, "path", "left").select("rank", "path", "label", F.when(first, T.truncated(text, most)).alias("text")).orderBy("rank")

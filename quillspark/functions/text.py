@@ -21,6 +21,11 @@ STOPWORDS = frozenset(
 #: What counts as a term of a query, and how many terms a query has at most.
 QUERY_TERM = r"[A-Za-z0-9_][A-Za-z0-9_.\-']*"
 MOST_TERMS = 64
+#: Where an identifier falls into words, and the forms of a query that names a record.
+IDENTIFIER_GAP = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\-]+"
+FORM_ID = r"\b(?:0x[0-9A-Fa-f]{4,8}|[0-9A-Fa-f]{8})\b"
+PLUGIN_FILE = r"(?i)(?U)[\w\-' ]+\.(?:esp|esm|esl)\b"
+EDITOR_ID = r"(?U)\b[A-Za-z][A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*\b|\b\w*_[A-Za-z]\w*\b"
 #: Tokens of the index are letters, digits and private-use characters; this is what stands between them.
 BETWEEN = r"[^\p{L}\p{N}\p{Co}]+"
 
@@ -32,7 +37,9 @@ def _latin_bases() -> tuple[str, str]:
     return "".join(c for c, _ in marked), "".join(d for _, d in marked)
 
 
+#: Combining marks of decomposed letters stand last, without a counterpart, and so are left out.
 _MARKED, _BASES = _latin_bases()
+_MARKED += "".join(map(chr, range(0x300, 0x370)))
 
 
 def without_marks(text: Column) -> Column:
@@ -63,16 +70,13 @@ def query_terms(text: Column, folded: bool = True, most: int = MOST_TERMS) -> Co
 
 def split_identifier(text: Column) -> Column:
     """CamelCase, ACRONYMWord, snake_case and kebab-case as words."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\-]+", " ")
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), IDENTIFIER_GAP, " ")
     return F.trim(F.regexp_replace(spaced, " +", " "))
 
 
 def is_record_shaped(text: Column) -> Column:
     """Whether a query names a record: a form id, a plugin file, CamelCase or an identifier with underscores."""
-    form_id = text.rlike(r"\b(?:0x[0-9A-Fa-f]{4,8}|[0-9A-Fa-f]{8})\b")
-    plugin = text.rlike(r"(?i)(?U)[\w\-' ]+\.(?:esp|esm|esl)\b")
-    editor_id = text.rlike(r"(?U)\b[A-Za-z][A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*\b|\b\w*_[A-Za-z]\w*\b")
-    return F.coalesce(form_id | plugin | editor_id, F.lit(False))
+    return F.coalesce(text.rlike(FORM_ID) | text.rlike(PLUGIN_FILE) | text.rlike(EDITOR_ID), F.lit(False))
 
 
 def token_estimate(text: Column) -> Column:

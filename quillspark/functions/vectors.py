@@ -16,5 +16,6 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    """Divided by the norm, or by 1e-12 if that is smaller."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    """Divided by the norm, or by 1e-12 if that is smaller. The norm is computed once: it is bound, then used for each component."""
+    bound = F.transform(F.array(F.greatest(norm(a), F.lit(1e-12))), lambda n: F.transform(a, lambda x: x.cast("double") / n))
+    return F.get(bound, F.lit(0))

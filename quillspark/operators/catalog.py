@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 #: Tags of claims.
 CONFIDENCE = ("verified", "community", "unverified", "upstream", "author")
+#: Marks of generated and superseded documents and of phases, in the first lines of a file.
+GENERATED_COMMENT, GENERATED_QUOTE = r"(?i)^<!--\s*GENERATED\b", r"(?i)^>\s*(\*\*)?(auto-)?generated(\*\*)?\s+by\b"
+GENERATOR = r"(?i)\bby\s+`?([^`\s]+)`?"
+SUPERSEDED = "^>\\s*(⚠️\\s*)?\\*\\*(Replaced by|Superseded)\\b"
+PHASE = r"\*\*Phase (\d+), document (\d+)\.\*\*"
 
 
 def title_of(lines: Column) -> Column:
@@ -23,22 +28,20 @@ def title_of(lines: Column) -> Column:
 def generated_of(lines: Column) -> Column:
     """struct(generated, generator) from the first six lines: a comment on the first, or a quote on any."""
     head = F.slice(lines, 1, 6)
-    comment, quote = r"(?i)^<!--\s*GENERATED\b", r"(?i)^>\s*(\*\*)?(auto-)?generated(\*\*)?\s+by\b"
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(head) - 1, F.lit(0))), lambda i: ((i == 0) & F.get(head, i).rlike(comment)) | F.get(head, i).rlike(quote))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(head) - 1, F.lit(0))), lambda i: ((i == 0) & F.get(head, i).rlike(GENERATED_COMMENT)) | F.get(head, i).rlike(GENERATED_QUOTE))
     at = F.get(places, F.lit(0))
     near = F.concat_ws(" ", F.get(head, at), F.get(head, at + 1))
-    name = F.regexp_replace(F.regexp_extract(near, r"(?i)\bby\s+`?([^`\s]+)`?", 1), "[.,;:]+$", "")
+    name = F.regexp_replace(F.regexp_extract(near, GENERATOR, 1), "[.,;:]+$", "")
     return F.struct(at.isNotNull().alias("generated"), F.when(at.isNotNull() & (name != ""), name).alias("generator"))
 
 
 def superseded_of(lines: Column) -> Column:
-    return F.exists(F.slice(lines, 1, 15), lambda x: x.rlike("^>\\s*(⚠️\\s*)?\\*\\*(Replaced by|Superseded)\\b"))
+    return F.exists(F.slice(lines, 1, 15), lambda x: x.rlike(SUPERSEDED))
 
 
 def phase_of(lines: Column) -> Column:
-    pattern = r"\*\*Phase (\d+), document (\d+)\.\*\*"
-    first = F.get(F.filter(F.slice(lines, 1, 8), lambda x: x.rlike(pattern)), F.lit(0))
-    return F.when(first.isNotNull(), F.format_string("Phase %s, document %s", F.regexp_extract(first, pattern, 1), F.regexp_extract(first, pattern, 2)))
+    first = F.get(F.filter(F.slice(lines, 1, 8), lambda x: x.rlike(PHASE)), F.lit(0))
+    return F.when(first.isNotNull(), F.format_string("Phase %s, document %s", F.regexp_extract(first, PHASE, 1), F.regexp_extract(first, PHASE, 2)))
 
 
 def confidence_of(body: Column, tags: tuple[str, ...] = CONFIDENCE) -> Column:
@@ -47,14 +50,17 @@ def confidence_of(body: Column, tags: tuple[str, ...] = CONFIDENCE) -> Column:
 
 
 def unique_titles(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, title, section) and unique_title: of documents that share a title, the title with its section."""
-    shared = F.count("*").over(W.partitionBy("title")) > 1
+    """docs (doc_id, title, section) and unique_title: of documents that share a title, the title with its section.
+
+    Titles are counted apart and joined, so that a title of many documents is no single task's work. Null titles are not shared.
+    """
+    shared = title_collisions(docs).select("title", F.lit(True).alias("_shared"))
     with_section = F.when(F.col("section") != "", F.concat("title", F.lit(" ("), "section", F.lit(")"))).otherwise(F.col("title"))
-    return docs.withColumn("unique_title", F.when(shared, with_section))
+    return docs.join(shared, "title", "left").withColumn("unique_title", F.when(F.col("_shared"), with_section)).select(*docs.columns, "unique_title")
 
 
 def title_collisions(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+    return docs.where("title is not null").groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def duplicate_copies(docs: DataFrame, hash_column: str = "content_sha256") -> DataFrame:
@@ -68,7 +74,7 @@ def check_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     found = pairs.join(hashes("canonical"), "canonical", "left").join(hashes("copy"), "copy", "left")
     same = F.col("canonical_hash") == F.col("copy_hash")
     status = F.when(F.col("copy_hash").isNull() | F.col("canonical_hash").isNull(), "missing").when(same, "same").when(F.col("expect_divergent"), "expected").otherwise("diverged")
-    return found.select("canonical", "copy", status.alias("status"))
+    return found.select("canonical", "copy", "expect_divergent", status.alias("status"))
 
 
 def picked(key: str, kind: str, default: Column, override: Column, mapping: Column) -> Column:
@@ -86,6 +92,7 @@ def tags_of(mapping_tags: Column, override_tags: Column, source: Column) -> Colu
     return F.when(F.array_contains(tags, own), tags).otherwise(F.concat(tags, F.array(own)))
 
 
+#: Links, link definitions, code spans, fences, and targets that are not relative.
 _LINK = re.compile(r"(!?\[[^\]]*\]\()(<?)([^)\s>]+)(>?)((?:\s+\"[^\"]*\")?\))")
 _DEFINITION = re.compile(r"^(\s{0,3}\[[^\]]+\]:\s*)(\S+)(.*)$")
 _SPAN = re.compile(r"(`+)(.+?)\1")

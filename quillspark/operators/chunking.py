@@ -15,6 +15,8 @@ from ..functions import text as T
 #: Sizes in characters, and what joins a breadcrumb.
 TARGET, MOST, LEAST = 1800, 3000, 400
 CRUMB = " › "
+#: A new number has all documents chunked again.
+VERSION = "1"
 FENCE = re.compile(r"\s{0,3}(```|~~~)")
 HEADING = re.compile(r"\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$")
 ROW = re.compile(r"\s{0,3}\|")
@@ -182,3 +184,9 @@ def audit(chunks: DataFrame) -> DataFrame:
         F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.count_if(F.length("text") > MOST).alias("oversize"),
         F.count_if(fences % 2 == 1).alias("unbalanced"), F.round(F.count("*") / F.countDistinct("doc_id"), 6).alias("per_doc"), F.max(F.length("text")).cast("long").alias("longest"),
     )
+
+
+def longest(chunks: DataFrame, n: int = 8) -> DataFrame:
+    """The n largest chunks: (chunk_id, n_chars)."""
+    size = F.length("text").cast("long").alias("n_chars")
+    return chunks.select("chunk_id", size).orderBy(F.desc("n_chars"), "chunk_id").limit(n)

@@ -43,9 +43,10 @@ class Filters:
         if self.text:
             found.append(F.lower("doc_id").contains(self.text.lower()) | F.lower("title").contains(self.text.lower()))
         if self.generated != "include":
-            found.append(F.col("generated") if self.generated == "only" else ~F.col("generated"))
+            generated = F.coalesce(F.col("generated"), F.lit(False))  # a flag that is not set is no
+            found.append(generated if self.generated == "only" else ~generated)
         if not self.include_superseded:
-            found.append(~F.col("superseded"))
+            found.append(~F.coalesce(F.col("superseded"), F.lit(False)))
         return reduce(and_, found, F.lit(True))
 
 

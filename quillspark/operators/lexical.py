@@ -11,13 +11,37 @@ from ..functions import text as T
 
 #: Fixed values of the score.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Phrases of all queries that are sent to every task; more are joined in a shuffle.
+MOST_SENT = 200_000
+
+
+def tokenised(rows: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
+    """(row_id, length, field, terms): the tokens of each field; length counts those of all fields of the row."""
+    lists = rows.select(F.col(row_id).alias("row_id"), *(T.tokens(c).alias(f"f_{name}") for name, c in fields.items()))
+    length = sum((F.size(f"f_{name}") for name in fields), F.lit(0)).cast("long").alias("length")
+    each = F.array(*(F.struct(F.lit(name).alias("field"), F.col(f"f_{name}").alias("terms")) for name in fields))
+    return lists.select("row_id", length, F.explode(each).alias("f")).select("row_id", "length", "f.field", "f.terms")
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    """(row_id, length, field, term, positions) from (row_id, length, field, pos, term)."""
+    return tokens.groupBy("row_id", "length", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def build_postings(rows: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
-    """(row_id, field, pos, term): one row for each token of each field."""
-    per_field = [F.struct(F.lit(name).alias("field"), T.tokens(column).alias("terms")) for name, column in fields.items()]
-    lists = rows.select(F.col(row_id).alias("row_id"), F.explode(F.array(*per_field)).alias("f"))
-    return lists.select("row_id", F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
+    """(row_id, length, field, term, positions): one row for each distinct term of a field, with the row's length.
+
+    Lists are made inside their row, so nothing is shuffled: terms sort within their field, and equal neighbours join.
+    """
+    lists = tokenised(rows, row_id, fields)
+    places = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    one = lists.select("row_id", "length", "field", F.sort_array(places).alias("sorted"), F.array_distinct(F.sort_array("terms")).alias("kinds"))
+    # where each distinct term begins: both lists are in one order, so places of a term are a slice
+    starts = F.filter(F.transform("sorted", lambda x, i: F.when((i == 0) | (x["term"] != F.get("sorted", i - 1)["term"]), i)), lambda i: i.isNotNull())
+    spans = one.withColumn("starts", starts).select("row_id", "length", "field", "sorted", "starts", F.posexplode("kinds").alias("k", "term"))
+    first = F.get("starts", F.col("k"))
+    after = F.coalesce(F.get("starts", F.col("k") + 1), F.size("sorted"))
+    return spans.select("row_id", "length", "field", "term", F.transform(F.slice("sorted", first + 1, after - first), lambda x: x["pos"]).alias("positions"))
 
 
 def row_lengths(rows: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
@@ -31,10 +55,11 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_rows"), F.avg("length").alias("avg_length"))
 
 
-def term_stats(postings: DataFrame) -> DataFrame:
-    """(term, df, cf): rows with the term in any field, and its occurrences."""
-    per_row = postings.groupBy("term", "row_id").agg(F.count("*").alias("n"))
-    return per_row.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+def term_stats(rows: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
+    """(term, df, cf): rows with the term in any field, and its occurrences. Terms are counted within a row before they move."""
+    sorted_ = rows.select(F.sort_array(F.concat(*(T.tokens(c) for c in fields.values()))).alias("terms"))
+    each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.get("terms", i - 1)), 1).otherwise(0).alias("new")))
+    return sorted_.select(F.explode(each).alias("t")).groupBy("t.term").agg(F.sum("t.new").alias("df"), F.count("*").alias("cf"))
 
 
 def query_phrases(queries: DataFrame, query_id: str, text: Column, folded: bool = True) -> DataFrame:
@@ -43,29 +68,45 @@ def query_phrases(queries: DataFrame, query_id: str, text: Column, folded: bool
     return terms.select("query_id", "term_no", T.tokens(F.col("term")).alias("phrase")).where(F.size("phrase") > 0)
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, phrases: DataFrame, weights: Mapping[str, float], stats: DataFrame | None = None) -> DataFrame:
+def wanted_terms(phrases: DataFrame) -> DataFrame:
+    """(term): distinct tokens of the phrases, sent to every task while they are few enough."""
+    terms = phrases.select(F.explode("phrase").alias("term")).distinct()
+    return F.broadcast(terms) if phrases.count() <= MOST_SENT else terms
+
+
+def postings_of(rows: DataFrame, row_id: str, fields: Mapping[str, Column], phrases: DataFrame) -> DataFrame:
+    """The postings of rows that the phrases can hit, without an index: other tokens go where they are read."""
+    lists = tokenised(rows, row_id, fields)
+    tokens = lists.select("row_id", "length", "field", F.posexplode("terms").alias("pos", "term"))
+    return _postings(tokens.join(wanted_terms(phrases), "term", "left_semi"))
+
+
+def bm25(postings: DataFrame, stats: DataFrame, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """(query_id, row_id, score) of all rows that hold a phrase of the query.
 
-    Row count, mean length and document frequencies are those of the whole index, whatever filters follow. A phrase
-    stands in one field in consecutive positions; a repeated term of a query counts each time. Distinct phrases are
-    joined with postings by their first token, further tokens by row and position, so no row of postings is collected.
+    postings: (row_id, length, field, term, positions), of the whole index or of what the phrases can hit; stats: one
+    row of n_rows, avg_length. Statistics are those of the whole index, whatever filters follow. A phrase stands in one
+    field in consecutive positions; a repeated term of a query counts each time. Distinct phrases meet their tokens'
+    postings, and the tokens of a phrase meet by row and field, so a list holds no more than one field of a row.
     """
-    stats = corpus_stats(lengths) if stats is None else stats
     distinct = phrases.select("phrase").distinct()
-    hits = postings.join(distinct.withColumn("term", F.element_at("phrase", 1)), "term").select("phrase", "row_id", "field", "pos")
-    longest = distinct.agg(F.max(F.size("phrase")).alias("n")).first()["n"] or 0
-    for k in range(1, longest):
-        follows = postings.select("row_id", "field", (F.col("pos") - k).alias("pos"), F.col("term").alias("next"))
-        ends = hits.where(F.size("phrase") <= k)
-        goes_on = hits.where(F.size("phrase") > k).join(follows, ["row_id", "field", "pos"]).where(F.col("next") == F.get("phrase", F.lit(k))).drop("next")
-        hits = ends.unionByName(goes_on.select(*ends.columns))
+    few = phrases.count() <= MOST_SENT
+    sent = F.broadcast if few else lambda df: df
+    single = distinct.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
+    hits = postings.join(sent(single), "term").select("phrase", "row_id", "length", "field", F.size("positions").alias("times"))
+    longer = distinct.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("k", "term"))
+    # a phrase stands where all of its tokens, each moved back by its place, have one position
+    moved = F.transform("positions", lambda p: p - F.col("k"))
+    met = postings.join(sent(longer), "term").groupBy("phrase", "row_id", "length", "field").agg(F.count("*").alias("n"), F.collect_list(moved).alias("starts")).where(F.col("n") == F.size("phrase"))
+    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    hits = hits.unionByName(met.select("phrase", "row_id", "length", "field", F.size(common).alias("times")).where("times > 0"))
     weight = F.create_map(*(x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))))
-    found = hits.groupBy("phrase", "row_id").agg(F.sum(F.element_at(weight, F.col("field"))).alias("f"))
+    found = hits.groupBy("phrase", "row_id", "length").agg(F.sum(F.element_at(weight, F.col("field")) * F.col("times")).alias("f"))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).select("phrase", "avg_length", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    times = phrases.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+    asked = idf.join(times, "phrase")  # a row for each phrase of each query
     share = 1 - B + B * F.col("length") / F.col("avg_length")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * share)
-    scored = found.join(idf, "phrase").join(lengths, "row_id").select("phrase", "row_id", part.alias("part"))
-    times = phrases.groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    return scored.join(times, "phrase").groupBy("query_id", "row_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    return found.join(sent(asked), "phrase").groupBy("query_id", "row_id").agg(F.sum(part * F.col("times")).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,13 @@ SCRIPT_WEIGHTS = {"name": 5.0, "name_split": 4.0, "text": 1.0}
 EXACT = 100.0
 
 
+class Index(NamedTuple):
+    """Postings that a query can hit, and the statistics of the whole index."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
 def record_fields() -> dict[str, Column]:
     return {"editor_id": F.col("editor_id"), "editor_id_split": T.split_identifier(F.col("editor_id")), "name_en": F.col("name_en"), "record_type": F.col("record_type")}
 
@@ -34,13 +43,19 @@ def exact_key(query: Column) -> Column:
     return F.coalesce(by_form, F.lit(False)) | F.coalesce(by_key, F.lit(False)) | F.coalesce(by_editor, F.lit(False))
 
 
+def scanned(rows: DataFrame, fields: dict[str, Column], phrases: DataFrame) -> Index:
+    """The index of a table that has none: one pass for its statistics, one for the tokens of the phrases."""
+    return Index(lexical.postings_of(rows, "path", fields, phrases), lexical.corpus_stats(lexical.row_lengths(rows, "path", fields)))
+
+
 def find(
-    records: DataFrame, scripts: DataFrame | None, query: str, limit: int = 20, game: str | None = None, record_type: str | None = None, plugin: str | None = None, kind: str = "any", strict: bool = False
-) -> DataFrame:
+    records: DataFrame, scripts: DataFrame | None, query: str, limit: int = 20, game: str | None = None, record_type: str | None = None, plugin: str | None = None, kind: str = "any", strict: bool = False,
+    record_index: Index | None = None, script_index: Index | None = None,
+) -> DataFrame:
     """(path, arm, label, score, rank): exact hits, then records, then scripts, each path once, limit in all.
 
     strict lets the exact arm ignore kind, record type and plugin, as lookups by key are often meant. Statistics are
-    those of all records or scripts; filters act on the hits.
+    those of all records or scripts; filters act on the hits. Without a stored index the tables are scanned.
     """
     spark = records.sparkSession
     asked = spark.createDataFrame([(0, query)], "query_id int, q string")
@@ -53,12 +68,12 @@ def find(
         exact = records.where(exact_key(F.lit(query)) & scope & (F.lit(True) if strict else narrow))
         arms.append(hits(exact.withColumn("score", F.lit(EXACT)), 0, "editor_id"))
     if kind in ("any", "record"):
-        fields = record_fields()
-        scored = lexical.bm25(lexical.build_postings(records, "path", fields), lexical.row_lengths(records, "path", fields), phrases, RECORD_WEIGHTS)
+        index = record_index or scanned(records, record_fields(), phrases)
+        scored = lexical.bm25(index.postings, index.stats, phrases, RECORD_WEIGHTS)
         arms.append(hits(records.where(scope & narrow).join(scored.withColumnRenamed("row_id", "path"), "path"), 1, "editor_id"))
     if scripts is not None and kind in ("any", "script") and not record_type and not plugin:
-        fields = script_fields()
-        scored = lexical.bm25(lexical.build_postings(scripts, "path", fields), lexical.row_lengths(scripts, "path", fields), phrases, SCRIPT_WEIGHTS)
+        index = script_index or scanned(scripts, script_fields(), phrases)
+        scored = lexical.bm25(index.postings, index.stats, phrases, SCRIPT_WEIGHTS)
         arms.append(hits(scripts.where(scope).join(scored.withColumnRenamed("row_id", "path"), "path"), 2, "name"))
     found = arms[0]
     for arm in arms[1:]:

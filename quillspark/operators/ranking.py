@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-from ..functions import vectors as V
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed values of fusion.
 CANDIDATES, ROUTED, RRF_K = 60, 20, 10
@@ -21,22 +24,54 @@ def top_by(df: DataFrame, k: int, partition: list[str], *order: Column, rank: st
     return ranked.where(F.col(rank) <= k)
 
 
-def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as unit rows in double precision; a zero one stays zero."""
+    if not len(vectors):
+        return np.empty((0, 0))
+    rows = np.asarray(pc.list_flatten(vectors).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), -1)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _nearest_in_batches(sent, k: int, kinds: tuple[pa.DataType, pa.DataType]):
+    schema = pa.schema([("query_id", kinds[0]), ("row_id", kinds[1]), ("score", pa.float64())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = sent.value
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("vec")))
+            if not len(batch) or not len(ids):
+                continue
+            rows = _matrix(batch.column("vec"))
+            for start in range(0, len(ids), 512):
+                scores = np.round(rows @ queries[start : start + 512].T, 9)
+                # all that reach the k-th best score of a query, ties with it included
+                least = np.partition(scores, -k, axis=0)[-k] if len(rows) > k else np.full(scores.shape[1], -np.inf)
+                r, q = np.nonzero(scores >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + start)), batch.column("row_id").take(pa.array(r)), pa.array(scores[r, q])], schema=schema)
+
+    return near
+
+
+def cosine(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, block: int = 10_000) -> DataFrame:
     """(query_id, row_id, score, rank): the k rows of largest cosine for each query.
 
-    queries: (query_id, vec), few enough to send to every task: that is checked, and more are joined in a shuffle by blocks.
-    vectors: (row_id, vec). Filter vectors before. Ties go to the smaller row_id, of scores rounded to nine places.
+    queries: (query_id, vec), a stated set that is sent to the tasks in blocks of so many, each block in a pass of its own;
+    vectors: (row_id, vec), all of one length. Filter vectors before. Batches are matrix products, and only their best
+    rows for each query are shuffled. Ties go to the smaller row_id, of scores rounded to nine places.
     """
-    q = queries.select("query_id", V.l2_normalise(F.col("vec")).alias("q"))
-    if q.count() <= 10_000:
-        pairs = vectors.select("row_id", V.l2_normalise(F.col("vec")).alias("v")).crossJoin(F.broadcast(q))
-    else:
-        blocks = 64
-        here = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        there = vectors.select("row_id", V.l2_normalise(F.col("vec")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        pairs = there.join(here, "block")
-    scored = pairs.select("query_id", "row_id", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"))
-    return top_by(scored, k, ["query_id"], F.desc("score"), F.asc("row_id"))
+    spark = queries.sparkSession
+    asked = queries.select("query_id", "vec").where("vec is not null")
+    blocks = max(1, -(-asked.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    rows = vectors.select("row_id", "vec")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, row_id {vectors.schema['row_id'].dataType.simpleString()}, score double"
+    found = []
+    for i in range(blocks):
+        part = asked.where(number == i).toArrow().combine_chunks()
+        ids, vecs = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in (part.column("query_id"), part.column("vec")))
+        kinds = ids.type, to_arrow_type(vectors.schema["row_id"].dataType)
+        found.append(rows.mapInArrow(_nearest_in_batches(spark.sparkContext.broadcast((ids, _matrix(vecs))), k, kinds), schema))
+    return top_by(reduce(DataFrame.unionByName, found), k, ["query_id"], F.desc("score"), F.asc("row_id"))
 
 
 def rrf(arms: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:

@@ -25,7 +25,7 @@ def document_state(body: Column, *metadata: Column) -> Column:
 
 def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks that are embedded at some time and have no vector yet."""
-    return chunks.where(~F.col("generated")).join(embeddings, "chunk_id", "left_anti")
+    return chunks.where(~F.coalesce(F.col("generated"), F.lit(False))).join(embeddings, "chunk_id", "left_anti")
 
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
@@ -41,37 +41,61 @@ def bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+
+
 def upsert(rows: DataFrame, removed: DataFrame | None, path: str, key: str, buckets: int = 64) -> None:
-    """Replace rows by key, and delete removed keys, in a Parquet table by bucket; untouched buckets are not written."""
+    """Replace rows by key, and delete removed keys, in a Parquet table by bucket; untouched buckets are not written.
+
+    What a bucket is to hold is staged whole before it takes the place of the old rows. Buckets of which nothing is left
+    go first: a run that is cut short leaves old rows of changed keys, which the next one replaces, but no removed ones
+    that it would miss.
+    """
     spark = rows.sparkSession
     gone = rows.select(key) if removed is None else rows.select(key).unionByName(removed.select(key))
     touched = gone.select(bucket(key, buckets).alias("bucket")).distinct()
     new = rows.withColumn("bucket", bucket(key, buckets))
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    if exists(spark, path):
         kept = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(gone.distinct(), key, "left_anti")
-        # the new partitions are complete before they take the place of the old ones
         new = new.unionByName(kept.select(*new.columns))
     staged = f"{path.rstrip('/')}__staged"
-    emptied = {r["bucket"] for r in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()}  # as many as buckets at most
     new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for number in emptied:
-        gone_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={number}")
-        gone_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone_path, True)
+    whole = spark.read.schema(new.schema).parquet(staged)
+    for r in touched.join(whole.select("bucket").distinct(), "bucket", "left_anti").collect():  # as many as buckets at most
+        delete(spark, f"{path.rstrip('/')}/bucket={r['bucket']}")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if not any(name.startswith("bucket=") for name in folders(spark, path)):  # an empty table keeps its columns
+        whole.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/bucket=-1")
+    delete(spark, staged)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
     """Settings of an index, a few rows of key and value; empty if there are none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, path):
         return {}
     return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").parquet(path).collect()}
 
 
 def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
     """Set some settings and keep the others; the last write of a key wins."""
-    merged = read_meta(spark, path) | values
+    merged = read_meta(spark, path) | values  # read whole before it is written over
     spark.createDataFrame(sorted(merged.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(path)
 
 

@@ -45,9 +45,15 @@ def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: Da
     version control says of files. Manifest and repos are parameters of the job and go to every task.
     Plain text files are wrapped in a fence under their name and not searched for flags or links. A value comes from the
     file's override, else its mapping, else what the file or its source says; a null that is set counts.
+    A mapping of an unknown source, and two files with one destination, are errors.
     """
     spark = texts.sparkSession
+    known = {r["source"] for r in repos.select("source").collect()}  # a few, like the mappings
+    if unknown := sorted({m["source"] for m in manifest["mappings"]} - known):
+        raise ValueError(f"mappings of unknown sources: {', '.join(unknown)}")
     routed = S.route(texts.select("source", "path"), S.mapping_rows(spark, manifest["mappings"], manifest.get("global_exclude")))
+    if clash := S.collisions(routed).limit(5).collect():
+        raise ValueError("files with one destination: " + "; ".join(f"{r['dest']}: {', '.join(r['paths'])}" for r in clash))
     mapped, own = manifest_rows(spark, manifest)
     rows = texts.join(routed, ["source", "path"]).join(F.broadcast(mapped), "pos").join(F.broadcast(own), ["pos", "path"], "left").join(F.broadcast(repos), "source")
     is_txt = F.lower("path").endswith(".txt")
@@ -115,37 +121,102 @@ def catalog(docs: DataFrame) -> DataFrame:
     return docs.select("id", entry.alias("json"), F.sha2(entry, 256).alias("stamp"))
 
 
+def write_catalog(docs: DataFrame, path: str, now: str) -> bool:
+    """Write the catalog (id, json, stamp, generated_at) unless what is there differs by its time alone; whether it was written."""
+    spark, new = docs.sparkSession, catalog(docs)
+    if refresh.exists(spark, path):
+        old = spark.read.parquet(path).select("id", "stamp")
+        if refresh.plan(old, new.select("id", "stamp"), "id", ["stamp"]).where("status <> 'unchanged'").isEmpty():
+            return False
+    new.withColumn("generated_at", F.lit(now)).write.mode("overwrite").parquet(path)
+    return True
+
+
+def write_corpus(rendered: DataFrame, path: str) -> None:
+    """Write (dest, text): a folder for each destination with its file."""
+    files = rendered.select("dest", F.regexp_replace("text", "\n$", "").alias("value"))
+    files.write.mode("overwrite").partitionBy("dest").text(path)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of a written corpus, normalised as the chunker reads it: no byte-order mark, line ends as \\n."""
+    found = spark.read.option("basePath", path).text(path, wholetext=True)
+    return found.select(F.col("dest").cast("string").alias("path"), S.normalised(F.col("value")).alias("text"))
+
+
+def headers(corpus_texts: DataFrame) -> DataFrame:
+    """(path, header) of (path, text): what was written before, by the headers alone."""
+    return S.with_header(corpus_texts).select("path", "header")
+
+
+def unmatched(routed: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(pos, source, pattern): mappings that claim no file."""
+    return mappings.select("pos", "source", "pattern").join(routed.select("pos").distinct(), "pos", "left_anti")
+
+
 def classify(docs: DataFrame, written: DataFrame) -> DataFrame:
     """(id, status) against what was written before (id, content_sha256, stamp)."""
     state = catalog(docs).join(docs.select("id", "content_sha256"), "id").select("id", "content_sha256", "stamp")
     return refresh.plan(written.select("id", "content_sha256", "stamp"), state, "id", ["content_sha256", "stamp"])
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """(section, n_docs, rows): the table rows of each section, by id, with flags G, S and D and escaped bars."""
+def report(docs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(part, section, key, line): the lines of the index report, to be read in this order.
+
+    Parts: 1 a table for each section, with flags G, S and D; 2 unresolved links; 3 titles that several documents share;
+    4 copies, from catalog.check_copies. Each line is a row, so no section is gathered.
+    """
+    bars = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
+    cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(x.cast("string"), F.lit("")) for x in c)), F.lit(" |"))
     flags = F.concat(F.when(F.col("generated"), "G").otherwise(""), F.when(F.col("superseded"), "S").otherwise(""), F.when(F.col("source_dirty"), "D").otherwise(""))
-    row = F.concat(F.lit("| ["), F.replace(F.coalesce("unique_title", "title"), F.lit("|"), F.lit("\\|")), F.lit("]("), "dest", F.lit(") | "), "kind", F.lit(" | "), "game", F.lit(" | "), flags, F.lit(" |"))
-    return docs.groupBy("section").agg(F.count("*").alias("n_docs"), F.transform(F.sort_array(F.collect_list(F.struct("id", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    link = F.concat(F.lit("["), F.col("slug"), F.lit("]("), F.col("dest"), F.lit(")"))
+    rows = docs.select(F.lit(1).alias("part"), "section", F.col("id").alias("key"), cells(link, bars(F.col("title")), F.col("kind"), F.col("game"), F.col("source_repo"), F.col("lines"), flags).alias("line"))
+    none = F.lit("").alias("section")
+    links = unresolved(docs).select(F.lit(2).alias("part"), none, F.concat_ws(" ", "id", "target").alias("key"), cells(F.col("id"), F.col("target"), F.col("reason")).alias("line"))
+    shared = docs.where("unique_title is not null").select(F.lit(3).alias("part"), none, F.concat_ws(" ", "title", "id").alias("key"), cells(bars(F.col("title")), F.col("id")).alias("line"))
+    lines = rows.unionByName(links).unionByName(shared)
+    if copies is not None:
+        yes = lambda c: F.when(c, "yes").otherwise("no")
+        own = copies.select(F.lit(4).alias("part"), none, F.concat_ws(" ", "canonical", "copy").alias("key"), cells(F.col("canonical"), F.col("copy"), yes(F.col("status") == "same"), yes(F.col("expect_divergent"))).alias("line"))
+        lines = lines.unionByName(own)
+    return lines
+
+
+def section_counts(docs: DataFrame) -> DataFrame:
+    """(section, n_docs)."""
+    return docs.groupBy("section").agg(F.count("*").alias("n_docs"))
 
 
 def unresolved(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode("unresolved").alias("u")).select("id", "u.target", "u.reason")
 
 
-def corpus(catalogued: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
-    """(doc_id, title, body, ...) to index: catalog entries whose file is there, and own documents with their defaults.
+def missing_files(catalogued: DataFrame, texts: DataFrame) -> DataFrame:
+    """Catalog entries (id, path) whose file is not there."""
+    return catalogued.select("id", "path").join(texts.select("path"), "path", "left_anti")
+
 
-    catalogued: documents without body, by path; texts, own: (path, text). What a header says overrides the catalog; the
-    body's hash is made anew.
+def corpus(catalogued: DataFrame | None, texts: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, title, body, section, game, kind, path, content_sha256) to index.
+
+    catalogued: documents without body, by path; texts, own: (path, text). Catalog entries count whose file is there
+    (missing_files lists the others), and own documents with their defaults. What a header says overrides the catalog;
+    the body's hash is made anew. Without a catalog the headers of texts stand for it.
     """
-    read = S.with_header(texts).select("path", "header", "body")
-    both = catalogued.join(read, "path")
-    over = lambda k: F.coalesce(S.header_value(k), F.col(k)) if k in catalogued.columns else S.header_value(k)
-    listed = both.select(F.col("id").alias("doc_id"), F.coalesce(over("unique_title"), over("title")).alias("title"), "body", over("section").alias("section"), over("game").alias("game"), over("kind").alias("kind"), "path", T.body_hash(F.col("body")).alias("content_sha256"))
     slug = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
-    doc_id = F.coalesce(S.header_value("id"), F.concat(F.lit("curated/"), slug))
-    mine = S.with_header(own).select(
-        doc_id.alias("doc_id"), F.coalesce(S.header_value("title"), doc_id).alias("title"), "body", F.coalesce(S.header_value("section"), F.lit("curated")).alias("section"), F.coalesce(S.header_value("game"), F.lit("both")).alias("game"),
-        F.coalesce(S.header_value("kind"), F.lit("curated")).alias("kind"), "path", T.body_hash(F.col("body")).alias("content_sha256"),
-    )
-    return listed.unionByName(mine)
+    none = F.lit(None).cast("string")
+
+    def listed(read: DataFrame, doc_id: Column, title: Column, section: Column, game: Column, kind: Column) -> DataFrame:
+        return read.select(doc_id.alias("doc_id"), title.alias("title"), "body", section.alias("section"), game.alias("game"), kind.alias("kind"), "path", T.body_hash(F.col("body")).alias("content_sha256"))
+
+    def of_headers(read: DataFrame, folder: str, kind: Column, game: Column, section: Column) -> DataFrame:
+        doc_id = F.coalesce(S.header_value("id"), F.concat(F.lit(folder), slug) if folder else F.regexp_replace("path", r"\.md$", ""))
+        return listed(read, doc_id, F.coalesce(S.header_value("title"), doc_id), F.coalesce(S.header_value("section"), section), F.coalesce(S.header_value("game"), game), F.coalesce(S.header_value("kind"), kind))
+
+    read = S.with_header(texts).select("path", "header", "body")
+    if catalogued is None:
+        found = of_headers(read, "", none, none, none)
+    else:
+        over = lambda k: F.coalesce(S.header_value(k), F.col(k)) if k in catalogued.columns else S.header_value(k)
+        found = listed(catalogued.join(read, "path"), F.col("id"), F.coalesce(over("unique_title"), over("title")), over("section"), over("game"), over("kind"))
+    return found.unionByName(of_headers(S.with_header(own), "curated/", F.lit("curated"), F.lit("both"), F.lit("curated")))

@@ -53,16 +53,18 @@ def catalogued(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _phrases(spark: SparkSession, sf: str, only_first: bool = True, most: int = 8) -> DataFrame:
-    items = table(spark, sf, "benchmark")
-    items = items.where("item_id = 0") if only_first else items
-    found = lexical.query_phrases(items, "item_id", F.col("text"))
-    return found.where(F.col("term_no") < most)
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set of the searches: items whose id is divisible by 20."""
+    return table(spark, sf, "benchmark").where("item_id % 20 = 0")
+
+
+def _phrases(items: DataFrame) -> DataFrame:
+    return lexical.query_phrases(items, "item_id", F.col("text"))
 
 
 def _bm25(docs: DataFrame, phrases: DataFrame, fields: dict, weights: dict[str, float]) -> DataFrame:
-    postings = lexical.build_postings(docs, "doc_id", fields)
-    return lexical.bm25(postings, lexical.row_lengths(docs, "doc_id", fields), phrases, weights)
+    stats = lexical.corpus_stats(lexical.row_lengths(docs, "doc_id", fields))
+    return lexical.bm25(lexical.postings_of(docs, "doc_id", fields, phrases), stats, phrases, weights)
 
 
 def _shown(scores: DataFrame, k: int) -> DataFrame:
@@ -72,12 +74,12 @@ def _shown(scores: DataFrame, k: int) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(_bm25(texts(spark, sf), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0}), 10)
+    return _shown(_bm25(texts(spark, sf), _phrases(_asked(spark, sf)), {"text": F.col("text")}, {"text": 1.0}), 10)
 
 
 @query
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(_bm25(texts(spark, sf), _phrases(spark, sf, only_first=False), {"text": F.col("text")}, {"text": 1.0}), 10)
+    return _shown(_bm25(texts(spark, sf), _phrases(table(spark, sf, "benchmark")), {"text": F.col("text")}, {"text": 1.0}), 10)
 
 
 @query
@@ -95,7 +97,7 @@ def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.term_stats(lexical.build_postings(texts(spark, sf), "doc_id", {"text": F.col("text")}))
+    return lexical.term_stats(texts(spark, sf), "doc_id", {"text": F.col("text")})
 
 
 @query
@@ -114,7 +116,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, sf: str, k: int, rows: DataFrame | None = None) -> DataFrame:
-    asked = _vectors(spark, sf).where("row_id < 5").select(F.col("row_id").alias("query_id"), "vec")
+    asked = _vectors(spark, sf).where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
     return ranking.cosine(asked, _vectors(spark, sf) if rows is None else rows, k)
 
 
@@ -135,41 +137,49 @@ def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return unit.select("vec_id", F.round(F.element_at("unit", 1), 6).alias("first"), F.round(V.norm(F.col("unit")), 6).alias("norm"))
 
 
-def _arms(spark: SparkSession, sf: str, docs: DataFrame, k: int = ranking.CANDIDATES) -> dict[str, tuple[DataFrame, float]]:
-    """Keyword and vector ranks of allowed documents for the first item; vectors stand for the documents of their id."""
-    scores = _bm25(texts(spark, sf), _phrases(spark, sf), {"text": F.col("text")}, {"text": 1.0})
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword scores of the query set; statistics are those of all documents, so one table serves all filters."""
+    return _bm25(texts(spark, sf), _phrases(_asked(spark, sf)), {"text": F.col("text")}, {"text": 1.0})
+
+
+def _keyword_arm(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    allowed = docs.select(F.col("doc_id").alias("row_id"))
+    return ranking.top_by(scores.join(allowed, "row_id", "left_semi"), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id"))
+
+
+def _arms(spark: SparkSession, sf: str, scores: DataFrame, docs: DataFrame, k: int = ranking.CANDIDATES) -> dict[str, tuple[DataFrame, float]]:
+    """Keyword and vector ranks of allowed documents; an item's vector is that of its id, and vectors stand for the documents of their id."""
     allowed = docs.select(F.col("doc_id").alias("row_id"))
-    words = ranking.top_by(scores.join(allowed, "row_id", "left_semi"), k, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id"))
-    asked = _vectors(spark, sf).where("row_id = 0").select(F.col("row_id").alias("query_id"), "vec")
+    asked = _asked(spark, sf).select(F.col("item_id").alias("row_id")).join(_vectors(spark, sf), "row_id").select(F.col("row_id").alias("query_id"), "vec")
     near = ranking.cosine(asked, _vectors(spark, sf).join(allowed, "row_id", "left_semi"), k)
-    return {"lexical": (words, 1.0), "semantic": (near, 1.0)}
+    return {"lexical": (_keyword_arm(scores, docs, k), 1.0), "semantic": (near, 1.0)}
 
 
 def _fused(spark: SparkSession, sf: str, arms: dict[str, tuple[DataFrame, float]], k: int) -> DataFrame:
     docs = catalogued(spark, sf).select(F.col("doc_id").alias("row_id"), F.col("section").alias("doc_id"), "verified", "superseded")
     hits = ranking.rrf(arms).join(docs, "row_id").withColumn("score", ranking.boosted(F.col("score"), F.col("verified"), F.col("superseded")))
     best = ranking.cap_per_doc(hits, k)
-    return best.select(F.col("row_id").alias("doc_id"), F.col("doc_id").alias("section"), F.round("score", 6).alias("score"), "arms", F.col("rank").cast("long").alias("rank"))
+    return best.select("query_id", F.col("row_id").alias("doc_id"), F.col("doc_id").alias("section"), F.round("score", 6).alias("score"), "arms", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    fused = ranking.rrf(_arms(spark, sf, table(spark, sf, "documents")))
-    return fused.select(F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"), "arms")
+    fused = ranking.rrf(_arms(spark, sf, _scores(spark, sf), table(spark, sf, "documents")))
+    return fused.select("query_id", F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"), "arms")
 
 
 @query
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = catalogued(spark, sf).where(Filters(game="fr", generated="exclude").predicate("en"))
-    return _fused(spark, sf, _arms(spark, sf, docs), 10)
+    return _fused(spark, sf, _arms(spark, sf, _scores(spark, sf), docs), 10)
 
 
 @query
 def hybrid_routed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = catalogued(spark, sf)
-    arms = _arms(spark, sf, docs.where(Filters(include_superseded=True).predicate()))
-    routed = _arms(spark, sf, docs.where(Filters(generated="only", include_superseded=True).predicate()), ranking.ROUTED)["lexical"]
-    return _fused(spark, sf, arms | {"records": routed}, 20)
+    docs, scores = catalogued(spark, sf), _scores(spark, sf)
+    arms = _arms(spark, sf, scores, docs.where(Filters(include_superseded=True).predicate()))
+    routed = _keyword_arm(scores, docs.where(Filters(generated="only", include_superseded=True).predicate()), ranking.ROUTED)
+    return _fused(spark, sf, arms | {"records": (routed, 1.0)}, 20)
 
 
 @query
@@ -399,21 +409,12 @@ def link_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = texts(spark, sf), table(spark, sf, "benchmark")
-    scores = _bm25(docs, _phrases(spark, sf, only_first=False), {"text": F.col("text")}, {"text": 1.0})
+    items = table(spark, sf, "benchmark")
+    scores = _bm25(texts(spark, sf), _phrases(table(spark, sf, "benchmark")), {"text": F.col("text")}, {"text": 1.0})
     hits = ranking.top_by(scores, 10, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id")).select(F.col("query_id").alias("case_id"), F.col("row_id").alias("doc_id"), "rank")
     # acceptable: documents of the residue class of the case
-    cases = items.select(F.col("item_id").alias("case_id"), F.pmod("item_id", F.lit(20)).alias("class")).join(docs.select("doc_id", F.pmod("doc_id", F.lit(20)).alias("class")), "class")
-    return evaluate.summary(evaluate.case_ranks(hits, cases.groupBy("case_id").agg(F.collect_list("doc_id").alias("expect"))))
-
-
-def _documents_to_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("text").alias("body"))
-
-
-@query
-def chunk_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.audit(chunking.chunk(_documents_to_chunk(spark, sf)))
+    good = hits.where(F.pmod("doc_id", F.lit(20)) == F.pmod("case_id", F.lit(20))).select("case_id", "doc_id")
+    return evaluate.summary(evaluate.case_ranks(hits, items.select(F.col("item_id").alias("case_id")), good))
 
 
 @query

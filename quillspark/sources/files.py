@@ -26,12 +26,37 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
+def read_source_sets(spark: SparkSession, path: str) -> tuple[list[dict], list[dict]]:
+    """Source sets whose folder is there (name, root, game, kind, plugin, note), and the sets that the manifest says are skipped.
+
+    None on disk is an error; a missing folder is reported and left out.
+    """
+    import json
+    import logging
+
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0].lstrip(BOM))
+    sets = []
+    for entry in found.get("sets", []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(entry["root"])
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            sets.append({k: entry.get(k) for k in ("name", "root", "game", "kind", "plugin", "note")})
+        else:
+            logging.getLogger(__name__).warning("source set %s is missing: %s", entry["name"], entry["root"])
+    if not sets:
+        raise ValueError("no source set is there")
+    return sets, found.get("skipped", [])
+
+
+def normalised(text: Column) -> Column:
+    """Without a byte-order mark, and with line ends as \\n."""
+    return F.replace(F.regexp_replace(text, f"^{BOM}", ""), F.lit("\r\n"), F.lit("\n"))
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of all files below root, path relative to it; without byte-order marks, line ends as \\n."""
     base = root.rstrip("/") + "/"
     rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    text = F.replace(F.regexp_replace("text", "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
-    return rows.select(F.url_decode(F.substring_index("file", base, -1)).alias("path"), text.alias("text"))
+    return rows.select(F.url_decode(F.substring_index("file", base, -1)).alias("path"), normalised(F.col("text")).alias("text"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -43,10 +68,10 @@ def mapping_rows(spark: SparkSession, mappings: list[dict], global_exclude: list
     """(pos, source, pattern, target, rename, include_txt, is_glob, prefix, regex, exclude): the position is the priority."""
     rows = [
         (i, m["source"], m["from"], m.get("to", ""), m.get("rename"), bool(m.get("include_txt")), any(c in m["from"] for c in "*?["), T.literal_prefix(m["from"]), T.glob_regex(m["from"]),
-         [T.name_regex(p) for p in [*(global_exclude or []), *m.get("exclude", [])]])
+         "|".join(T.name_regex(p) for p in [*(global_exclude or []), *m.get("exclude", [])]) or None)
         for i, m in enumerate(mappings)
     ]
-    return spark.createDataFrame(rows, "pos int, source string, pattern string, target string, rename string, include_txt boolean, is_glob boolean, prefix string, regex string, exclude array<string>")
+    return spark.createDataFrame(rows, "pos int, source string, pattern string, target string, rename string, include_txt boolean, is_glob boolean, prefix string, regex string, exclude string")
 
 
 def route(files: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -58,7 +83,7 @@ def route(files: DataFrame, mappings: DataFrame) -> DataFrame:
     """
     is_txt = F.lower("path").endswith(".txt")
     kind = F.lower("path").endswith(".md") | (is_txt & F.col("include_txt"))
-    excluded = F.exists("exclude", lambda x: F.rlike(F.col("path"), x))
+    excluded = F.coalesce(F.rlike(F.col("path"), F.col("exclude")), F.lit(False))
     met = files.join(F.broadcast(mappings), "source").where(F.rlike(F.col("path"), F.col("regex"))).where(kind & ~excluded)
     claimed = met.withColumn("n", F.row_number().over(W.partitionBy("source", "path").orderBy("pos"))).where("n = 1")
     below = F.when(F.col("is_glob"), F.expr("substring(path, if(prefix = '', 1, length(prefix) + 2))")).otherwise(F.substring_index("path", "/", -1))

@@ -1,5 +1,10 @@
+import json
+
+import pytest
+
 from quillspark.api import Engine
 from quillspark.operators.filters import Filters
+from quillspark.sources import files
 
 
 def test_engine(spark, tmp_path):
@@ -19,11 +24,82 @@ def test_engine(spark, tmp_path):
     assert "dragon" in engine.render(engine.search("dragon"))
     assert engine.hit_json(engine.search("dragon")).count() >= 1
     assert engine.fetch("g/one#0").count() >= 1 and engine.fetch("g/one", most=10).first()["text"] is None
+    assert engine.fetch("g/one").first()["text"] == rows[0][2] and engine.fetch("none").count() == 0
+    one = json.loads(engine.hit_json(engine.search("dragon hall")).first()["json"])
+    assert one["doc_id"] == "g/one" and "generated" not in one and "superseded_by" not in one and one["chunk"].endswith("of 2") and one["text"] in rows[0][2]
     engine.dump_chunks(str(tmp_path / "dump"))
     assert spark.read.json(str(tmp_path / "dump")).where("document.title = 'One'").count() == 2
     assert [r["doc_id"] for r in engine.list_docs(Filters(section="g")).collect()] == ["g/one", "g/two"]
 
 
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id string, title string, body string, tags array<string>, links_out array<string>")
+
+
+def test_refresh_follows_documents(spark, tmp_path):
+    """After any changes the index is that of a new build, and only what changed is embedded."""
+    one = [("a", "A", "red dragon of old", ["t"], ["b", "x"]), ("b", "B", "blue sky\n\n## Part\n\nover the hall", None, None), ("c", "C", "a green field", None, None)]
+    two = [("a", "A", "red dragon of old", ["u"], ["b", "x"]), ("b", "B", "blue sky at night", None, None), ("d", "D", "a dragon field", None, None)]
+
+    def embed(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    engine = Engine(spark, str(tmp_path / "i"), encode=lambda q: [1.0, 0.0], embed=embed, model="m", buckets=4)
+    assert engine.build(_docs(spark, one)) == {"added": 3, "changed": 0, "removed": 0, "unchanged": 0, "embedded": engine.chunks.rows().count()}
+    assert engine.refresh(_docs(spark, one)) == {"added": 0, "changed": 0, "removed": 0, "unchanged": 3, "embedded": 0}
+    assert engine.refresh(_docs(spark, two)) == {"added": 1, "changed": 2, "removed": 1, "unchanged": 0, "embedded": 3}
+    fresh = Engine(spark, str(tmp_path / "f"), buckets=4)
+    fresh.build(_docs(spark, two))
+    key = lambda e: {(r["row_id"], r["field"], r["term"], tuple(r["positions"]), r["length"]) for r in e.chunks.postings().collect()}
+    assert key(engine) == key(fresh)
+    assert engine.spark.read.parquet(engine.chunks.at["stats"]).collect() == fresh.spark.read.parquet(fresh.chunks.at["stats"]).collect()
+    assert {r["doc_id"] for r in engine.table("vectors").collect()} == {"a", "b", "d"} and engine.pending().count() == 0
+    engine.chunks.compact()
+    assert key(engine) == key(fresh) and engine.refresh(_docs(spark, two))["unchanged"] == 3
+    assert [(r["linked"], r["title"]) for r in engine.links(engine.table("documents").select("doc_id")).orderBy("n").collect()] == [("b", "B"), ("x", None)]
+    assert engine.stats().first()["n_docs"] == 3
+    other = Engine(spark, str(tmp_path / "i"), embed=embed, model="n", buckets=4)
+    assert other.refresh(_docs(spark, two))["embedded"] == 3, "vectors of another model go"
+    assert other.refresh(_docs(spark, two).limit(0))["removed"] == 3 and other.chunks.postings().count() == 0 and other.stats().first()["n_docs"] == 0
+
+
+def test_search_reads_the_folders_of_its_terms(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), encode=lambda q: [1.0], buckets=32)
+    engine.build(_docs(spark, [(str(i), f"T{i}", f"word{i} and other{i} things", None, None) for i in range(30)]))
+    plan = engine.chunks.postings(["word7"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [isnotnull(bucket" in plan
+    assert "In(term" in plan or "EqualTo(term,word7)" in plan
+    assert [h["doc_id"] for h in engine.search("word7").collect()] == ["7"], "no vectors: keywords alone"
+    flagless = engine.search("word8").first()
+    assert flagless["n_chunks"] == 1 and '"chunk":"1 of 1"' in engine.hit_json(engine.search("word8")).first()["json"]
+
+
+def test_records_follow_their_files(spark, tmp_path):
+    base = tmp_path / "base"
+    for path, text in {"Weapons/IronSword - 00012EB7_Base.esm.yaml": "FormKey: 1\nName: Iron Sword\n", "Food/Apple - 00012EB9_Base.esm/RecordData.yaml": "Name: Red Apple\n", "Food/GroupRecordData.yaml": "x", "notes.txt": "y"}.items():
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_text(text)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/DoThing.PSC").write_text("Scriptname DoThing\niron forge")
+    manifest = tmp_path / "sets.json"
+    entries = [{"name": "base", "root": str(base), "game": "one", "kind": "records"}, {"name": "src", "root": str(tmp_path / "src"), "game": "one", "kind": "scripts"}, {"name": "gone", "root": str(tmp_path / "no"), "game": "x", "kind": "records"}]
+    manifest.write_text(json.dumps({"sets": entries, "skipped": [{"path": "p", "canonical": "base", "reason": "same"}]}))
+    engine = Engine(spark, str(tmp_path / "i"), buckets=4)
+    first = engine.scan_sets(str(manifest))
+    assert first["records"]["added"] == 2 and first["scripts"]["added"] == 1
+    assert engine.scan_sets(str(manifest))["records"] == {"added": 0, "changed": 0, "removed": 0, "unchanged": 2}
+    assert [r["arm"] for r in engine.lookup("iron").orderBy("rank").collect()] == [1, 2]
+    assert engine.read("00012EB7").first()["label"] == "IronSword"
+    (base / "Weapons/IronSword - 00012EB7_Base.esm.yaml").unlink()
+    assert engine.scan_sets(str(manifest))["records"]["removed"] == 1 and [r["arm"] for r in engine.lookup("iron").collect()] == [2]
+    engine.drop_set("src")
+    assert engine.lookup("iron").count() == 0 and engine.record_stats().first()["n_records"] == 1
+    assert files.read_source_sets(spark, str(manifest))[1][0]["reason"] == "same"
+    manifest.write_text(json.dumps({"sets": entries[2:]}))
+    with pytest.raises(ValueError, match="no source set"):
+        files.read_source_sets(spark, str(manifest))
+
+
 def test_stream(spark, tmp_path):
     from quillspark.streaming.refresh import refresh_stream
 

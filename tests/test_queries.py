@@ -6,8 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspark.plans.oracles import ORACLES
-from quillspark.plans.queries import QUERIES
+from quillspark.plans import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")

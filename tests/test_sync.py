@@ -1,3 +1,5 @@
+import pytest
+
 from quillspark.operators import sync
 from quillspark.sources import files
 
@@ -19,7 +21,7 @@ TEXTS = [
 ]
 
 
-def test_documents(spark):
+def test_documents(spark, tmp_path):
     texts = spark.createDataFrame(TEXTS, "source string, path string, text string")
     repos = spark.createDataFrame([("r", "g", "rp", "main"), ("q", "both", None, "main")], "source string, game string, project string, branch string")
     docs = sync.documents(texts, MANIFEST, repos).cache()
@@ -39,7 +41,20 @@ def test_documents(spark):
     assert back["t"] == "Set title" and back["body"] == one["body"]
     before = sync.catalog(docs).join(docs.select("id", "content_sha256"), "id")
     assert {r["status"] for r in sync.classify(docs, before).collect()} == {"unchanged"}
-    assert {r["section"]: r["n_docs"] for r in sync.report(docs).collect()} == {"top": 1, "all/sub": 1, "all": 1, "skills": 1}
+    assert {r["section"]: r["n_docs"] for r in sync.section_counts(docs).collect()} == {"top": 1, "all/sub": 1, "all": 1, "skills": 1}
+    lines = [r["line"] for r in sync.report(docs).orderBy("part", "section", "key").collect()]
+    assert "| [one](top/one.md) | Set title | guide | g | r | 3 |  |" in lines and any("Same \\| name" in x and x.endswith("| S |") for x in lines) and "| top/one | no.md | missing |" in lines
+    path = str(tmp_path / "catalog")
+    assert sync.write_catalog(docs, path, "t1") and not sync.write_catalog(docs, path, "t2") and sync.write_catalog(docs.where("id <> 'top/one'"), path, "t3")
+    sync.write_corpus(sync.render(docs, "t"), str(tmp_path / "corpus"))
+    assert {r["path"]: r["text"] for r in sync.read_corpus(spark, str(tmp_path / "corpus")).collect()} == {r["dest"]: r["text"] for r in sync.render(docs, "t").collect()}
+    assert sync.headers(sync.read_corpus(spark, str(tmp_path / "corpus"))).where("map_contains_key(header, 'content_sha256')").count() == 4
+    rows = files.mapping_rows(spark, [*MANIFEST["mappings"], {"source": "q", "from": "none/*.md"}])
+    assert [r["pos"] for r in sync.unmatched(files.route(texts.select("source", "path"), rows), rows).collect()] == [3]
+    with pytest.raises(ValueError, match="unknown sources: zz"):
+        sync.documents(texts, {"mappings": [{"source": "zz", "from": "*"}]}, repos)
+    with pytest.raises(ValueError, match="one destination"):
+        sync.documents(texts, {"mappings": [{"source": "r", "from": "**/*.md", "to": "x", "rename": "{parent}.md"}]}, repos)
     assert sync.unresolved(docs).count() == 1
 
 
@@ -49,3 +64,6 @@ def test_corpus(spark):
     own = spark.createDataFrame([("curated/x.md", "just text")], "path string, text string")
     got = {r["doc_id"]: (r["title"], r["body"], r["game"]) for r in sync.corpus(catalogued, texts, own).collect()}
     assert got == {"d/a": ("New", "body a", "g"), "curated/x": ("curated/x", "just text", "both")}
+    assert [r["id"] for r in sync.missing_files(catalogued, texts).collect()] == ["d/b"]
+    bare = {r["doc_id"]: r["title"] for r in sync.corpus(None, texts, own).collect()}
+    assert bare == {"docs/a": "New", "curated/x": "curated/x"}
