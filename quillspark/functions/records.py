@@ -31,25 +31,16 @@ def display_name(text: Column, window: int = 119) -> Column:
     return F.when(F.coalesce(at, F.lit(0)) == 0, "").when((inline != "") & ~inline.isin("|", ">", "|-", ">-"), unquoted(inline)).otherwise(localised)
 
 
+#: An entry in another language than English: its line, then blank lines, lines that are indented deeper, and String: lines.
+FOREIGN_ENTRY = r"(?m)^([ \t]*)- Language:[ \t]*(?!English[ \t]*$)\S+[ \t]*\n(?:[ \t]*\n|\1[ \t]+.*\n|[ \t]*String:.*\n)*+"
+
+
 def without_locales(text: Column) -> Column:
     """The text without entries in other languages than English, and a last line that counts them.
 
     An entry goes from its - Language: line until a line with text that is indented no deeper and is no String:.
     """
-    state = "struct<skip:int,dropped:int,kept:array<string>>"
-    indent = lambda x: F.length(x) - F.length(F.ltrim(F.regexp_replace(x, r"\s", " ")))
-
-    def step(s: Column, x: Column) -> Column:
-        inside = (s["skip"] >= 0) & ((F.trim(x) == "") | (indent(x) > s["skip"]) | x.rlike(r"^\s*String:"))
-        foreign = x.rlike(r"^\s*- Language:\s*\S+\s*$") & ~x.rlike(r"^\s*- Language:\s*English\s*$")
-        kept = lambda skip, dropped, lines: F.struct(skip.cast("int").alias("skip"), dropped.cast("int").alias("dropped"), lines.alias("kept")).cast(state)
-        return F.when(inside, kept(s["skip"], s["dropped"], s["kept"])).when(foreign, kept(indent(x), s["dropped"] + 1, s["kept"])).otherwise(kept(F.lit(-1), s["dropped"], F.concat(s["kept"], F.array(x))))
-
-    start = F.struct(F.lit(-1).alias("skip"), F.lit(0).alias("dropped"), F.array().cast("array<string>").alias("kept")).cast(state)
-
-    def finish(s: Column) -> Column:
-        body = F.array_join(s["kept"], "\n")
-        note = F.format_string("\n# (%d non-English localisations omitted)", s["dropped"])
-        return F.when(s["dropped"] > 0, F.concat(body, note)).otherwise(body)
-
-    return F.aggregate(F.split(text, "\n"), start, step, finish)
+    lines = F.concat(text, F.lit("\n"))
+    dropped = F.regexp_count(lines, F.lit(FOREIGN_ENTRY))
+    left = F.regexp_replace(F.regexp_replace(lines, FOREIGN_ENTRY, ""), r"\n\z", "")
+    return F.when(dropped > 0, F.concat(left, F.format_string("\n# (%d non-English localisations omitted)", dropped))).otherwise(text)
