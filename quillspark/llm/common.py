@@ -22,11 +22,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset the warehouse, or a temporary one on a single machine, as in tests."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-")
     return _own_dir
