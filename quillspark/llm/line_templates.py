@@ -80,7 +80,9 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
 def _cut(docs: DataFrame, depth: int, similarity: float, min_texts: int, spare: float | None) -> DataFrame:
     """(row, text, n_lines, n_dropped) of each row of docs."""
     recurring = recurring_lines(docs, depth, similarity, min_texts)
-    cuts = saved(recurring.groupBy("text_key").agg(F.collect_set("at").alias("cut"), F.sum("n").alias("cut_words")), "cuts")
+    # copies of a text bring its lines several times
+    spots = recurring.groupBy("text_key").agg(F.collect_set(F.struct("at", "n")).alias("spots"))
+    cuts = saved(spots.select("text_key", F.transform("spots", lambda s: s["at"]).alias("cut"), F.aggregate("spots", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("cut_words")), "cuts")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(_text()).alias("text_key"))
     joined = own.join(cuts.hint("merge"), "text_key", "left").withColumn("t", F.col("row.text").cast("string"))
     if spare is not None:
