@@ -59,10 +59,12 @@ def _thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         sums = inside.groupBy("source", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
         over = sums.withColumn("sum", F.sum("words").over(upto)).where(F.col("sum") > F.col("rest"))
-        edge = over.groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("sum") + F.col("words")).alias("rest"))).alias("edge"))
+        edge = over.groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("sum") + F.col("words")).alias("rest"), "words")).alias("edge"))
         edge = edge.select(F.col("source").alias("own"), "edge")
+        # the last bucket is one hash: it is taken if that is nearer to the target than to leave it
+        more = F.when((F.lit(level) == LEVELS) & (F.col("edge.words") < 2 * F.col("edge.rest")), 1).otherwise(0)
         state = state.join(edge, F.col("source").eqNullSafe(F.col("own")), "left").select(
-            "source", "source_size", "target", "whole", F.coalesce("edge.rest", "rest").alias("rest"), F.coalesce(F.shiftleft("edge.bucket", shift), "threshold").alias("threshold")
+            "source", "source_size", "target", "whole", F.coalesce("edge.rest", "rest").alias("rest"), F.coalesce(F.shiftleft("edge.bucket", shift) + more, "threshold").alias("threshold")
         )
         state = saved(state, "thresholds")
     return state
@@ -88,7 +90,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
 
     docs needs doc_id, text and source; extra columns are ignored. Sources by code point, null last, weigh weights in
     turn and share the words of all; no source passes max_epochs times its own words. A source takes each document
-    the whole part of target / size times, and once more those with the smallest hashes while their words fit the rest.
+    the whole part of target / size times, and once more those with the smallest hashes up to where their words are
+    nearest to the rest.
 
     Null and empty texts have size 0 and take nothing. Repeated rows share a hash and are taken alike. A source
     without words has target 0. An empty table gives an empty result. Reruns take the same documents.
@@ -124,7 +127,8 @@ final AS (
   SELECT source, source_size, CASE WHEN ratio > (SELECT level FROM first) THEN (SELECT level FROM first) * weight ELSE most::DOUBLE END AS target FROM levels),
 ranked AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-    sum(size) OVER (PARTITION BY rows.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS rest,
+    sum(size) OVER (PARTITION BY rows.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY rows.source, h) AS own
   FROM rows JOIN final ON rows.source IS NOT DISTINCT FROM final.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranked
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= rest OR upto - own <= rest AND own < 2 * (rest - upto + own) THEN 1 ELSE 0 END))::BIGINT AS taken FROM ranked
 """
