@@ -161,7 +161,7 @@ def _packed(vector: Column) -> Column:
 
 
 def nearest(
-    embeddings: DataFrame, queries: Column, k: int = 10, shard_rows: int = 4096, m: int = 16, build_width: int = 80, width: int = 160, query_block: int = 20_000
+    embeddings: DataFrame, queries: Column, k: int = 10, shard_rows: int = 4096, most_rows: int = 131_072, m: int = 16, build_width: int = 80, width: int = 160, query_block: int = 100_000
 ) -> DataFrame:
     """The k nearest rows found of each query row, by Euclidean distance: query_id, rank, vec_id, score.
 
@@ -170,7 +170,8 @@ def nearest(
     smaller vec_id; fewer rows than k give them all.
 
     Equal vectors are one node with its k + 1 smallest ids, so copies neither crowd the graphs nor hide each other.
-    Nodes are dealt to shards of about shard_rows by their hash; each shard's graph is built over all its nodes and
+    Nodes are dealt to shards by their hash: of shard_rows while there are fewer than four to a core, then of more, up to
+    most_rows, since every query searches every shard; each shard's graph is built over all its nodes and
     saved as flat arrays, all queries search all shards, in blocks, and the shards' best are merged. Null, zero and
     non-finite vectors take no part, as candidate or query; vectors of another length
     have graphs of their own and are compared with none but each other. Repeated rows of one id count once. An empty table gives an empty result.
@@ -183,7 +184,9 @@ def nearest(
     ids = saved(ids.groupBy("key").agg(F.collect_list("vec_id").alias("ids")), "ids")
     nodes = keyed.groupBy("key").agg(F.first("embedding").alias("embedding")).select("key", F.size("embedding").alias("d"), _packed(F.col("embedding")).alias("vector"))
     nodes = saved(nodes, "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    count = nodes.count()
+    cores = embeddings.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-count // most_rows), min(-(-count // shard_rows), 4 * cores))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     index = saved(dealt.groupBy("shard", "d").applyInArrow(_build(m, build_width), INDEX), "index")
     asked = keyed.where("is_query").select(F.col("vec_id").alias("query_id"), F.size("embedding").alias("d"), _packed(F.col("embedding")).alias("vector")).distinct()
