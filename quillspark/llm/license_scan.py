@@ -26,6 +26,13 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
+    ("agpl", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization obtaining a copy"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright"),
 )
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
