@@ -312,3 +312,22 @@ def records_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = [("words", "renamed thing", {}), ("kind", "script nation 7", {"kind": "script"}), ("game", "renamed", {"game": "one"}), ("key", "00000B", {})]
     found = [engine.lookup(q, 40, **more).select(F.lit(name).alias("asked"), "path", F.col("arm").cast("long").alias("arm"), "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")) for name, q, more in asked]
     return reduce(DataFrame.unionByName, found)
+
+
+@query
+def records_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of the best script for some words, and its alternates."""
+    found = _records_engine(spark, sf).read("script nation 7", kind="script")
+    return found.select(F.col("rank").cast("long").alias("rank"), "path", "label", "text")
+
+
+@query
+def engine_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """For each item of the query set the document after it: whole or its outline, and its first chunk with the next one."""
+    engine = _refreshed(spark, sf)
+    found = []
+    for r in _asked(spark, sf).select("item_id").collect():
+        doc = str(r["item_id"] + 1)
+        for how, rows in (("whole", engine.fetch(doc, most=2000)), ("chunk", engine.fetch(f"{doc}#0"))):
+            found.append(rows.select(F.lit(doc).alias("doc_id"), F.lit(how).alias("how"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "heading", T.body_hash(F.col("text")).alias("text_sha256")))
+    return reduce(DataFrame.unionByName, found)

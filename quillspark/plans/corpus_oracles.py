@@ -173,4 +173,10 @@ SELECT term, count(DISTINCT path) AS df, count(*) AS cf FROM (SELECT path, unnes
 UNION ALL {_asked("kind", "SELECT path, 2 AS arm, name AS label, score FROM sk JOIN now_scripts USING (path)")}
 UNION ALL {_asked("game", _ARM_R.format("rg") + " UNION ALL " + _ARM_S.format("sg"))}
 UNION ALL {_asked("key", "SELECT path, 0 AS arm, editor_id AS label, 100.0::DOUBLE AS score FROM now_records WHERE form_id = '00000B' UNION ALL " + _ARM_R.format("rk"))}""",
+    "records_read": f"""WITH {_RECORDS}, {_RECORD_STATE}, {_fielded("sf", "now_scripts", _SCRIPT_FIELDS)}, {_scored("sk", "sf", "'script', 'nation', '7'")},
+ranked AS (SELECT path, name, text, row_number() OVER (ORDER BY round(score, 9) DESC, path) AS rank FROM sk JOIN now_scripts USING (path))
+SELECT rank, path, name AS label, CASE WHEN rank = 1 THEN text END AS text FROM ranked WHERE rank <= 4""",
+    "engine_fetch": f"""{_INDEXED}, wanted AS (SELECT (item_id + 1)::VARCHAR AS doc_id FROM benchmark WHERE item_id % 20 = 0), ends AS (SELECT doc_id, max(chunk_index)::BIGINT AS last FROM chunks GROUP BY doc_id)
+SELECT doc_id, 'whole' AS how, 0::BIGINT AS first, last, CASE WHEN length(body) > 2000 THEN '(opening)' ELSE title END AS heading, CASE WHEN length(body) <= 2000 THEN sha256(body) END AS text_sha256 FROM wanted JOIN fresh USING (doc_id) JOIN ends USING (doc_id)
+UNION ALL SELECT doc_id, 'chunk', chunk_index, chunk_index, '(opening)', sha256(text) FROM wanted JOIN chunks USING (doc_id) WHERE chunk_index <= 1""",
 }
