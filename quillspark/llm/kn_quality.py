@@ -14,13 +14,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved, text_slices
+from .common import broadcast_if_small, held, release, saved, text_slices
 
 #: Grams are of ORDER code units of UTF-16, as they are: four of 16 bits fill a long.
 BITS, ORDER = 16, 4
 UNITS = 1 << BITS
 #: A private-use code point that stands for a space after a word that repeats the word before it.
 REPEAT = 0xF8F0
+#: Bytes of text of which grams are made at once.
+SLICE = 1 << 19
 
 
 @functools.cache
@@ -62,7 +64,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fold, gram, n) of each slice of (fold, text)."""
-    for part in text_slices(batches, "text", 1 << 20):
+    held("", lambda: None)
+    for part in text_slices(batches, "text", SLICE):
         ids, bounds = grams(pc.fill_null(part.column("text"), "").to_pylist())
         fold = np.repeat(part.column("fold").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
         for f in (0, 1):
@@ -130,6 +133,7 @@ def probabilities(wanted: DataFrame, alphas: DataFrame, gammas: DataFrame) -> Da
 
 def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, key, text) of each text that the task meets for the first time, compressed."""
+    held("", lambda: None)
     seen: set[int] = set()
     pack = zstandard.ZstdCompressor(level=3)
     for part in text_slices(batches, "text"):
@@ -140,7 +144,7 @@ def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([part.column("block"), part.column("key"), pa.array(texts, pa.binary())], names=["block", "key", "text"])
 
 
-def _slices(table: pa.Table, most: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+def _slices(table: pa.Table, most: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
     """Keys and texts of a block, so many bytes at a time; a text that several tasks have met stands once."""
     unpack = zstandard.ZstdDecompressor()
     keys, texts, size, seen = [], [], 0, set()
@@ -164,6 +168,7 @@ def _wanted(table: pa.Table) -> pa.Table:
     found = np.empty(0, dtype=np.int64)
     for _, texts in _slices(table):
         found = pd.unique(np.concatenate([found, pd.unique(grams(texts)[0])]))
+    release()
     block = table.column("block")[0].as_py()
     return pa.table({"block": pa.array(np.full(len(found), block, np.int32)), "gram": pa.array(found, pa.int64())})
 
@@ -180,6 +185,7 @@ def _scored(table: pa.Table, known: pa.Table) -> pa.Table:
         sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
         for column, more in zip(out, (keys, sums[bounds[1:]] - sums[bounds[:-1]], np.diff(bounds))):
             column.extend(more)
+    release()
     return pa.table({"key": pa.array(out[0], pa.int64()), "nll": pa.array(out[1], pa.float64()), "n": pa.array(out[2], pa.int64())})
 
 
