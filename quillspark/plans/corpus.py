@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -204,6 +205,22 @@ def _lengths(batch: list[str]) -> list[list[float]]:
     return [[float(len(x)), float(sum(x.count(v) for v in "aeiou"))] for x in batch]
 
 
+_made: dict[tuple[str, str, str], Engine] = {}
+
+
+def _once(make: Callable[[SparkSession, str], Engine]) -> Callable[[SparkSession, str], Engine]:
+    """An index is built once for an application and serves all queries that only read it, while its folder is there."""
+
+    def made(spark: SparkSession, sf: str) -> Engine:
+        key = make.__name__, spark.sparkContext.applicationId, sf
+        if key not in _made or not refresh.exists(spark, _made[key].root):
+            _made[key] = make(spark, sf)
+        return _made[key]
+
+    return made
+
+
+@_once
 def _refreshed(spark: SparkSession, sf: str) -> Engine:
     """An index of the old state that was brought to the new one."""
     old, new = _old_and_new(spark, sf)
@@ -277,7 +294,8 @@ def _record_states(spark: SparkSession, sf: str) -> tuple[tuple[DataFrame, DataF
     return before, (changed(records, "name_en").where("n % 5 <> 0").drop("n"), changed(scripts, "text").where("n % 5 <> 0").drop("n"))
 
 
-def _records_engine(spark: SparkSession, sf: str) -> Engine:
+def _new_records(spark: SparkSession, sf: str) -> Engine:
+    """Records and scripts of the first state, brought to the second."""
     before, after = _record_states(spark, sf)
     engine = Engine(spark, scratch(spark, "records"), buckets=8)
     engine.refresh_records(*before)
@@ -285,6 +303,9 @@ def _records_engine(spark: SparkSession, sf: str) -> Engine:
     return engine
 
 
+_records_engine = _once(_new_records)
+
+
 @query
 def records_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Postings of the refreshed record index by term."""
@@ -300,7 +321,7 @@ def records_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def records_drop_set(spark: SparkSession, sf: str) -> DataFrame:
-    engine = _records_engine(spark, sf)
+    engine = _new_records(spark, sf)
     engine.drop_set("supplier")
     return engine.record_stats().unionByName(engine.scripts.postings().groupBy().agg(F.count("*").alias("n_scripts")).select(F.lit("postings").alias("source_set"), F.lit("").alias("game"), F.lit(0).cast("long").alias("n_records"), "n_scripts", F.lit(0).cast("long").alias("n_types"), F.lit(0).cast("long").alias("n_named")))
 
