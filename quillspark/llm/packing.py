@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import hash_words, held, saved, split_words, text_slices
 
+#: Texts on which a tokenizer must give the same ids by parts as in one piece.
+SAMPLE = ("Two words. And, more.", "don't stop-go 12.5,3 a.b,c x.", "\u00e9\u00d6 \u65e5\u672c\u8a9e. ok\u3002end", "  \t mixed\r\nCASE ", "a<b|c>d", "(x) [y] {z} #1 $2 50% a_b", "http://x.y/z?q=1&r=2", "")
 #: Words whose ids a worker process remembers (about 40 bytes each) before it starts over.
 REMEMBERED = 1 << 20
 
@@ -29,6 +32,11 @@ class KnownWords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for text in SAMPLE:
+            parts = re.sub(r"([A-Za-z])([.,])", r"\1 \2", text.lower()).split()
+            if ids(text) != [i for word in parts for i in ids(word)]:
+                raise ValueError(f"{path}: this tokenizer joins what stands apart in {text!r}")
 
     def forget(self) -> None:
         self.keys, self.starts, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
@@ -71,7 +79,9 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             known.forget()
             found = np.zeros(len(hashes), bool)
         new = coded.dictionary.filter(pa.array(~found)).to_pylist()
-        known.add(hashes[~found], [e.ids for e in known.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        # encodings are large objects, so only some are there at once
+        parts = (known.tokenizer.encode_batch_fast(new[i : i + (1 << 14)], add_special_tokens=False) for i in range(0, len(new), 1 << 14))
+        known.add(hashes[~found], [e.ids for part in parts for e in part])
         at, _ = known.find(hashes)
     which = coded.indices.to_numpy()
     starts, each = known.starts[at][which], known.lengths[at][which].astype(np.int64)
