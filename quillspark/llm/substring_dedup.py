@@ -48,10 +48,9 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("order", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("more", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("order", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("digest", pa.int64()), ("more", pa.int32())])
     for part in text_slices(batches, "text"):
         docs, orders, ats, sizes, digests = [], [], [], [], []
-        low = (1 << 64) - 1
         for doc, order, text in zip(*(part.column(c).to_pylist() for c in ("doc", "order", "text"))):
             raw = (text or "").encode("utf-8", "surrogatepass")
             start = 0
@@ -63,7 +62,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = len(ats) - len(docs)
             docs += [doc] * new
             orders += [order] * new
-        halves = [(d >> 64) - (1 << 63) for d in digests], [(d & low) - (1 << 63) for d in digests]
+        # 96 bits are told apart, enough for 10 ** 12 chunks
+        halves = [(d >> 64) - (1 << 63) for d in digests], [(d & 0xFFFFFFFF) - (1 << 31) for d in digests]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((docs, orders, ats, sizes, *halves), schema)], schema=schema)
 
 
@@ -166,7 +166,7 @@ def drop_repeats(docs: DataFrame, least_bytes: int = 160) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    chunks = saved(own.select("doc", "order", "text").mapInArrow(_chunks, "doc long, order long, at int, size int, digest long, more long"), "chunks")
+    chunks = saved(own.select("doc", "order", "text").mapInArrow(_chunks, "doc long, order long, at int, size int, digest long, more int"), "chunks")
     place = F.struct("order", "doc", "at")
     firsts = chunks.groupBy("digest", "more").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "more", "first")
     source, shift = F.col("first.doc").alias("source"), (F.col("at") - F.col("first.at")).alias("shift")
