@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_near_dup, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packing, substring_dedup, url_filter
+from . import byte_bpe, cap_near_dup, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packing, substring_dedup, url_filter
 from .oracles import ORACLES as ORACLES
 
 
@@ -57,6 +57,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_search": op1_hnsw_search,
     "op2_license_scan": op2_license_scan,
@@ -68,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_cap_near_dup": op9_cap_near_dup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_byte_bpe": op13_byte_bpe,
 }
