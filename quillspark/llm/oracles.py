@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import ASCII_UPPER
 from .mixing import ORACLE as MIXING
+from .packed_products import ORACLE as HARD_NEGATIVES
 from .url_filter import ALPHABET, ORDER, RULES
 
 _LOWER = f"translate({{0}}, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
@@ -96,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": JACCARD,
     "op9_cap_near_dup": NEAR_VECTORS,
     "op10_line_dedup": LINES,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }
