@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import ASCII_UPPER
+from .divergence import ORACLE as DIVERGENCE
 from .mixing import ORACLE as MIXING
 from .packed_products import ORACLE as HARD_NEGATIVES
 from .url_filter import ALPHABET, ORDER, RULES
@@ -97,5 +98,6 @@ ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": JACCARD,
     "op9_cap_near_dup": NEAR_VECTORS,
     "op10_line_dedup": LINES,
+    "op11_source_divergence": DIVERGENCE,
     "op12_hard_negatives": HARD_NEGATIVES,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cap_near_dup, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packed_products, packing, substring_dedup, url_filter
+from . import byte_bpe, cap_near_dup, divergence, hnsw, jaccard_join, kn_quality, license_scan, line_templates, mixing, packed_products, packing, substring_dedup, url_filter
 from .oracles import ORACLES as ORACLES
 
 
@@ -57,6 +57,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label, vec_id = F.col("label").cast("long"), F.col("vec_id")
     return packed_products.hard_negatives(_table(spark, sf_dir, "embeddings"), F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label), vec_id % 50 == 0)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_cap_near_dup": op9_cap_near_dup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
