@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions import text as T
 from ..operators import catalog, chunking, lookup, ranking, refresh, sync
-from ..sources import files
+from ..sources import files, heads
 from .queries import MAPPINGS, _asked, _records, catalogued, query, table, texts
 from .scratch import scratch
 
@@ -140,6 +140,33 @@ def record_identity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("p_partkey", "id.editor_id", "id.form_id", "id.plugin", "id.record_type")
 
 
+def _record_files(spark: SparkSession, sf: str) -> str:
+    """A file for each part: names in the first bytes or beyond them, characters that the cut goes through, bytes that are no UTF-8."""
+    p = F.col("p_partkey")
+    name = F.concat(F.regexp_replace("p_name", " ", ""), F.lit(" - "), F.lower(F.lpad(F.hex(p), 6, "0")), F.lit("_"), F.regexp_replace("p_brand", "#", ""), F.lit(".esp"))
+    path = F.concat("p_type", F.lit("/"), name, F.when(p % 5 == 0, "/RecordData.yaml").otherwise(".yaml"))
+    named = F.concat(F.lit("Name: "), "p_name", F.lit("\n"))
+    after = F.when(p % 4 == 1, F.repeat(F.lit("é"), 6000).cast("binary")).when(p % 4 == 2, F.unhex(F.lit("FF4142C3"))).otherwise(F.lit("").cast("binary"))
+    content = F.when(p % 4 == 3, F.concat(F.repeat(F.lit("# filler line\n"), 600), named).cast("binary")).otherwise(F.concat(named.cast("binary"), after))
+    root = scratch(spark, "record_files")
+    heads.write_files(table(spark, sf, "part").select(path.alias("path"), content.alias("content")), root)
+    return root
+
+
+@query
+def record_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Records by the names of written files and the first 8192 bytes of each."""
+    found = files.read_records(spark, _record_files(spark, sf), "part", "g")
+    return found.select("path", "editor_id", "form_key", "record_type", "name_en", "size")
+
+
+@query
+def file_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of the same files; a character that is cut, and bytes that are none, are replaced."""
+    found = files.scan_tree(spark, _record_files(spark, sf), "*.yaml", 8192)
+    return found.select("path", "size", F.length("head").cast("long").alias("n_chars"), F.md5("head").alias("md5"))
+
+
 @query
 def eval_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Cases written as lines of JSON, blank lines among them, and read."""

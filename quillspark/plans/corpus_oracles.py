@@ -44,6 +44,12 @@ synced AS (
     CASE WHEN is_txt OR after IS NULL THEN '' ELSE after_id END AS links_out, CASE WHEN is_txt OR after IS NOT NULL THEN '[]' ELSE '[{{"target":"gone.md#x","reason":"missing"}}]' END AS unresolved
   FROM titled)"""
 
+#: A file for each part, by its id: what stands in it, and its size in bytes.
+_RECORD_FILES = """named AS (SELECT *, 'Name: ' || p_name || chr(10) AS named, upper(lpad(printf('%X', p_partkey), 6, '0')) AS form_id, replace(p_brand, '#', '') || '.esp' AS plugin FROM part),
+record_files AS (
+  SELECT *, p_type || '/' || replace(p_name, ' ', '') || ' - ' || lower(form_id) || '_' || plugin || CASE WHEN p_partkey % 5 = 0 THEN '/RecordData.yaml' ELSE '.yaml' END AS path,
+    length(named) + CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 12000 WHEN 2 THEN 4 ELSE 8400 END AS size FROM named)"""
+
 _CHUNKED = r"""lines AS (SELECT doc_id, title, i, string_split(body, chr(10))[i] AS line FROM (SELECT doc_id, title, body, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM src)),
 heads AS (SELECT *, length(regexp_extract(line, '^\s{0,3}(#{1,3})\s+\S', 1)) AS level, regexp_extract(line, '^\s{0,3}#{1,3}\s+(.+?)\s*#*\s*$', 1) AS h FROM lines),
 numbered AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s0 FROM heads),
@@ -142,6 +148,10 @@ best AS (SELECT doc_id, n, arg_min(id, place) AS resolved FROM hits GROUP BY ALL
 SELECT r.doc_id, r.n, r.target, r.fragment, resolved, CASE WHEN resolved IS NULL THEN 'missing' END AS reason FROM raw r LEFT JOIN best USING (doc_id, n)""",
     "record_identity": """SELECT p_partkey, replace(p_name, ' ', '') AS editor_id, upper(lpad(printf('%X', p_partkey), 6, '0')) AS form_id, replace(p_brand, '#', '') || '.esp' AS plugin, p_type AS record_type
 FROM part WHERE p_partkey % 5 = 0 OR (p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)""",
+    "record_scan": f"""WITH {_RECORD_FILES} SELECT path, replace(p_name, ' ', '') AS editor_id, form_id || ':' || plugin AS form_key, p_type AS record_type, CASE WHEN p_partkey % 4 <> 3 THEN p_name ELSE '' END AS name_en, size FROM record_files""",
+    "file_heads": f"""WITH {_RECORD_FILES}, heads AS (SELECT path, size, CASE p_partkey % 4 WHEN 0 THEN named WHEN 1 THEN named || repeat('é', (8192 - length(named)) // 2) || repeat('\ufffd', (8192 - length(named)) % 2)
+  WHEN 2 THEN named || '\ufffdAB\ufffd' ELSE left(repeat('# filler line' || chr(10), 600), 8192) END AS head FROM record_files)
+SELECT path, size, length(head)::BIGINT AS n_chars, md5(head) AS md5 FROM heads""",
     "eval_cases": "SELECT text AS q, 'd/' || item_id AS expect FROM benchmark",
     "file_texts": "SELECT lang, source, length(t)::BIGINT AS n_chars, sha256(t) AS sha256 FROM (SELECT lang, source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS t FROM documents GROUP BY ALL)",
     "chunk_headings": f"""{_CHUNKS_OF_HEADED} SELECT chunk_id, doc_id, chunk_index, breadcrumb, greatest(1, round_even(length(text) / 4, 0))::BIGINT AS n_tokens, sha256(text) AS text_sha256, sha256(breadcrumb || chr(10) || chr(10) || text) AS embed_sha256 FROM chunks""",

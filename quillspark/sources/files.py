@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
+from . import heads
 
 BOM = "﻿"
 
@@ -147,13 +148,30 @@ def record_identity(path: Column) -> Column:
     return F.when(known, F.struct(F.trim(part(1)).alias("editor_id"), F.upper(part(2)).alias("form_id"), part(3).alias("plugin"), kind.alias("record_type")))
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8, such as a character that is cut, is replaced."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def scan_tree(spark: SparkSession, root: str, name_glob: str, head_bytes: int | None = None) -> DataFrame:
-    """(path, size, mtime[, head]) of the files below root that match; without head the contents are not read."""
+    """(path, size, mtime[, head]) of the files below root that match; without head the contents are not read.
+
+    Heads are read by ranges, so of a long file no more than head_bytes move. A store that only Spark's own readers can
+    open has no ranges: its files are read whole and cut, and empty ones, which those readers leave out, are missing.
+    """
+    if head_bytes:
+        try:
+            heads.opened(root)
+        except ValueError:
+            pass
+        else:
+            heads.register(spark)
+            return spark.read.format("file_heads").option("glob", name_glob).option("bytes", head_bytes).load(root)
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root)
-    columns = [F.url_decode(F.substring_index("path", base, -1)).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime")]
+    columns = [F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime")]
     if head_bytes:
-        columns.append(F.expr(f"decode(substring(content, 1, {head_bytes}), 'UTF-8')").alias("head"))
+        columns.append(as_text(F.substring("content", 1, head_bytes)).alias("head"))
     return found.select(*columns)
 
 
@@ -165,6 +183,7 @@ def read_records(spark: SparkSession, root: str, source_set: str, game: str, hea
 
 
 def read_scripts(spark: SparkSession, root: str, source_set: str, game: str) -> DataFrame:
-    """Script files below root, with their whole text."""
-    files = scan_tree(spark, root, "*.[pP][sS][cC]", (1 << 31) - 1)
-    return files.select(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("name"), F.lit(game).alias("game"), F.lit(source_set).alias("source_set"), "path", "size", "mtime", F.col("head").alias("text"))
+    """Script files below root, with their whole text; bytes that are no UTF-8 are replaced."""
+    found = scan_tree(spark, root, "*.[pP][sS][cC]", (1 << 31) - 1)
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    return found.select(name.alias("name"), F.lit(game).alias("game"), F.lit(source_set).alias("source_set"), "path", "size", "mtime", F.col("head").alias("text"))
