@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from .common import components, held, saved
 from .hnsw import usable
 
-#: Share of pairs at the least cosine that may have no common filter, and pairs drawn to find its level.
+#: Share of pairs at the least cosine that may have no common filter, and pairs drawn to find the level of the filters for it.
 MISSED, PROBES = 0.0005, 8192
-#: Filters that a vector joins in any case. A label of up to so many blocks of classes is one filter.
-LEAST, EXACT = 4, 8
+#: Codes, each turned another way. Several with a higher level make fewer and smaller filters than one does.
+CODES = 4
+#: Vectors that share a first codeword in a label, about, and the least and largest size of both lists of codewords.
+GROUP, SIDES, MOST_FIRST, MOST_SECOND = 65_536, 32, 4096, 65_536
+#: Vectors and codewords are rounded to this fraction, so that scores are exact sums, alike in every task.
+STEP = 2.0**-20
+#: Rows of a product that a task holds.
+TILE = 2048
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -29,23 +35,27 @@ def _front(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], b[order][1:] > top[:-1]])]
 
 
-class ProductCode:
-    """side * side directions (c_i, d_j): random unit codewords c for the first half of the components, d for the second.
+class ProductCodes:
+    """Filters (code, i, j): the caps around c_i + d_j, unit codewords c for one half of a code's turned components, d for the other.
 
-    Vectors are rotated at random first, so that the share of pairs with a common filter does not hang on the data.
-    The level is such that pairs of cosine least have one but for a share of MISSED, as measured on random pairs.
+    A vector is in a filter if its two scores sum to the level or more; so only the sums of two short lists are looked
+    at. The level is such that pairs of cosine least have a filter in common but for a share of MISSED, as measured on
+    random pairs. Turns make that independent of the data.
     """
 
-    def __init__(self, dimensions: int, side: int, least: float = 0.93):
-        rng = np.random.default_rng(1000 * side + dimensions)
+    def __init__(self, dimensions: int, first: int, second: int, least: float = 0.93):
+        rng = np.random.default_rng([dimensions, first, second])
         half = max(1, dimensions // 2)
-        self.side, self.half = side, half
-        self.first, self.second = _unit(rng.standard_normal((side, half))), _unit(rng.standard_normal((side, max(1, dimensions - half))))
-        self.turn = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
-        self.level = -np.inf if side == 1 else float(np.quantile(self._shared(rng, dimensions, least), MISSED))
+        rest = max(1, dimensions - half)
+        self.first, self.second, self.codes = first, second, []
+        for _ in range(CODES):
+            turn = np.linalg.qr(rng.standard_normal((max(dimensions, half + rest), half + rest)))[0][:dimensions]
+            c, d = _unit(rng.standard_normal((first, half))), _unit(rng.standard_normal((second, rest)))
+            self.codes.append(tuple(np.round(m / STEP) * STEP for m in (turn[:, :half] @ c.T, turn[:, half:] @ d.T)))
+        self.level = float(np.quantile(self._shared(rng, dimensions, least), MISSED))
 
     def _shared(self, rng: np.random.Generator, dimensions: int, least: float) -> np.ndarray:
-        """Of random pairs of cosine least, the highest level at which both exceed a filter.
+        """Of random pairs of cosine least, the highest level at which both are in one filter.
 
         Only codewords that no other one beats for both vectors of the pair can be in that filter, and these are few.
         """
@@ -54,139 +64,178 @@ class ProductCode:
             x, z = _unit(rng.standard_normal((256, dimensions))), rng.standard_normal((256, dimensions))
             z = _unit(z - (z * x).sum(axis=1, keepdims=True) * x)
             y = _unit(least * x + np.sqrt(max(0.0, 1 - least * least)) * z)
-            for x1, x2, y1, y2 in zip(*self._scores(x), *self._scores(y)):
-                i, j = _front(x1, y1), _front(x2, y2)
-                out.append(np.minimum(x1[i][:, None] + x2[j], y1[i][:, None] + y2[j]).max())
-        return np.array(out)
-
-    def _scores(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = v @ self.turn
-        rest = v[:, self.half :] if v.shape[1] > self.half else np.zeros((len(v), 1))
-        return v[:, : self.half] @ self.first.T, rest @ self.second.T
-
-    def decode(self, v: np.ndarray) -> list[np.ndarray]:
-        """Of each unit vector the sorted filters that it exceeds: for each codeword of the first list, those of the second that lift it over the level."""
-        out = []
-        for one, two in zip(*self._scores(v)):
-            order = np.argsort(two)
-            sorted_two = two[order]
-            firsts = np.flatnonzero(one + sorted_two[-1] >= self.level)
-            starts = np.searchsorted(sorted_two, self.level - one[firsts])
-            exceeded = [int(i) * self.side + order[s:] for i, s in zip(firsts, starts)]
-            best = np.argsort(one)[-LEAST:][:, None] * self.side + order[-LEAST:][None, :]
-            top = best.ravel()[np.argsort((one[best.ravel() // self.side] + two[best.ravel() % self.side]))[-LEAST:]]
-            out.append(np.unique(np.concatenate([*exceeded, top])))
-        return out
-
-
-def _join_filters(least: float):
-    schema = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("side", pa.int32()), ("filter", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("vector", pa.binary()), ("earlier", pa.binary())])
+            best = np.full(256, -np.inf)
+            for code in self.codes:
+                for n, (x1, x2, y1, y2) in enumerate(zip(x @ code[0], x @ code[1], y @ code[0], y @ code[1])):
+                    i, j = _front(x1, y1), _front(x2, y2)
+                    best[n] = max(best[n], np.minimum(x1[i][:, None] + x2[j], y1[i][:, None] + y2[j]).max())
+            out.append(best)
+        return np.concatenate(out)
+
+    @staticmethod
+    def rounded(v: np.ndarray) -> np.ndarray:
+        """Unit vectors in steps: products with codewords are then whole numbers of steps squared, below 2^53, in any order of summing."""
+        return np.round(v / STEP) * STEP
+
+    def firsts(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, group): the groups code * first + i in which vectors have a filter."""
+        rows, groups = [], []
+        for k, (c, d) in enumerate(self.codes):
+            n, i = np.nonzero(v @ c + (v @ d).max(axis=1, keepdims=True) >= self.level)
+            rows.append(n)
+            groups.append(k * self.first + i)
+        return np.concatenate(rows), np.concatenate(groups)
+
+    def seconds(self, v: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """(j, vector), sorted: the filters of a group that each vector is in."""
+        c, d = self.codes[group // self.first]
+        one = v @ c[:, group % self.first]
+        met = [np.nonzero(one[at : at + 256, None] + v[at : at + 256] @ d >= self.level) for at in range(0, len(v), 256)]
+        n = np.concatenate([x + 256 * k for k, (x, _) in enumerate(met)]) if met else np.empty(0, np.int64)
+        j = np.concatenate([x for _, x in met]) if met else np.empty(0, np.int64)
+        order = np.lexsort((n, j))
+        return j[order], n[order]
+
+    def decode(self, v: np.ndarray, before: int | None = None) -> list[np.ndarray]:
+        """Of each vector the sorted filters group * second + j that it is in, all or those before a group."""
+        found: list[list[np.ndarray]] = [[] for _ in v]
+        rows, groups = self.firsts(v)
+        scores = [v @ d for _, d in self.codes]
+        for n, g in zip(rows.tolist(), groups.tolist()):
+            if before is None or g <= before:
+                k = g // self.first
+                j = np.flatnonzero(v[n] @ self.codes[k][0][:, g % self.first] + scores[k][n] >= self.level)
+                found[n].append(g * self.second + j)
+        return [np.sort(np.concatenate(own)) if own else np.empty(0, np.int64) for own in found]
+
+
+def _codes(dimensions: int, first: int, second: int, least: float) -> ProductCodes:
+    known = held(f"codes-{least}", dict)
+    kind = dimensions, first, second
+    return known.get(kind) or known.setdefault(kind, ProductCodes(*kind, least))
+
+
+GROUPS = "label long, d int, first int, second int, group long, class long, members long, vector binary"
+
+
+def _join_groups(least: float):
+    schema = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("group", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("vector", pa.binary())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = held(f"codes-{least}", dict)
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                part = whole.slice(at, 1000)
-                rows: list[list] = [[] for _ in schema]
-                for row in part.to_pylist():
-                    v = np.asarray(row["embedding"], dtype=np.float64)
-                    kind = len(v), row["side"]
-                    code = codes.get(kind) or codes.setdefault(kind, ProductCode(*kind, least))
-                    filters = code.decode((v / np.linalg.norm(v))[None, :])[0]
-                    raw = filters.astype(np.int32).tobytes()
-                    earlier = [raw[: 4 * n] for n in range(len(filters))]
-                    values = (row["label"], *kind, filters, row["class"], row["members"], v.astype(np.float32).tobytes(), earlier)
-                    for column, value in zip(rows, values):
-                        column.extend(value if value is filters or value is earlier else [value] * len(filters))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+            for at in range(0, len(whole), 256):
+                part = whole.slice(at, 256).to_pylist()
+                kinds: dict[tuple[int, int, int], list[int]] = {}
+                for n, r in enumerate(part):
+                    kinds.setdefault((len(r["vector"]) // 8, r["first"], r["second"]), []).append(n)
+                for kind, rows in kinds.items():
+                    v = np.stack([np.frombuffer(part[n]["vector"]) for n in rows])
+                    codes = _codes(*kind, least)
+                    vectors, groups = codes.firsts(codes.rounded(_unit(v)))
+                    own = [part[rows[n]] for n in vectors.tolist()]
+                    columns = [[r["label"] for r in own], *([x] * len(own) for x in kind), groups, [r["class"] for r in own], [r["members"] for r in own], [r["vector"] for r in own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return join
 
 
 def _verify(least: float):
-    """Links between the classes of two blocks of a filter, each in its pair's first common filter: counts by class, and a forest of edges."""
+    """Links between the classes of two blocks of a group, each in its pair's first common filter: counts by class, and a forest of edges."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def verify(table: pa.Table) -> pa.Table:
-        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
-        ids, members = table.column("class").to_numpy(), table.column("members").to_numpy()
-        own = table.column("own").to_numpy()
-        v = np.stack([np.frombuffer(x, np.float32) for x in table.column("vector").to_pylist()]).astype(np.float64)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        link = v @ v.T >= least
-        link &= ids[:, None] < ids[None, :]
-        if i != j:
-            link &= own[:, None] != own[None, :]
-        x, y = np.nonzero(link)
-        if len(x):  # an earlier filter that both share has them already
-            near = np.unique(np.concatenate([x, y]))
-            place = np.full(len(ids), -1)
-            place[near] = np.arange(len(near))
-            raw = table.column("earlier").to_pylist()
-            lists = [np.frombuffer(raw[n], np.int32) for n in near.tolist()]
-            names, columns = np.unique(np.concatenate(lists), return_inverse=True)
-            has = np.zeros((len(near), len(names)), dtype=np.float32)
-            has[np.repeat(np.arange(len(near)), [len(f) for f in lists]), columns] = 1
-            earlier = (has @ has.T > 0)[place[x], place[y]]
-            x, y = x[~earlier], y[~earlier]
-        links = np.bincount(x, members[y], len(ids)) + np.bincount(y, members[x], len(ids))
-        top = list(range(len(ids)))
+        d, first, second, group, i, j = (table.column(c)[0].as_py() for c in ("d", "first", "second", "group", "i", "j"))
+        codes = _codes(d, first, second, least)
+        ids, members, own = (table.column(c).to_numpy() for c in ("class", "members", "own"))
+        v = _unit(np.stack([np.frombuffer(x) for x in table.column("vector").to_pylist()]))
+        coarse = codes.rounded(v)
+        links, top = np.zeros(len(ids), np.int64), list(range(len(ids)))
+        lists: dict[int, np.ndarray] = {}
+        a, b = [], []
 
         def find_top(n: int) -> int:
             while top[n] != n:
                 top[n] = n = top[top[n]]
             return n
 
-        a, b = [], []
-        for p, q in zip(x.tolist(), y.tolist()):
-            p, q = find_top(p), find_top(q)
-            if p != q:
-                top[q] = p
-                a.append(ids[p])
-                b.append(ids[q])
+        names, places = codes.seconds(coarse, group)
+        bounds = np.flatnonzero(np.diff(names)) + 1
+        for own_j, inside in zip(names[np.append(0, bounds)] if len(names) else [], np.split(places, bounds)):
+            for at in range(0, len(inside), TILE):
+                rows = inside[at : at + TILE]
+                for to in range(at, len(inside), TILE):
+                    columns = inside[to : to + TILE]
+                    link = v[rows] @ v[columns].T >= least
+                    link &= rows[:, None] < columns[None, :]
+                    if i != j:
+                        link &= own[rows][:, None] != own[columns][None, :]
+                    x, y = np.nonzero(link)
+                    if not len(x):
+                        continue
+                    near = np.unique(np.concatenate([rows[x], columns[y]]))
+                    new = [n for n in near.tolist() if n not in lists]
+                    if new:
+                        lists.update(zip(new, codes.decode(coarse[new], group)))
+                    # an earlier filter that both are in has them already
+                    before = [lists[n][: np.searchsorted(lists[n], group * second + own_j)] for n in near.tolist()]
+                    kinds, place = np.unique(np.concatenate(before), return_inverse=True)
+                    has = np.zeros((len(near), max(1, len(kinds))), dtype=np.float32)
+                    has[np.repeat(np.arange(len(near)), [len(f) for f in before]), place] = 1
+                    x, y = rows[x], columns[y]
+                    fresh = (has @ has.T == 0)[np.searchsorted(near, x), np.searchsorted(near, y)]
+                    x, y = x[fresh], y[fresh]
+                    np.add.at(links, x, members[y])
+                    np.add.at(links, y, members[x])
+                    for p, q in zip(x.tolist(), y.tolist()):
+                        p, q = find_top(p), find_top(q)
+                        if p != q:
+                            top[q] = p
+                            a.append(ids[p])
+                            b.append(ids[q])
         some = np.flatnonzero(links)
-        counts = links[some].astype(np.int64)
-        return pa.table([pa.array([*a, *ids[some]], pa.int64()), pa.array([*b, *ids[some]], pa.int64()), pa.array([*[0] * len(a), *counts], pa.int64())], schema=schema)
+        return pa.table([pa.array([*a, *ids[some]], pa.int64()), pa.array([*b, *ids[some]], pa.int64()), pa.array([*[0] * len(a), *links[some]], pa.int64())], schema=schema)
 
     return verify
 
 
-def near_vectors(embeddings: DataFrame, least: float = 0.93, side: int | None = None, block: int = 1024) -> DataFrame:
+def near_vectors(embeddings: DataFrame, least: float = 0.93, block: int = GROUP) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept.
 
     embeddings needs vec_id, embedding and label; extra columns are ignored. Vectors of equal label that is not null
-    link when their cosine is least or more in double precision, among the pairs that share a filter; pairs of that
-    cosine do so with a probability of 0.999, whatever the number of filters. A label of up to EXACT * block classes is
-    one filter, where all pairs meet: there the sums are exact. n_links counts the other vectors linked directly, component_id is the
-    smallest vec_id reachable and kept marks the row whose own id that is.
+    link when their cosine is least or more in double precision, among the pairs that have a filter in common; pairs of
+    that cosine do so with a probability of 0.9995, nearer ones with a higher one. n_links counts the other vectors
+    linked directly, component_id is the smallest vec_id reachable and kept marks the row whose own id that is.
 
     Null, zero and non-finite vectors and those without a label link with nothing. Equal vectors of a label form one
     class, so copies are counted, not paired; repeated rows are copies. Vectors of different lengths don't link. An
-    empty table gives an empty result. A filter with more than block classes is compared in pairs of blocks.
+    empty table gives an empty result.
+
+    A vector goes once to each first codeword under which it has filters; the filters themselves are found again there,
+    so no lists of them move. Labels have the more filters the more classes they have. Where more than block vectors
+    share a first codeword, they are compared in pairs of blocks, still by filter.
     """
-    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     takes_part = usable(F.col("embedding")) & F.col("label").isNotNull()
-    keyed = own.withColumn("class", F.when(takes_part, F.xxhash64("label", "embedding")))
-    classes = keyed.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("members"), F.min("vec_id").alias("first"))
-    classes = saved(classes, "classes")
-    sides = classes.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = F.when(F.col("n") <= EXACT * block, 1).otherwise(F.least(F.lit(4096), F.greatest(F.lit(32), F.ceil(F.sqrt("n")))))
-    sides = sides.select("label", (wanted if side is None else F.lit(side)).cast("int").alias("side"))
-    columns = "label long, d int, side int, filter long, class long, members long, vector binary, earlier binary"
-    joined = saved(classes.join(sides, "label").mapInArrow(_join_filters(least), columns), "filters")
-    sizes = joined.groupBy("label", "d", "side", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.when(F.col("side") == 1, EXACT).otherwise(1))
-    sizes = sizes.select("label", "d", "filter", blocks.cast("int").alias("blocks"))
-    dealt = joined.join(sizes, ["label", "d", "filter"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    pack = F.arrow_udf(lambda x: pa.array([None if e is None else np.asarray(e, np.float64).tobytes() for e in x.to_pylist()], pa.binary()), "binary")
+    keyed = saved(own.select("vec_id", "label", pack(F.when(takes_part, F.transform("embedding", lambda x: x + 0.0))).alias("vector")), "vectors")  # -0.0 is 0.0
+    classes = keyed.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("members"), F.min("vec_id").alias("first_id"))
+    classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    power = lambda x, most: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(SIDES), F.least(F.lit(most), x))))).cast("int")
+    sides = classes.groupBy("label").agg(F.count("*").alias("n")).withColumn("first", power(F.col("n") * CODES / GROUP, MOST_FIRST))
+    sides = sides.withColumn("second", power(F.col("n") / F.col("first"), MOST_SECOND)).select("label", "first", "second")
+    joined = saved(classes.join(sides, "label").mapInArrow(_join_groups(least), GROUPS), "groups")
+    key = ["label", "d", "group"]
+    sizes = joined.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = joined.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    tasks = dealt.withColumn("pair", F.explode(pairs)).select("label", "d", "filter", "pair.i", "pair.j", "own", "class", "members", "vector", "earlier")
-    found = saved(tasks.groupBy("label", "d", "filter", "i", "j").applyInArrow(_verify(least), "a long, b long, links long"), "found")
+    tasks = dealt.withColumn("pair", F.explode(pairs)).select(*key, "first", "second", "pair.i", "pair.j", "own", "class", "members", "vector")
+    found = saved(tasks.groupBy(*key, "i", "j").applyInArrow(_verify(least), "a long, b long, links long"), "found")
     groups = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "class")
     counts = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    placed = classes.select("class", "members", "first").join(groups, "class", "left").join(counts, "class", "left")
-    placed = placed.select("class", "first", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
-    heads = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = placed.join(heads, "component").select("class", "n_links", "component_id")
-    linked = keyed.where("class is not null").select("vec_id", "class").join(of_class, "class").select("vec_id", "n_links", "component_id")
-    alone = keyed.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    placed = classes.select("label", "vector", "class", "members", "first_id").join(groups, "class", "left").join(counts, "class", "left")
+    placed = placed.select("label", "vector", "first_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = placed.join(heads, "component").select("label", "vector", "n_links", "component_id")
+    linked = keyed.where("vector is not null").join(of_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    alone = keyed.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -50,7 +50,7 @@ def test_nearest(spark):
 
 def test_near_vectors(spark):
     rows = vectors()
-    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in cap_near_dup.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4), block=16).collect())
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in cap_near_dup.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4), block=200).collect())
     ok = [i for i, r in enumerate(rows) if good(r[1]) and r[2] is not None]
     top = {i: i for i in range(len(rows))}
     links = Counter()
@@ -75,33 +75,63 @@ def test_near_vectors(spark):
     assert cap_near_dup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("side", [32, 316, 1000])
-def test_pairs_share_filters_at_every_side(side):
-    """At the least cosine, for random vectors and for such that have the first half of the components alone."""
+@pytest.mark.parametrize("sides", [(32, 32), (32, 256), (64, 2048)])
+def test_pairs_share_filters_at_every_size(sides):
+    """At the least cosine, for random vectors and for such that have the first half of the components alone; groups, filters of a group and whole lists agree."""
     rng = np.random.default_rng(17)
-    code = cap_near_dup.ProductCode(64, side)
+    codes = cap_near_dup.ProductCodes(64, *sides)
     for wide in (64, 32):
         x, z = rng.standard_normal((2, 1000, 64)) * (np.arange(64) < wide)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         z -= (z * x).sum(axis=1, keepdims=True) * x
         y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-        shared = sum(len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(code.decode(x), code.decode(y)))
+        x, y = codes.rounded(x), codes.rounded(y)
+        lists = codes.decode(x)
+        shared = sum(len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(lists, codes.decode(y)))
         assert shared >= 996
-
-
-def test_links_of_a_large_label(spark):
-    """Pairs close to the threshold: as one filter all links are found, over many filters nearly all."""
+    rows, groups = codes.firsts(x)
+    assert {(n, g) for n, own in enumerate(lists) for g in set((own // codes.second).tolist())} == set(zip(rows.tolist(), groups.tolist()))
+    for g in (0, codes.first + 3, 3 * codes.first):
+        j, n = codes.seconds(x, g)
+        assert sorted(zip(n.tolist(), j.tolist())) == [(i, f - g * codes.second) for i, own in enumerate(lists) for f in own.tolist() if f // codes.second == g]
+        assert [own.tolist() for own in codes.decode(x[:50], g)] == [own[own < (g + 1) * codes.second].tolist() for own in lists[:50]]
+
+
+def _all_links(rows):
+    """n_links and component_id of vectors of one label, by all pairs."""
+    v = np.array([r[1] for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = v @ v.T >= 0.93
+    np.fill_diagonal(link, False)
+    least = np.arange(len(rows))
+    while True:
+        lower = np.minimum(least, np.where(link, least[None, :], len(rows)).min(axis=1))
+        if (lower == least).all():
+            return {r[0]: (int(n), int(c)) for r, n, c in zip(rows, link.sum(axis=1), least)}
+        least = lower
+
+
+@pytest.mark.parametrize("block", [cap_near_dup.GROUP, 150])
+def test_links_near_the_threshold(spark, block, monkeypatch):
+    """Pairs just above it, and a label of one direction with noise, most of which link: whole blocks and small ones agree with all pairs."""
+    monkeypatch.setattr(cap_near_dup, "TILE", 200)
     rng = np.random.default_rng(4)
     x, z = rng.standard_normal((2, 500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.935 * x + np.sqrt(1 - 0.935**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
-    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
-    for least, side in ((1000, None), (994, 316)):
-        found = cap_near_dup.near_vectors(vecs, side=side, block=128).collect()
-        assert all(r["n_links"] <= 1 and (r["n_links"] == 0 or r["component_id"] == r["vec_id"] % 500) for r in found)
-        assert sum(r["n_links"] for r in found) >= least
+    apart = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    close = [(i, v.astype(np.float32).tolist(), 2) for i, v in enumerate(x[0] + 0.033 * rng.standard_normal((700, 64)))]
+    want = _all_links(close)
+    assert 0 < sum(n for n, _ in want.values()) < 0.9 * 700 * 700
+    rows = apart + [(10_000 + i, v, n) for i, v, n in close]
+    found = cap_near_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4), block=block).collect()
+    first, second = ([r for r in found if (r["vec_id"] >= 10_000) == is_close] for is_close in (False, True))
+    assert all(r["n_links"] <= 1 and (r["n_links"] == 0 or r["component_id"] == r["vec_id"] % 500) for r in first)
+    assert sum(r["n_links"] for r in first) >= 996
+    got = {r["vec_id"] - 10_000: (r["n_links"], r["component_id"] - 10_000) for r in second}
+    assert all(got[i][0] <= n and got[i][1] == c for i, (n, c) in want.items())
+    assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
 
 
 def host_path(url):
