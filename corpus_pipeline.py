@@ -20,12 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; n_chars follows the text.
-
-    Texts that hold little else stay whole: they are near copies, of which the next stage is to keep one, and cut down
-    to what sets them apart it could not tell them.
-    """
-    cleaned = line_templates.without_recurring_lines(docs, spare=0.5)
+    """Recurring lines go, wherever they stand; n_chars follows the text."""
+    cleaned = line_templates.without_recurring_lines(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
