@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, saved, words_between
+from .common import broadcast_if_small, saved
 
 VARIABLE = "<*>"
 #: A token with a digit, in a text whose tokens stand between single spaces and line ends.
@@ -77,17 +77,14 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     return lines.select("text_key", "at", "n", "line_key").join(broadcast_if_small(recurring), "line_key", "left_semi").drop("line_key")
 
 
-def _cut(docs: DataFrame, depth: int, similarity: float, min_texts: int, spare: float | None) -> DataFrame:
+def _cut(docs: DataFrame, depth: int, similarity: float, min_texts: int) -> DataFrame:
     """(row, text, n_lines, n_dropped) of each row of docs."""
     recurring = recurring_lines(docs, depth, similarity, min_texts)
     # copies of a text bring its lines several times
-    spots = recurring.groupBy("text_key").agg(F.collect_set(F.struct("at", "n")).alias("spots"))
-    cuts = saved(spots.select("text_key", F.transform("spots", lambda s: s["at"]).alias("cut"), F.aggregate("spots", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("cut_words")), "cuts")
+    spots = recurring.groupBy("text_key").agg(F.collect_set("at").alias("cut"))
+    cuts = saved(spots, "cuts")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(_text()).alias("text_key"))
     joined = own.join(cuts.hint("merge"), "text_key", "left").withColumn("t", F.col("row.text").cast("string"))
-    if spare is not None:
-        words = F.size(words_between(F.col("t"), SPACES))
-        joined = joined.withColumn("cut", F.when(F.col("cut_words") <= spare * words, F.col("cut")))
     left = F.filter(F.split("t", "\n"), lambda line, i: ~F.array_contains("cut", i))
     cleaned = F.when(F.col("cut").isNull(), F.col("t")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
@@ -95,20 +92,19 @@ def _cut(docs: DataFrame, depth: int, similarity: float, min_texts: int, spare:
     return joined.select("row", cleaned.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5, spare: float | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5) -> DataFrame:
     """docs with recurring lines cut from text, and the columns n_lines and n_dropped.
 
     docs needs text; other columns stay as they are, but for older ones named n_lines or n_dropped. Recurring lines go
-    wherever they stand, so a text of nothing else becomes empty; spare leaves texts whole of which recurring lines hold
-    more than that share of the words, for near copies that a later step is to find. Blank lines always stay. Null stays
+    wherever they stand, so a text of nothing else becomes empty. Blank lines always stay. Null stays
     null and has no lines; an empty text has one line. Exact copies count as one text and are treated alike, and
     repeated rows stay repeated. An empty table gives an empty result.
     """
     kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return _cut(docs, depth, similarity, min_texts, spare).select(*kept, "n_lines", "n_dropped")
+    return _cut(docs, depth, similarity, min_texts).select(*kept, "n_lines", "n_dropped")
 
 
-def without_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5, spare: float | None = None) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_texts: int = 5) -> DataFrame:
     """As drop_recurring_lines, with the columns of docs alone, whatever they are called."""
     kept = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return _cut(docs, depth, similarity, min_texts, spare).select(*kept)
+    return _cut(docs, depth, similarity, min_texts).select(*kept)

@@ -59,8 +59,8 @@ def tokens(line):
     return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
 
 
-def without_lines(rows, spare=0.5):
-    """Lines that fit a template of five texts go, but from texts that consist of them for more than spare."""
+def without_lines(rows):
+    """Lines that fit a template of five texts go."""
     holders = defaultdict(set)
     for t in {r[1] or "" for r in rows}:
         for line in t.split("\n"):
@@ -89,10 +89,8 @@ def without_lines(rows, spare=0.5):
     out = []
     for r in rows:
         text = r[1]
-        lines = (text or "").split("\n")
-        cut = sum(len(tokens(x)) for x in lines if tokens(x) in goes)
-        if text is not None and cut <= spare * sum(len(tokens(x)) for x in lines):
-            text = "\n".join(x for x in lines if tokens(x) not in goes)
+        if text is not None:
+            text = "\n".join(x for x in text.split("\n") if tokens(x) not in goes)
         out.append((r[0], text, *r[2:4], None if text is None else len(text), *r[5:]))
     return out
 
