@@ -8,13 +8,16 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .functions import records as R
 from .functions import text as T
-from .operators import chunking, lexical, lookup, ranking, refresh
-from .operators.filters import Filters, clamped
+from .operators import chunking, evaluate, index, lexical, lookup, ranking, refresh
+from .operators.filters import Filters, clamped, given_predicate, given_value
 from .operators.index import Stored
+from .operators.snapshots import Change, Spec, Tables
 from .sources import files
 
 #: Limits of the tools.
@@ -44,28 +47,28 @@ class Engine:
         self, spark: SparkSession, root: str, encode: Callable[[str], Sequence[float]] | None = None, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, model: str = "", buckets: int = 64
     ):
         self.spark, self.root, self.encode, self.embed, self.model, self.buckets = spark, root.rstrip("/"), encode, embed, model, buckets
-        self.chunks = Stored(spark, self.root, "chunks", "chunk_id", "doc_id", chunk_fields(), buckets)
-        self.records = Stored(spark, self.root, "records", "path", "path", lookup.record_fields(), buckets)
-        self.scripts = Stored(spark, self.root, "scripts", "path", "path", lookup.script_fields(), buckets)
-
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
-
-    def _has(self, name: str) -> bool:
-        return refresh.exists(self.spark, self._path(name))
+        flags = {"generated": "cast(coalesce(generated, false) as long)", "superseded": "cast(coalesce(superseded, false) as long)", "verified": "cast(coalesce(verified, 0) > 0 as long)"}
+        specs = {
+            "documents": Spec("doc_id", "doc_id", ("doc_id",), sums=flags), **index.specs("chunks", "doc_id", "regexp_replace(row_id, '#[0-9]+$', '')"), "vectors": Spec("chunk_id", "doc_id", ("chunk_id",)),
+            **index.specs("records", "path"), **index.specs("scripts", "path"),
+        }
+        self.tables = Tables(spark, self.root, specs, buckets)
+        self.chunks = Stored(self.tables, "chunks", "chunk_id", "doc_id", chunk_fields())
+        self.records = Stored(self.tables, "records", "path", "path", lookup.record_fields())
+        self.scripts = Stored(self.tables, "scripts", "path", "path", lookup.script_fields())
+
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        return self.tables.live(name, state)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(name))
-        return self.table(name)
+        """df as a table of work in hand, which no reader looks at."""
+        path = f"{self.root}/work/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def build(self, documents: DataFrame, vectors: DataFrame | None = None) -> dict[str, int]:
         """Index documents anew, without anything that was there: (doc_id, title, body) and columns of OPTIONAL; vectors: (chunk_id, vec)."""
-        for name in ("documents", "vectors", "meta", *(f"chunks{x}" for x in ("", "_postings", "_stats", "_meta"))):
-            refresh.delete(self.spark, self._path(name))
-        return self.refresh(documents, vectors)
+        return self.refresh(documents, vectors, anew=True)
 
     def _prepared(self, documents: DataFrame) -> DataFrame:
         """Documents with all columns, and state: a hash of body, metadata and the version of the chunker."""
@@ -75,120 +78,192 @@ class Engine:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
         return rows.withColumn("state", refresh.document_state(F.col("body"), F.lit(chunking.VERSION), *(F.to_json(F.struct(c)) for c in sorted(rows.columns) if c not in ("doc_id", "body"))))
 
-    def plan(self, documents: DataFrame) -> DataFrame:
+    def plan(self, documents: DataFrame, state: dict | None = None) -> DataFrame:
         """(doc_id, status) of documents against what is indexed."""
         new = self._prepared(documents).select("doc_id", "state")
-        return refresh.plan(self.table("documents").select("doc_id", "state") if self._has("documents") else new.limit(0), new, "doc_id", ["state"])
-
-    def refresh(self, documents: DataFrame, vectors: DataFrame | None = None, stamp: str = "") -> dict[str, int]:
+        state = state or self.tables.manifest()
+        return refresh.plan(self.table("documents", state).select("doc_id", "state") if self.tables.exists("documents", state) else new.limit(0), new, "doc_id", ["state"])
+
+    def check(self, documents: DataFrame, stamp: str = "") -> DataFrame:
+        """What a refresh would do, without doing it: (mark, item), A, M and D with a document, E with a chunk that is to be embedded, S if the catalog's stamp moved."""
+        state = self.tables.manifest()
+        plan = self.plan(documents, state).where("status <> 'unchanged'")
+        mark = F.when(F.col("status") == "added", "A").when(F.col("status") == "changed", "M").otherwise("D")
+        found = plan.select(mark.alias("mark"), F.col("doc_id").alias("item"))
+        if self.embed is not None and self.tables.exists("chunks", state):
+            found = found.unionByName(self.pending(state).select(F.lit("E").alias("mark"), F.col("chunk_id").alias("item")))
+        if state["meta"].get("catalog_stamp", "") != stamp:
+            found = found.unionByName(self.spark.createDataFrame([("S", stamp)], "mark string, item string"))
+        return found
+
+    def refresh(self, documents: DataFrame, vectors: DataFrame | None = None, stamp: str = "", anew: bool = False) -> dict[str, int]:
         """Bring the index to documents, and return how many were added, changed, removed and left, and chunks embedded.
 
         Only documents that were added or changed are chunked and indexed; those and removed ones lose their chunks,
-        postings and vectors. Chunks without vectors are embedded then, but for generated ones. Documents are written
-        last, so a run that is cut short is made up for by the next.
+        postings and vectors. Chunks without vectors are embedded then, but for generated ones. All of it becomes
+        visible at once: a run that is cut short leaves the index as it was. Statistics follow from what comes and goes.
         """
-        plan = self._kept(self.plan(documents), "plan")
+        change = self.tables.begin()
+        if anew:
+            for name in ("documents", "chunks", "chunks_postings", "vectors"):
+                change.clear(name)
+            change.state["meta"] = {}
+        plan = self._kept(self.plan(documents, change.state), "plan")
         counts = {"added": 0, "changed": 0, "removed": 0, "unchanged": 0} | {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        touched = self._prepared(documents).join(plan.where("status in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi")
-        removed = plan.where("status = 'removed'").select("doc_id")
-        if counts["added"] + counts["changed"] + counts["removed"]:
+        if counts["added"] + counts["changed"] + counts["removed"] or not change.exists("documents"):
+            touched = self._prepared(documents).join(plan.where("status in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi")
+            gone = plan.where("status in ('changed', 'removed')").select("doc_id")
             cut = chunking.chunk(touched).join(touched.select("doc_id", "game", "generated", "superseded"), "doc_id")
-            self.chunks.replace(cut, removed)
-            if self._has("vectors"):  # those of replaced chunks go with them
-                gone = plan.where("status in ('changed', 'removed')").select("doc_id")
-                refresh.upsert(self.table("vectors").drop("bucket").limit(0), gone, self._path("vectors"), "doc_id", self.buckets)
-            refresh.upsert(touched, removed, self._path("documents"), "doc_id", self.buckets)
-        counts["embedded"] = self._embed(vectors)
-        refresh.write_meta(self.spark, self._path("meta"), {"catalog_stamp": stamp, "chunk_version": chunking.VERSION, "model": self.model})
+            self.chunks.replace(change, cut, gone)
+            if change.exists("vectors"):  # those of replaced chunks go with them
+                change.delete("vectors", change.live("vectors").join(gone, "doc_id", "left_semi").select("chunk_id"))
+            change.delete("documents", gone)
+            change.add("documents", touched)
+        counts["embedded"] = self._embed(change, vectors)
+        meta = {"catalog_stamp": stamp, "chunk_version": chunking.VERSION}
+        if self.embed is not None or vectors is not None and self.model:
+            meta["model"] = self.model
+        change.settle()
+        change.publish(meta)
         return counts
 
-    def _embed(self, vectors: DataFrame | None) -> int:
-        """Add given vectors, and make those of chunks that lack them in batches inside tasks; another model drops all."""
-        if refresh.read_meta(self.spark, self._path("meta")).get("model", self.model) != self.model:
-            refresh.delete(self.spark, self._path("vectors"))
+    def _embed(self, change: Change, vectors: DataFrame | None) -> int:
+        """Add given vectors, and make those of chunks that lack them in batches inside tasks. One that embeds with another model drops all; one that doesn't embed leaves them."""
+        if self.embed is not None and change.state["meta"].get("model", self.model) != self.model:
+            change.clear("vectors")
         doc_id = F.regexp_replace("chunk_id", "#[0-9]+$", "").alias("doc_id")
         if vectors is not None:
-            self._put_vectors(vectors.select("chunk_id", doc_id, F.col("vec").cast("array<float>").alias("vec")))
+            self._put_vectors(change, vectors.select("chunk_id", doc_id, F.col("vec").cast("array<float>").alias("vec")))
         if self.embed is None:
             return 0
-        pending = self.pending()
+        pending = self.pending(change.state)
         n = pending.count()
         if n:
             embed = self.embed
             udf = F.arrow_udf(lambda texts: pa.array([[float(x) for x in v] for v in embed(texts.to_pylist())], pa.list_(pa.float32())), "array<float>")
-            self._put_vectors(pending.select("chunk_id", doc_id, udf("embed_text").alias("vec")))
+            self._put_vectors(change, pending.select("chunk_id", doc_id, udf("embed_text").alias("vec")))
         return n
 
-    def _put_vectors(self, new: DataFrame) -> None:
-        """Of one document, vectors of other chunks stay; of one chunk, the new vector counts."""
+    def _put_vectors(self, change: Change, new: DataFrame) -> None:
+        """Vectors in place of older ones of their chunks."""
         new = self._kept(new, "new_vectors")
-        if self._has("vectors"):
-            old = self.table("vectors").join(new.select("doc_id").distinct(), "doc_id", "left_semi").join(new.select("chunk_id"), "chunk_id", "left_anti")
-            new = self._kept(new.unionByName(old.select(*new.columns)), "all_vectors")
-        refresh.upsert(new, None, self._path("vectors"), "doc_id", self.buckets)
+        change.delete("vectors", new.select("chunk_id"))
+        change.add("vectors", new)
 
-    def pending(self) -> DataFrame:
+    def pending(self, state: dict | None = None) -> DataFrame:
         """Chunks that are to have a vector and have none yet."""
-        rows = self.chunks.rows()
-        if not self._has("vectors"):
+        state = state or self.tables.manifest()
+        rows = self.chunks.rows(state)
+        if not self.tables.exists("vectors", state):
             return rows.where(~F.coalesce("generated", F.lit(False)))
-        return refresh.pending(rows, self.table("vectors").select("chunk_id"))
+        return refresh.pending(rows, self.table("vectors", state).select("chunk_id"))
+
+    def compact(self) -> None:
+        """One segment for each table, without what is gone."""
+        change = self.tables.begin()
+        change.settle(whole=True)
+        change.publish()
 
     def stats(self) -> DataFrame:
-        """One row: documents, generated, superseded and verified ones, sections, chunks, vectors, tokens."""
-        docs = self.table("documents").agg(
-            F.count("*").alias("n_docs"), F.count_if("generated").alias("n_generated"), F.count_if("superseded").alias("n_superseded"), F.count_if(F.col("verified") > 0).alias("n_verified"), F.countDistinct("section").alias("n_sections")
-        )
-        chunks = self.chunks.rows().agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_tokens"))
-        vectors = self.table("vectors").agg(F.count("*").alias("n_vectors")) if self._has("vectors") else self.spark.range(1).select(F.lit(0).cast("long").alias("n_vectors"))
-        return docs.crossJoin(chunks).crossJoin(vectors)  # three rows
-
-    def _vector_arm(self, query: str, rows: DataFrame) -> DataFrame | None:
-        """None, and with it keyword search alone, without an encoder or vectors."""
-        if self.encode is None or not self._has("vectors"):
-            return None
-        asked = self.spark.createDataFrame([(0, [float(x) for x in self.encode(query)])], "query_id int, vec array<float>")
-        vectors = self.table("vectors").join(rows.select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "row_id")
-        return ranking.cosine(asked, vectors)
+        """One row: documents, generated, superseded and verified ones, sections, chunks, vectors, tokens. But for sections these are kept with the index and not counted."""
+        state = self.tables.manifest()
+        docs, chunks = self.tables.sums("documents", state), self.tables.sums("chunks", state)
+        long = lambda n: F.lit(n).cast("long")
+        return self.table("documents", state).agg(
+            long(docs["rows"]).alias("n_docs"), long(docs["generated"]).alias("n_generated"), long(docs["superseded"]).alias("n_superseded"), long(docs["verified"]).alias("n_verified"), F.countDistinct("section").alias("n_sections"),
+            long(chunks["rows"]).alias("n_chunks"), long(chunks["length"]).alias("n_tokens"), long(self.tables.sums("vectors", state)["rows"]).alias("n_vectors"),
+        )
 
-    def search(self, query: str, k: int = 5, filters: Filters = Filters()) -> DataFrame:
-        """The k best chunks: keyword and vector ranks fused, boosts, at most three chunks of a document."""
+    def _semantic_arm(self, asked: DataFrame, allowed: DataFrame, per_query: bool, state: dict) -> DataFrame | None:
+        """None, and with it keyword search alone, without an encoder or vectors. Queries of one set of filters share a pass over the vectors."""
+        if self.encode is None or not self.tables.exists("vectors", state):
+            return None
+        encode = self.encode
+        groups: dict[tuple[tuple[str, str], ...], list[tuple]] = {}
+        for r in asked.select("query_id", "q", *(["filters"] if per_query else [])).collect():  # a stated set
+            groups.setdefault(tuple(sorted((r["filters"] or {}).items())) if per_query else (), []).append((r["query_id"], [float(x) for x in encode(r["q"] or "")]))
+        chunk_docs = self.chunks.rows(state).select("chunk_id", "doc_id")
+        found = []
+        for given, rows in groups.items():
+            own = allowed.where(given_predicate(F.create_map(*(F.lit(x) for pair in given for x in pair)).cast("map<string,string>"))) if per_query else allowed
+            vectors = self.table("vectors", state).join(chunk_docs.join(own.select("doc_id"), "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "row_id")
+            queries = self.spark.createDataFrame(rows, StructType([asked.schema["query_id"], StructField("vec", ArrayType(FloatType()))]))
+            found.append(ranking.cosine(queries, vectors))
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def search_many(self, queries: DataFrame, k: int = 5, filters: Filters = Filters()) -> DataFrame:
+        """The k best chunks of each query, in one plan: keyword and vector ranks fused, boosts, at most three chunks of a document.
+
+        queries: (query_id, q) and, where queries differ in them, filters, a map of the fields of Filters as text, which
+        hold beside those given for all. Null and empty values of it are no condition.
+        """
         k = clamped(k, 1, MOST_HITS)
-        docs, chunks = self.table("documents"), self.chunks.rows()
-        asked = self.spark.createDataFrame([(0, query)], "query_id int, q string")
+        state = self.tables.manifest()
+        per_query = "filters" in queries.columns
+        asked = queries.select("query_id", "q", *(["filters"] if per_query else []))
         phrases = lexical.query_phrases(asked, "query_id", F.col("q"))
-        index = self.chunks.index(phrases)
-        scores = lexical.bm25(index.postings, index.stats, phrases, WEIGHTS)
-
-        def keyword_arm(f: Filters, most: int) -> tuple[DataFrame, DataFrame]:
-            allowed = docs.where(f.predicate()).select("doc_id")
-            rows = chunks.join(allowed, "doc_id", "left_semi").select("chunk_id")
-            own = scores.join(rows.withColumnRenamed("chunk_id", "row_id"), "row_id", "left_semi")
-            return ranking.top_by(own, most, ["query_id"], F.desc(F.round("score", 9)), F.asc("row_id")), rows
-
-        words, rows = keyword_arm(filters, ranking.CANDIDATES)
-        arms: dict[str, tuple[DataFrame, float]] = {"lexical": (words, 1.0)}
-        if (near := self._vector_arm(query, rows)) is not None:
-            arms["semantic"] = (near, 1.0)
-        if filters.generated == "exclude" and asked.where(T.is_record_shaped(F.col("q"))).count():
-            arms["records"] = (keyword_arm(replace(filters, generated="only"), ranking.ROUTED)[0], 1.0)
-        fused = ranking.rrf(arms).withColumnRenamed("row_id", "chunk_id")
-        hits = fused.join(chunks.select("chunk_id", "doc_id", "chunk_index", "heading_path", "breadcrumb", "text"), "chunk_id")
-        own = docs.select("doc_id", "title", "section", "game", "kind", "generated", "superseded", "superseded_by", "verified", "source_repo", "source_path", "path", "confidence")
-        hits = hits.join(own, "doc_id")
+        stored = self.chunks.index(phrases, state)
+        scores = lexical.bm25(stored.postings, stored.stats, phrases, WEIGHTS)
+        chunks, docs = self.chunks.rows(state), self.table("documents", state)
+        sent = F.broadcast(asked) if asked.count() <= lexical.MOST_SENT else asked
+        # what holds for all queries narrows the documents; what differs is looked at where query and document meet
+        wide = docs.where(replace(filters, generated="include", include_superseded=filters.include_superseded or per_query).predicate())
+        flag = F.coalesce("generated", F.lit(False))
+        if per_query:
+            words, records = given_predicate(F.col("filters")), given_predicate(F.col("filters"), generated="only") & (given_value(F.col("filters"), "generated", "exclude") == "exclude")
+        else:
+            words, records = {"exclude": ~flag, "only": flag}.get(filters.generated, F.lit(True)), flag & F.lit(filters.generated == "exclude")
+        most = {"lexical": ranking.CANDIDATES, "semantic": ranking.CANDIDATES, "records": ranking.ROUTED}
+        met = scores.withColumn("doc_id", F.regexp_replace("row_id", "#[0-9]+$", "")).join(wide.select("doc_id", "title", "game", "section", "kind", "project", "mod", "tags", "generated", "superseded"), "doc_id").join(sent, "query_id")
+        arms = F.array_compact(F.array(F.when(words, 0), F.when(records & T.is_record_shaped(F.col("q")), 2)))
+        own = met.select("query_id", "row_id", "score", F.explode(arms).alias("arm_no"))
+        ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "arm_no").orderBy(F.desc(F.round("score", 9)), F.asc("row_id"))))
+        ranked = ranked.where(F.col("rank") <= F.when(F.col("arm_no") == 0, most["lexical"]).otherwise(most["records"])).where(F.col("rank") <= max(most.values())).select("query_id", "row_id", "arm_no", "rank")
+        if (near := self._semantic_arm(asked, wide if per_query else wide.where(words), per_query, state)) is not None:
+            ranked = ranked.unionByName(near.select("query_id", "row_id", F.lit(1).alias("arm_no"), "rank"))
+        hits = ranking.fused(ranked, list(most), [1.0] * len(most)).withColumnRenamed("row_id", "chunk_id")
+        hits = hits.join(chunks.select("chunk_id", "doc_id", "chunk_index", "n_chunks", "heading_path", "breadcrumb", "text"), "chunk_id")
+        hits = hits.join(docs.select("doc_id", "title", "section", "game", "kind", "generated", "superseded", "superseded_by", "verified", "source_repo", "source_path", "path", "confidence"), "doc_id")
         hits = hits.withColumn("score", ranking.boosted(F.col("score"), F.col("verified"), F.col("superseded"))).withColumn("row_id", F.col("chunk_id"))
-        best = ranking.cap_per_doc(hits, k).drop("query_id", "row_id", "in_doc")
-        numbers = chunks.join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-        return best.join(numbers, "doc_id")
+        return ranking.cap_per_doc(hits, k).drop("row_id", "in_doc").withColumn("n_chunks", F.col("n_chunks").cast("long"))
 
-    def render(self, hits: DataFrame, budget: int = BUDGET) -> str:
-        """Hits as text within the budget, with their flags; they are as few as a search returns."""
+    def search(self, query: str, k: int = 5, filters: Filters = Filters()) -> DataFrame:
+        """The k best chunks of one query."""
+        return self.search_many(self.spark.createDataFrame([(0, query)], "query_id int, q string"), k, filters).drop("query_id")
+
+    def evaluate(self, cases: DataFrame | str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+        """Retrieval quality over cases (q, expect, filters), or a file of them, all searched in one plan.
+
+        Returns (case_id, q, hit_rank) of each case, hit_rank null for a miss, and one row of n_cases, recall, mrr. Cases
+        are numbered by question; filters are those of Filters, as text.
+        """
+        rows = files.read_cases(self.spark, cases) if isinstance(cases, str) else cases.select("q", "expect", "filters")
+        rows = rows.withColumn("case_id", F.row_number().over(W.orderBy("q", F.to_json(F.struct("expect", "filters")))).cast("long"))
+        rows = self._kept(rows, "cases")
+        hits = self.search_many(rows.select(F.col("case_id").alias("query_id"), "q", "filters"), k)
+        expected = rows.select("case_id", F.explode("expect").alias("doc_id"))
+        ranks = evaluate.case_ranks(hits.select(F.col("query_id").alias("case_id"), "doc_id", "rank"), rows, expected, k).join(rows.select("case_id", "q"), "case_id")
+        return ranks.select("case_id", "q", "hit_rank"), evaluate.summary(ranks)
+
+    def notes(self, query: str, stamp: str | None = None) -> list[str]:
+        """What a reader of hits should know: generated documents were searched too, keywords alone were, the index is older than the catalog."""
+        meta = self.tables.manifest()["meta"]
+        routed = self.spark.createDataFrame([(query,)], "q string").select(T.is_record_shaped(F.col("q")).alias("is")).first()["is"]
+        found = ["The query names a record, so generated documents were searched as well."] if routed else []
+        if self.encode is None or not self.tables.exists("vectors"):
+            found.append("Keyword search only, without vectors.")
+        if stamp is not None and refresh.is_stale(meta, stamp, chunking.VERSION):
+            found.append("The index is older than the catalog: refresh it.")
+        return found
+
+    def render(self, hits: DataFrame, budget: int = BUDGET, notes: Sequence[str] = ()) -> str:
+        """Hits of one query as text within the budget, with their flags, and notes; they are as few as a search returns."""
         shown = ranking.within_budget(hits.withColumn("all", F.lit(0)), ["all"], F.asc("rank"), "text", budget)
         parts = []
         for h in shown.orderBy("rank").collect():
             flags = [name for name in ("generated", "superseded") if h[name]] + (["verified"] if (h["verified"] or 0) > 0 else [])
-            parts.append(f"[{h['rank']}] {h['breadcrumb']} ({h['chunk_id']}; {h['arms']}{'; ' + ', '.join(flags) if flags else ''})\n{h['text']}")
-        return "\n\n".join(parts)
+            parts.append(f"[{h['rank']}] {h['breadcrumb']} ({h['chunk_id']}; chunk {h['chunk_index'] + 1} of {h['n_chunks']}; {h['arms']}{'; ' + ', '.join(flags) if flags else ''})\n{h['text']}")
+        return "\n\n".join([*parts, *(f"({note})" for note in notes)])
 
     def hit_json(self, hits: DataFrame) -> DataFrame:
         """(rank, json) of each hit; generated only where it is true, superseded_by only where the document is superseded."""
@@ -206,7 +281,7 @@ class Engine:
     def dump_chunks(self, path: str) -> None:
         """All chunks as JSON lines, each with its document's metadata."""
         docs = self.table("documents")
-        meta = F.struct(*(c for c in docs.columns if c not in ("doc_id", "body", "state", "bucket"))).alias("document")
+        meta = F.struct(*(c for c in docs.columns if c not in ("doc_id", "body", "state", "bucket", "segment"))).alias("document")
         self.chunks.rows().drop("game", "generated", "superseded", "embed_text", "length", "segment", "bucket").join(docs.select("doc_id", meta), "doc_id").write.mode("overwrite").json(path)
 
     def fetch(self, doc_id: str, chunk: int | None = None, most: int = BUDGET) -> DataFrame:
@@ -245,15 +320,18 @@ class Engine:
 
         Counts of added, changed, removed and unchanged by table. Sets that are not in a given table go.
         """
-        out = {}
+        out, change = {}, self.tables.begin()
         for name, store, new in (("records", self.records, records), ("scripts", self.scripts, scripts)):
             if new is None:
                 continue
-            old = store.rows() if store.exists() else new.limit(0)
+            old = store.rows(change.state) if change.exists(name) else new.limit(0)
             plan = self._kept(refresh.plan(old.select("path", "size", "mtime"), new.select("path", "size", "mtime"), "path", ["size", "mtime"]), f"{name}_plan")
             out[name] = {"added": 0, "changed": 0, "removed": 0, "unchanged": 0} | {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
-            if sum(out[name].values()) > out[name]["unchanged"]:
-                store.replace(new.join(plan.where("status in ('added', 'changed')").select("path"), "path", "left_semi"), plan.where("status = 'removed'").select("path"))
+            if sum(out[name].values()) > out[name]["unchanged"] or not change.exists(name):
+                touched = new.join(plan.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
+                store.replace(change, touched, plan.where("status in ('changed', 'removed')").select("path"))
+        change.settle()
+        change.publish()
         return out
 
     def scan_sets(self, manifest: str) -> dict[str, dict[str, int]]:
@@ -266,10 +344,12 @@ class Engine:
 
     def drop_set(self, source_set: str) -> None:
         """Delete a source set from records and scripts."""
-        for store in (self.records, self.scripts):
-            if store.exists():
-                gone = store.rows().where(F.col("source_set") == source_set).select("path")
-                store.replace(store.rows().drop("bucket", "length", "segment").limit(0), self._kept(gone, "gone"))
+        change = self.tables.begin()
+        for name in ("records", "scripts"):
+            if change.exists(name):
+                change.delete(name, change.live(name).where(F.col("source_set") == source_set).select("path"))
+        change.settle()
+        change.publish()
 
     def lookup(self, query: str, limit: int = 20, **filters) -> DataFrame:
         """Exact hits, then records, then scripts, from the stored index."""

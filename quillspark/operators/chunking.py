@@ -138,23 +138,24 @@ def chunks_of(title: str, body: str) -> Iterator[tuple[list[str], str, str]]:
         yield [], title, body.strip()
 
 
-COLUMNS = "doc_id string, chunk_index int, heading_path array<string>, breadcrumb string, text string"
+COLUMNS = "doc_id string, chunk_index int, n_chunks int, heading_path array<string>, breadcrumb string, text string"
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.string()), ("chunk_index", pa.int32()), ("heading_path", pa.list_(pa.string())), ("breadcrumb", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.string()), ("chunk_index", pa.int32()), ("n_chunks", pa.int32()), ("heading_path", pa.list_(pa.string())), ("breadcrumb", pa.string()), ("text", pa.string())])
     for batch in batches:
         for at in range(0, len(batch), 500):
+            cut = [(doc["doc_id"], list(chunks_of(doc["title"] or doc["doc_id"] or "", doc["body"] or ""))) for doc in batch.slice(at, 500).to_pylist()]
             rows = [
-                {"doc_id": doc["doc_id"], "chunk_index": i, "heading_path": path, "breadcrumb": crumb, "text": text}
-                for doc in batch.slice(at, 500).to_pylist()
-                for i, (path, crumb, text) in enumerate(chunks_of(doc["title"] or doc["doc_id"] or "", doc["body"] or ""))
+                {"doc_id": doc_id, "chunk_index": i, "n_chunks": len(own), "heading_path": path, "breadcrumb": crumb, "text": text}
+                for doc_id, own in cut
+                for i, (path, crumb, text) in enumerate(own)
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def chunk(documents: DataFrame) -> DataFrame:
-    """Chunks of documents (doc_id, title, body): chunk_id, doc_id, chunk_index, heading_path, breadcrumb, text, n_tokens, embed_text.
+    """Chunks of documents (doc_id, title, body): chunk_id, doc_id, chunk_index, n_chunks (of the document), heading_path, breadcrumb, text, n_tokens, embed_text.
 
     A fence is never cut, a long table is cut between rows with its head repeated, other long blocks between lines. A
     blank body has no chunk. Documents are independent, so there is no shuffle.
@@ -162,7 +163,7 @@ def chunk(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("title").cast("string").alias("title"), F.col("body").cast("string").alias("body"))
     cut_rows = rows.mapInArrow(_chunk, COLUMNS)
     return cut_rows.select(
-        F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "heading_path", "breadcrumb", "text",
+        F.concat_ws("#", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", "n_chunks", "heading_path", "breadcrumb", "text",
         T.token_estimate(F.col("text")).alias("n_tokens"), F.concat_ws("\n\n", "breadcrumb", "text").alias("embed_text"),
     )
 

@@ -1,83 +1,70 @@
-"""A stored inverted index that follows its rows: segments of postings by a hash of the term, and which rows they belong to."""
+"""A stored inverted index that follows its rows: postings by a hash of the term, in segments of one state of the tables."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import lexical, refresh
 from .lookup import Index
+from .snapshots import Change, Spec, Tables
+
+
+def specs(name: str, owner: str, owner_of_row: str | None = None) -> dict[str, Spec]:
+    """The tables of an index: its rows, replaced by their owner, and postings, which go with them. owner_of_row: an owner from a row_id."""
+    return {name: Spec(owner, owner, (owner,), sums={"length": "length"}), f"{name}_postings": Spec("row_id", "term", ("term",), owner=owner_of_row or "row_id", follows=name)}
 
 
 class Stored:
-    """Rows of a table with their postings, below one folder.
+    """Rows of a table (with length: tokens) and their postings, as tables that change together.
 
-    rows: by a hash of their owner, with length (tokens) and segment; an owner's rows are replaced together.
-    postings: one folder for each segment (a refresh that wrote them) and bucket (a hash of the term), sorted by term.
-    A refresh adds a segment of what changed; postings of rows that were replaced since are left out when they are
-    read, until compact() writes one segment anew.
+    A change adds a segment of what is new and names the owners that are gone; older rows and postings of theirs are
+    left out where they are read, until segments are merged. Postings lie in folders by a hash of the term, sorted by
+    term, so a query opens the folders of its terms alone.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, key: str, owner: str, fields: Mapping[str, Column], buckets: int = 64):
-        self.spark, self.key, self.owner, self.fields, self.buckets = spark, key, owner, fields, buckets
-        self.at = {part: f"{root.rstrip('/')}/{name}{'' if part == 'rows' else f'_{part}'}" for part in ("rows", "postings", "stats", "meta", "new")}
+    def __init__(self, tables: Tables, name: str, key: str, owner: str, fields: Mapping[str, Column]):
+        self.tables, self.spark, self.name, self.key, self.owner, self.fields = tables, tables.spark, name, key, owner, fields
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.at["rows"])
+    def rows(self, state: dict | None = None) -> DataFrame:
+        return self.tables.live(self.name, state)
 
     def exists(self) -> bool:
-        return refresh.exists(self.spark, self.at["rows"])
-
-    def _meta(self) -> dict[str, str]:
-        return refresh.read_meta(self.spark, self.at["meta"])
+        return self.tables.exists(self.name)
 
-    def _write_postings(self, postings: DataFrame, segment: int) -> None:
-        dealt = postings.withColumn("bucket", refresh.bucket("term", self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.at['postings']}/segment={segment}")
-
-    def _publish(self, segment: int, segments: int) -> None:
-        """Statistics and settings come last: before them, a reader or another try sees the state before."""
-        lexical.corpus_stats(self.rows()).coalesce(1).write.mode("overwrite").parquet(self.at["stats"])
-        refresh.write_meta(self.spark, self.at["meta"], {"segment": str(segment), "segments": str(segments)})
-
-    def replace(self, rows: DataFrame, removed: DataFrame | None = None) -> None:
-        """Put rows in place of their owners' old ones and delete those of removed (owner); only these are indexed."""
-        meta = self._meta()
-        segment = int(meta.get("segment", "0")) + 1
+    def replace(self, change: Change, rows: DataFrame, gone: DataFrame | None) -> None:
+        """Put rows in place of those of gone (owner), or without gone in place of their own owners' rows; only these are indexed."""
         total = sum((F.size(T.tokens(c)) for c in self.fields.values()), F.lit(0)).cast("long")
-        rows.withColumn("length", total).withColumn("segment", F.lit(segment)).write.mode("overwrite").parquet(self.at["new"])
-        new = self.spark.read.parquet(self.at["new"])
-        self._write_postings(lexical.build_postings(new, self.key, self.fields), segment)
-        refresh.upsert(new, removed, self.at["rows"], self.owner, self.buckets)
-        self._publish(segment, int(meta.get("segments", "0")) + 1)
-
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        change.delete(self.name, rows.select(self.owner) if gone is None else gone)
+        change.add(self.name, rows.withColumn("length", total))
+        written = change.state["tables"][self.name]["segments"]
+        new = [s for s in written if s["at"] == change.version]
+        # from what was written, as rows may be costly to make again
+        change.add(f"{self.name}_postings", lexical.build_postings(self.tables.live(self.name, change.state, new), self.key, self.fields))
+
+    def _terms(self, terms: DataFrame) -> DataFrame:
+        """(term, bucket) for a join that opens the folders of these terms alone, as Spark finds them when it runs."""
+        return terms.where("term > ''").select("term", refresh.bucket("term", self.tables.buckets).alias("bucket"))
+
+    def postings(self, terms: list[str] | None = None, state: dict | None = None) -> DataFrame:
         """Postings of living rows; with terms only theirs, which reads the folders of their buckets alone."""
-        found = self.spark.read.option("basePath", self.at["postings"]).parquet(self.at["postings"])
+        found = self.tables.live(f"{self.name}_postings", state)
         if terms is not None:
-            asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(refresh.bucket("term", self.buckets).alias("bucket")).distinct()
+            asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(refresh.bucket("term", self.tables.buckets).alias("bucket")).distinct()
             found = found.where(F.col("bucket").isin([r["bucket"] for r in asked.collect()]) & F.col("term").isin(terms))
-        if int(self._meta().get("segments", "0")) > 1:
-            living = self.rows().select(F.col(self.key).alias("row_id"), "segment")
-            found = found.join(living, ["row_id", "segment"], "left_semi")
         return found.select("row_id", "length", "field", "term", "positions")
 
-    def index(self, phrases: DataFrame) -> Index:
-        """The index as the phrases of a single query see it: its terms, 64 at most, come to the driver and prune the scan."""
-        terms = [r["term"] for r in lexical.wanted_terms(phrases).collect()]
-        return Index(self.postings(terms), self.spark.read.parquet(self.at["stats"]))
-
-    def compact(self) -> None:
-        """One segment of the postings of living rows in place of all; readers of the old folders should be done."""
-        segment = int(self._meta().get("segment", "0")) + 1
-        kept = self.rows().drop("bucket").withColumn("segment", F.lit(segment))
-        self._write_postings(self.postings(), segment)
-        kept.write.mode("overwrite").parquet(self.at["new"])
-        refresh.upsert(self.spark.read.parquet(self.at["new"]), None, self.at["rows"], self.owner, self.buckets)
-        self._publish(segment, 1)
-        for name in refresh.folders(self.spark, self.at["postings"]):
-            if name.startswith("segment=") and name != f"segment={segment}":
-                refresh.delete(self.spark, f"{self.at['postings']}/{name}")
+    def stats(self, state: dict | None = None) -> DataFrame:
+        """One row: n_rows, avg_length, as the manifest has them."""
+        sums = self.tables.sums(self.name, state)
+        return self.spark.createDataFrame([(sums["rows"], sums["length"] / sums["rows"] if sums["rows"] else None)], "n_rows long, avg_length double")
+
+    def index(self, phrases: DataFrame, state: dict | None = None) -> Index:
+        """The index as the phrases see it: a join with their terms, which are sent to every task while they are few, prunes the folders that are read."""
+        few = phrases.count() <= lexical.MOST_SENT
+        terms = self._terms(phrases.select(F.explode("phrase").alias("term")).distinct())
+        found = self.tables.live(f"{self.name}_postings", state).join(F.broadcast(terms) if few else terms, ["bucket", "term"], "left_semi")
+        return Index(found.select("row_id", "length", "field", "term", "positions"), self.stats(state))

@@ -87,21 +87,28 @@ def bm25(postings: DataFrame, stats: DataFrame, phrases: DataFrame, weights: Map
     postings: (row_id, length, field, term, positions), of the whole index or of what the phrases can hit; stats: one
     row of n_rows, avg_length. Statistics are those of the whole index, whatever filters follow. A phrase stands in one
     field in consecutive positions; a repeated term of a query counts each time. Distinct phrases meet their tokens'
-    postings, and the tokens of a phrase meet by row and field, so a list holds no more than one field of a row.
+    postings in one join, and tokens of a phrase meet by row, so a list holds no more than a row.
     """
     distinct = phrases.select("phrase").distinct()
     few = phrases.count() <= MOST_SENT
     sent = F.broadcast if few else lambda df: df
-    single = distinct.where(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term"))
-    hits = postings.join(sent(single), "term").select("phrase", "row_id", "length", "field", F.size("positions").alias("times"))
-    longer = distinct.where(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("k", "term"))
-    # a phrase stands where all of its tokens, each moved back by its place, have one position
-    moved = F.transform("positions", lambda p: p - F.col("k"))
-    met = postings.join(sent(longer), "term").groupBy("phrase", "row_id", "length", "field").agg(F.count("*").alias("n"), F.collect_list(moved).alias("starts")).where(F.col("n") == F.size("phrase"))
-    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-    hits = hits.unionByName(met.select("phrase", "row_id", "length", "field", F.size(common).alias("times")).where("times > 0"))
+    tokens = distinct.select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("k", "term"))
+    # of a single token the occurrences count; of more the places, each moved back by its token's place in the phrase
+    one, several = F.col("n") == 1, F.col("n") > 1
+    moved = F.struct("field", F.transform("positions", lambda p: p - F.col("k")).alias("starts"))
     weight = F.create_map(*(x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))))
-    found = hits.groupBy("phrase", "row_id", "length").agg(F.sum(F.element_at(weight, F.col("field")) * F.col("times")).alias("f"))
+    met = postings.join(sent(tokens), "term").groupBy("phrase", "row_id", "length").agg(
+        F.sum(F.when(one, F.element_at(weight, F.col("field")) * F.size("positions"))).alias("single"), F.collect_list(F.when(several, moved)).alias("lists")
+    )
+
+    def together(name: str) -> Column:
+        """How often all tokens stand one after the other in a field: the places that all of its lists share."""
+        own = F.transform(F.filter("lists", lambda x: x["field"] == name), lambda x: x["starts"])
+        common = F.aggregate(F.slice(own, 2, F.size(own)), F.get(own, F.lit(0)), lambda a, b: F.array_intersect(a, b))
+        return F.when(F.size(own) == F.size("phrase"), F.size(common)).otherwise(0)
+
+    by_phrase = sum((together(name) * float(w) for name, w in weights.items()), F.lit(0.0))
+    found = met.select("phrase", "row_id", "length", F.when(F.size("phrase") == 1, F.col("single")).otherwise(by_phrase).alias("f")).where("f > 0")
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(stats)).select("phrase", "avg_length", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))

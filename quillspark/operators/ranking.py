@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -80,15 +80,16 @@ def rrf(arms: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     Lists are stacked and summed in one aggregation rather than joined. first_arm and arm_rank order ties: the first
     list that holds a row, in the order of arms, and its rank there.
     """
-    stacked = [
-        df.select("query_id", "row_id", F.lit(name).alias("arm"), F.lit(i).alias("arm_no"), "rank", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"))
-        for i, (name, (df, w)) in enumerate(arms.items())
-    ]
-    first = F.min(F.struct("arm_no", "rank"))
-    fused = reduce(DataFrame.unionByName, stacked).groupBy("query_id", "row_id").agg(
-        F.round(F.sum("part"), 9).alias("score"), F.array_join(F.sort_array(F.collect_set("arm")), "+").alias("arms"), first.alias("first")
-    )
-    return fused.select("query_id", "row_id", "score", "arms", F.col("first.arm_no").alias("first_arm"), F.col("first.rank").alias("arm_rank"))
+    stacked = [df.select("query_id", "row_id", F.lit(i).alias("arm_no"), "rank") for i, (df, _) in enumerate(arms.values())]
+    return fused(reduce(DataFrame.unionByName, stacked), list(arms), [w for _, w in arms.values()], k)
+
+
+def fused(stacked: DataFrame, names: Sequence[str], weights: Sequence[float], k: int = RRF_K) -> DataFrame:
+    """The same from one table (query_id, row_id, arm_no, rank), arm_no being a place in names and weights."""
+    of = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("arm_no"))
+    rows = stacked.select("query_id", "row_id", "arm_no", "rank", of(names).alias("arm"), (of(float(w) for w in weights) / (k + F.col("rank"))).alias("part"))
+    found = rows.groupBy("query_id", "row_id").agg(F.round(F.sum("part"), 9).alias("score"), F.array_join(F.sort_array(F.collect_set("arm")), "+").alias("arms"), F.min(F.struct("arm_no", "rank")).alias("first"))
+    return found.select("query_id", "row_id", "score", "arms", F.col("first.arm_no").alias("first_arm"), F.col("first.rank").alias("arm_rank"))
 
 
 def boosted(score: Column, verified: Column, superseded: Column) -> Column:

@@ -56,6 +56,34 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, as the driver reads it."""
+    fs, at = _folder(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all; one of that name must not be there yet."""
+    fs, at = _folder(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    _, aside = _folder(spark, f"{path}.new")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(aside, at):
+        raise FileExistsError(path)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     fs, at = _folder(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]

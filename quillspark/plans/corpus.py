@@ -274,10 +274,30 @@ def engine_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def engine_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The five best chunks for each item of the query set over the refreshed index, by keywords."""
-    engine = _refreshed(spark, sf)
-    found = [engine.search(r["text"], 5).select(F.lit(r["item_id"]).alias("query_id"), "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "n_chunks") for r in _asked(spark, sf).collect()]
-    return reduce(DataFrame.unionByName, found)
+    """The five best chunks for each item of the query set over the refreshed index, by keywords, in one plan."""
+    hits = _refreshed(spark, sf).search_many(_asked(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), 5)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "n_chunks")
+
+
+@query
+def engine_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with filters that differ by query: a source as the section, and flagged documents included by turns."""
+    d = F.floor(F.col("item_id") / 20)
+    given = F.map_from_arrays(F.array(F.lit("section"), F.lit("generated"), F.lit("include_superseded")), F.array(
+        F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("corpus/src"), (d % 20).cast("string"))), F.when(d % 2 == 0, "include").otherwise(""), F.when(d % 5 == 0, "true").otherwise("false")
+    ))
+    hits = _refreshed(spark, sf).search_many(_asked(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), given.alias("filters")), 5)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "n_chunks")
+
+
+@query
+def engine_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases from a file of questions over the refreshed index; a document whose id is the item's, but for multiples of ten, is right."""
+    path = scratch(spark, "cases")
+    right = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (i * 10 + F.col("item_id") % 10).cast("string"))
+    table(spark, sf, "benchmark").select(F.to_json(F.struct(F.col("text").alias("q"), right.alias("expect"), F.create_map(F.lit("generated"), F.lit("include")).alias("filters"))).alias("value")).write.text(path)
+    ranks, summary = _refreshed(spark, sf).evaluate(path)
+    return ranks.select("q", F.coalesce("hit_rank", F.lit(0)).cast("long").alias("hit_rank")).unionByName(summary.select(F.lit("all").alias("q"), F.round(F.col("mrr") * 1_000_000).cast("long").alias("hit_rank")))
 
 
 @query

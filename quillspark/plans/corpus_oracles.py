@@ -119,6 +119,17 @@ _ARM_R = "SELECT path, 1 AS arm, editor_id AS label, score FROM {0} JOIN now_rec
 _ARM_S = "SELECT path, 2, name, score FROM {0} JOIN now_scripts USING (path)"
 _SETS = """SELECT 'part' AS source_set, game, count(*) AS n_records, 0::BIGINT AS n_scripts, count(DISTINCT p_type) AS n_types, count(*) FILTER (name_en <> '') AS n_named FROM now_records GROUP BY game"""
 
+def _searched(asked: str, allowed: str, shown: str) -> str:
+    """Keyword search of the engine for all of asked, of chunks that are allowed to a query; shown comes from best."""
+    return f"""{_INDEXED}, {_bm25(asked, _CHUNK_FIELDS, source="chunks", key="chunk_id")},
+ranked AS (
+  SELECT s.query_id, c.chunk_id, c.doc_id, verified, superseded, row_number() OVER (PARTITION BY s.query_id ORDER BY round(score, 9) DESC, c.chunk_id) AS arm_rank
+  FROM scores s JOIN chunks c ON c.chunk_id = s.row_id JOIN fresh USING (doc_id) WHERE {allowed}),
+boosted AS (SELECT *, round(1.0::DOUBLE / (10 + arm_rank), 9) * CASE WHEN verified > 0 THEN 1.06::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN superseded THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS score FROM ranked WHERE arm_rank <= 60),
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, arm_rank) AS in_doc FROM boosted),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arm_rank) AS rank FROM capped WHERE in_doc <= 3){shown if shown.startswith(",") else " " + shown}"""
+
+
 ORACLES: dict[str, str] = {
     "sync_documents": f"WITH {_SYNCED} SELECT * EXCLUDE (doc_id, dest, slug) FROM synced",
     "corpus_roundtrip": f"WITH {_SYNCED} SELECT dest AS path, id, title, content_sha256, content_sha256 AS body_sha256, (24 + CASE WHEN unique_title IS NULL THEN 0 ELSE 1 END + CASE WHEN agent_name IS NULL THEN 0 ELSE 3 END)::BIGINT AS n_keys FROM synced",
@@ -167,6 +178,18 @@ boosted AS (SELECT *, round(1.0::DOUBLE / (10 + arm_rank), 9) * CASE WHEN verifi
 capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(score, 9) DESC, arm_rank) AS in_doc FROM boosted),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, arm_rank) AS rank FROM capped WHERE in_doc <= 3)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank, (SELECT count(*) FROM chunks c WHERE c.doc_id = best.doc_id) AS n_chunks FROM best WHERE rank <= 5""",
+    "engine_filtered": _searched(
+        _FIRST, "(query_id // 20 % 3 = 0 OR section = 'corpus/src' || (query_id // 20 % 20)) AND (query_id // 20 % 2 = 0 OR NOT generated) AND (query_id // 20 % 5 = 0 OR NOT superseded)",
+        "SELECT query_id, chunk_id, round(score, 6) AS score, rank, (SELECT count(*) FROM chunks c WHERE c.doc_id = best.doc_id) AS n_chunks FROM best WHERE rank <= 5",
+    ),
+    "engine_eval": _searched(
+        "SELECT item_id, text FROM benchmark", "NOT superseded",
+        """, firsts AS (SELECT query_id, doc_id, min(rank) AS first FROM best WHERE rank <= 5 GROUP BY query_id, doc_id),
+docs AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS doc_rank FROM firsts),
+hit_of AS (SELECT query_id, min(doc_rank) AS hit_rank FROM docs WHERE doc_id::BIGINT < 1000 AND doc_id::BIGINT % 10 = query_id % 10 GROUP BY query_id),
+cases AS (SELECT text AS q, hit_rank::BIGINT AS hit_rank FROM benchmark LEFT JOIN hit_of ON query_id = item_id)
+SELECT q, coalesce(hit_rank, 0) AS hit_rank FROM cases UNION ALL SELECT 'all', round(round(avg(coalesce(1.0::DOUBLE / hit_rank, 0)), 6) * 1000000)::BIGINT FROM cases""",
+    ),
     "engine_stats": f"""{_INDEXED}, d AS (SELECT count(*) AS n_docs, count(*) FILTER (generated) AS n_generated, count(*) FILTER (superseded) AS n_superseded, count(*) FILTER (verified > 0) AS n_verified, count(DISTINCT section) AS n_sections FROM fresh)
 SELECT d.*, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT sum(len({_TOKENS.format('breadcrumb')}) + len({_TOKENS.format('text')}))::BIGINT FROM chunks) AS n_tokens, (SELECT count(*) FROM chunks JOIN fresh USING (doc_id) WHERE NOT generated) AS n_vectors FROM d""",
     "engine_vectors": f"""{_INDEXED}, e AS (SELECT chunk_id, breadcrumb || chr(10) || chr(10) || text AS t FROM chunks JOIN fresh USING (doc_id) WHERE NOT generated)

@@ -52,9 +52,9 @@ def test_refresh_follows_documents(spark, tmp_path):
     fresh.build(_docs(spark, two))
     key = lambda e: {(r["row_id"], r["field"], r["term"], tuple(r["positions"]), r["length"]) for r in e.chunks.postings().collect()}
     assert key(engine) == key(fresh)
-    assert engine.spark.read.parquet(engine.chunks.at["stats"]).collect() == fresh.spark.read.parquet(fresh.chunks.at["stats"]).collect()
+    assert engine.chunks.stats().collect() == fresh.chunks.stats().collect() and engine.stats().drop("n_vectors").collect() == fresh.stats().drop("n_vectors").collect()
     assert {r["doc_id"] for r in engine.table("vectors").collect()} == {"a", "b", "d"} and engine.pending().count() == 0
-    engine.chunks.compact()
+    engine.compact()
     assert key(engine) == key(fresh) and engine.refresh(_docs(spark, two))["unchanged"] == 3
     assert [(r["linked"], r["title"]) for r in engine.links(engine.table("documents").select("doc_id")).orderBy("n").collect()] == [("b", "B"), ("x", None)]
     assert engine.stats().first()["n_docs"] == 3
@@ -111,3 +111,32 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, None, 3, True), (3, "d", 3, False)], schema).write.mode("append").json(source)
     stream().awaitTermination()
     assert {r["doc_id"]: r["body"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1: "b", 3: "d"}
+
+
+def test_many_queries_at_once(spark, tmp_path):
+    """Each query's hits are those of a search of its own, with the filters of each; cases are scored in one call."""
+    rows = [
+        (f"{'x' if i % 3 else 'g/sub'}/d{i}", f"T{i}", f"word{i % 4} and red dragons here {'hall ' * (i % 5)}\n\n## IronSword00{i}\n\nmore word{i % 3} IronSword", ["skyrim", "both", "enderal"][i % 3], "x" if i % 3 else "g/sub", "guide", "p" if i % 2 else None, None, ["a"] if i % 2 else [], i % 7 == 0, i % 5 == 0, i % 4)
+        for i in range(24)
+    ]
+    schema = "doc_id string, title string, body string, game string, section string, kind string, project string, mod string, tags array<string>, generated boolean, superseded boolean, verified int"
+    engine = Engine(spark, str(tmp_path), encode=lambda q: [float(len(q)), 1.0], embed=lambda texts: [[float(len(t) % 7), 1.0] for t in texts], buckets=4)
+    engine.build(spark.createDataFrame(rows, schema))
+    asked = [
+        ("a", "red dragons", {}), ("b", "IronSword00", {}), ("c", "word1 hall", {"game": "skyrim", "generated": "include"}), ("d", "word2", {"section": "g", "include_superseded": "true", "tag": "a"}),
+        ("e", "dragons", {"text": "T1", "kind": "guide", "project": "p"}), ("f", "nothing of it", {"doc_id": "none", "mod": ""}), ("g", "IronSword", {"generated": "only"}), ("h", "", None),
+    ]
+    found = engine.search_many(spark.createDataFrame(asked, "query_id string, q string, filters map<string,string>"), 4).collect()
+    key = lambda r: (r["rank"], r["chunk_id"], round(r["score"], 9), r["arms"], r["n_chunks"])
+    for query_id, q, given in asked[::2] + asked[1:2]:
+        own = Filters(**{k: v == "true" if k == "include_superseded" else v for k, v in (given or {}).items()})
+        alone = sorted(map(key, engine.search(q, 4, own).collect()))
+        assert sorted(key(r) for r in found if r["query_id"] == query_id) == alone and (alone or query_id in "fh")
+    cases = tmp_path / "cases.jsonl"
+    cases.write_text("\n".join(json.dumps(c) for c in [{"q": "IronSword0011", "expect": ["x/d11", "nowhere"]}, {"q": "red dragons", "expect": ["gone"], "filters": {"game": "skyrim"}}]) + "\n\n")
+    ranks, summary = engine.evaluate(str(cases), 5)
+    assert {r["q"]: r["hit_rank"] for r in ranks.collect()} == {"IronSword0011": 1, "red dragons": None} and summary.first().asDict() == {"n_cases": 2, "recall": 0.5, "mrr": 0.5}
+    notes = engine.notes("IronSword0011", "new stamp")
+    assert len(notes) == 2 and "older than the catalog" in notes[1] and engine.notes("red dragons", "") == []
+    text = engine.render(engine.search("red dragons"), notes=notes)
+    assert "chunk 1 of" in text and text.endswith(f"({notes[0]})\n\n({notes[1]})")
