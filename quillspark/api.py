@@ -49,7 +49,7 @@ class Engine:
         self.spark, self.root, self.encode, self.embed, self.model, self.buckets = spark, root.rstrip("/"), encode, embed, model, buckets
         flags = {"generated": "cast(coalesce(generated, false) as long)", "superseded": "cast(coalesce(superseded, false) as long)", "verified": "cast(coalesce(verified, 0) > 0 as long)"}
         specs = {
-            "documents": Spec("doc_id", "doc_id", ("doc_id",), sums=flags), **index.specs("chunks", "doc_id", "regexp_replace(row_id, '#[0-9]+$', '')"), "vectors": Spec("chunk_id", "doc_id", ("chunk_id",)),
+            "documents": Spec("doc_id", "doc_id", ("doc_id",), sums=flags), **index.specs("chunks", "doc_id", "regexp_replace(row_id, '#[0-9]+$', '')"), "vectors": Spec("chunk_id", "doc_id", ("chunk_id",)), "clock": Spec("doc_id", "doc_id", ("doc_id",)),
             **index.specs("records", "path"), **index.specs("scripts", "path"),
         }
         self.tables = Tables(spark, self.root, specs, buckets)
@@ -105,20 +105,14 @@ class Engine:
         """
         change = self.tables.begin()
         if anew:
-            for name in ("documents", "chunks", "chunks_postings", "vectors"):
+            for name in ("documents", "chunks", "chunks_postings", "vectors", "clock"):
                 change.clear(name)
             change.state["meta"] = {}
         plan = self._kept(self.plan(documents, change.state), "plan")
         counts = {"added": 0, "changed": 0, "removed": 0, "unchanged": 0} | {r["status"]: r["n"] for r in plan.groupBy("status").agg(F.count("*").alias("n")).collect()}
         if counts["added"] + counts["changed"] + counts["removed"] or not change.exists("documents"):
             touched = self._prepared(documents).join(plan.where("status in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi")
-            gone = plan.where("status in ('changed', 'removed')").select("doc_id")
-            cut = chunking.chunk(touched).join(touched.select("doc_id", "game", "generated", "superseded"), "doc_id")
-            self.chunks.replace(change, cut, gone)
-            if change.exists("vectors"):  # those of replaced chunks go with them
-                change.delete("vectors", change.live("vectors").join(gone, "doc_id", "left_semi").select("chunk_id"))
-            change.delete("documents", gone)
-            change.add("documents", touched)
+            self._put(change, touched, plan.where("status in ('changed', 'removed')").select("doc_id"))
         counts["embedded"] = self._embed(change, vectors)
         meta = {"catalog_stamp": stamp, "chunk_version": chunking.VERSION}
         if self.embed is not None or vectors is not None and self.model:
@@ -127,6 +121,43 @@ class Engine:
         change.publish(meta)
         return counts
 
+    def _put(self, change: Change, touched: DataFrame, gone: DataFrame) -> None:
+        """Index prepared documents, after what is gone (doc_id) has lost its chunks, postings and vectors."""
+        cut = chunking.chunk(touched).join(touched.select("doc_id", "game", "generated", "superseded"), "doc_id")
+        self.chunks.replace(change, cut, gone)
+        if change.exists("vectors"):
+            change.delete("vectors", change.live("vectors").join(gone, "doc_id", "left_semi").select("chunk_id"))
+        change.delete("documents", gone)
+        change.add("documents", touched)
+
+    def apply(self, changes: DataFrame, batch: int | None = None) -> int:
+        """Bring changes (columns of documents, ts, deleted) into the index, and return how many count.
+
+        Of a document the last write by ts counts, whenever it comes: times are kept with the index, of deleted
+        documents too, so a late change does nothing, and neither does one that comes again. Of equal times in one batch
+        a deletion counts, then the smaller body. A batch of a number that was applied, or of a smaller one, is passed.
+        """
+        change = self.tables.begin()
+        if batch is not None and int(change.state["meta"].get("stream_batch", "-1")) >= batch:
+            return 0
+        order = W.partitionBy("doc_id").orderBy(F.desc("ts"), F.desc("deleted"), "body")
+        last = changes.withColumn("doc_id", F.col("doc_id").cast("string")).where("doc_id is not null and ts is not null")
+        last = last.withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("n_", F.row_number().over(order)).where("n_ = 1").drop("n_")
+        if change.exists("clock"):
+            known = change.live("clock").select("doc_id", F.col("ts").alias("known_"))
+            last = last.join(known, "doc_id", "left").where("known_ is null or ts > known_").drop("known_")
+        last = self._kept(last, "changes")
+        n = last.count()
+        if n:
+            self._put(change, self._prepared(last.where("not deleted").drop("ts", "deleted")), last.select("doc_id"))
+            change.delete("clock", last.select("doc_id"))
+            change.add("clock", last.select("doc_id", "ts", "deleted"))
+            self._embed(change, None)
+        meta = {"chunk_version": chunking.VERSION} | ({"stream_batch": str(batch)} if batch is not None else {}) | ({"model": self.model} if self.embed is not None else {})
+        change.settle()
+        change.publish(meta)
+        return n
+
     def _embed(self, change: Change, vectors: DataFrame | None) -> int:
         """Add given vectors, and make those of chunks that lack them in batches inside tasks. One that embeds with another model drops all; one that doesn't embed leaves them."""
         if self.embed is not None and change.state["meta"].get("model", self.model) != self.model:

@@ -131,6 +131,20 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
 
 
+def _tried(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted (source, game, to, ...) and hit, the document that a path stands for there; null without one.
+
+    A path has one best document for each source and game, source, game, and over all: each is a table with one row for
+    a key, so a path that all sources have (a README) meets a link once, and no row of wanted becomes more. Where many
+    links go to one path, Spark splits their side of the join.
+    """
+    there = docs.select(F.col("path").alias("to"), "source", "game", F.col("doc_id").alias("hit"))
+    choices = [("source", "game"), ("source",), ("game",), ()]
+    for i, by in enumerate(choices):
+        wanted = wanted.join(there.groupBy("to", *by).agg(F.min("hit").alias(f"hit{i}")), ["to", *by], "left")
+    return wanted.withColumn("hit", F.coalesce(*(f"hit{i}" for i in range(len(choices))))).drop(*(f"hit{i}" for i in range(len(choices))))
+
+
 def resolve_links(links: DataFrame, docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """links and resolved (a doc_id) or reason: missing, directory or excluded.
 
@@ -140,10 +154,8 @@ def resolve_links(links: DataFrame, docs: DataFrame, files: DataFrame | None = N
     joined = normal_path(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target")))
     own = links.join(docs.select("source", "game").distinct(), "source", "left").withColumn("joined", joined)
     wanted = own.withColumn("try", F.explode(F.array(F.struct(F.lit(0).alias("as"), F.col("joined").alias("to")), F.struct(F.lit(1).alias("as"), F.concat_ws("/", "joined", F.lit("README.md")).alias("to")))))
-    there = docs.select(F.col("doc_id").alias("hit"), F.col("source").alias("hit_source"), F.col("game").alias("hit_game"), F.col("path").alias("to"))
-    hits = wanted.select("doc_id", "n", "source", "game", F.col("try.as").alias("as"), F.col("try.to").alias("to")).join(there, "to")
-    rank = F.struct("as", (F.col("source") != F.col("hit_source")).alias("other_source"), (F.col("game") != F.col("hit_game")).alias("other_game"), "hit")
-    best = hits.groupBy("doc_id", "n").agg(F.min(rank).alias("best")).select("doc_id", "n", F.col("best.hit").alias("resolved"))
+    best = _tried(wanted.select("doc_id", "n", "source", "game", F.col("try.as").alias("as"), F.col("try.to").alias("to")), docs)
+    best = best.where("hit is not null").groupBy("doc_id", "n").agg(F.min(F.struct("as", "hit")).alias("best")).select("doc_id", "n", F.col("best.hit").alias("resolved"))
     found = own.join(best, ["doc_id", "n"], "left")
     outside = F.col("joined").startswith("../") | (F.col("joined") == "..")
     resolved = F.when(~outside, F.col("resolved"))

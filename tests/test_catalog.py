@@ -104,3 +104,14 @@ def test_meta(spark, tmp_path):
     assert not refresh.is_stale(meta, "2", "1") and refresh.is_stale(meta, "3", "1")
     sets = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source_set string, n int")
     assert sorted(r["n"] for r in refresh.drop_set(sets, "a").collect()) == [2, 3]
+
+
+def test_a_path_that_all_sources_have(spark):
+    """A README of every source meets each link once: own source first, then the same game, then any, and rows stay as many as tries."""
+    docs = spark.createDataFrame([(f"s{i}:README", f"s{i}", "xy"[i % 2], "README.md") for i in range(40)] + [("s7:g/README", "s7", "y", "g/README.md"), ("s3:only", "s3", "y", "only.md"), ("s2:only", "s2", "x", "only.md"), ("s9:only", "s9", "y", "only.md")], "doc_id string, source string, game string, path string")
+    links = spark.createDataFrame([(f"s{i}:a", f"s{i}", "a.md", n, t, t, "") for i in range(5, 11) for n, t in enumerate(["README.md", "only.md", "g", "no.md"])], "doc_id string, source string, path string, n int, raw string, target string, fragment string")
+    found = {(r["source"], r["target"]): r["resolved"] for r in catalog.resolve_links(links, docs).collect()}
+    assert len(found) == 24 and all(found[f"s{i}", "README.md"] == f"s{i}:README" and found[f"s{i}", "g"] == "s7:g/README" and found[f"s{i}", "no.md"] is None for i in range(5, 11))
+    assert {found[f"s{i}", "only.md"] for i in (6, 8, 10)} == {"s2:only"} and {found[f"s{i}", "only.md"] for i in (5, 7)} == {"s3:only"} and found["s9", "only.md"] == "s9:only"
+    tried = links.select("doc_id", "n", "source", catalog.F.lit("x").alias("game"), catalog.F.col("target").alias("to"))
+    assert catalog._tried(tried, docs).count() == tried.count()

@@ -140,3 +140,28 @@ def test_many_queries_at_once(spark, tmp_path):
     assert len(notes) == 2 and "older than the catalog" in notes[1] and engine.notes("red dragons", "") == []
     text = engine.render(engine.search("red dragons"), notes=notes)
     assert "chunk 1 of" in text and text.endswith(f"({notes[0]})\n\n({notes[1]})")
+
+
+def test_stream_of_an_index(spark, tmp_path):
+    """Late, repeated and replayed changes do nothing; what is left is the index of the last writes."""
+    from quillspark.streaming.refresh import index_stream
+
+    schema = "doc_id int, title string, body string, ts long, deleted boolean"
+    source = str(tmp_path / "in")
+    engine = Engine(spark, str(tmp_path / "i"), buckets=2)
+    batches = [
+        [(1, "A", "red dragon", 1, False), (1, "A", "blue dragon", 2, False), (2, "B", "old hall", 1, False), (3, "C", "green", 1, False)],
+        [(1, "A", "late words", 1, False), (2, None, None, 3, True), (4, "D", "dragon field", 4, False), (None, "x", "no id", 9, False)],
+        [(2, "B", "late hall", 2, False), (3, "C", "green hill", 5, None), (4, "D", "dragon field", 4, False)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        index_stream(spark.readStream.schema(schema).json(source), engine, str(tmp_path / "c")).awaitTermination()
+    version = engine.tables.manifest()["version"]
+    assert engine.apply(spark.createDataFrame(batches[0], schema), 0) == 0 and engine.tables.manifest()["version"] == version, "a replayed batch"
+    assert {r["doc_id"]: r["body"] for r in engine.table("documents").collect()} == {"1": "blue dragon", "3": "green hill", "4": "dragon field"}
+    fresh = Engine(spark, str(tmp_path / "f"), buckets=2)
+    fresh.build(spark.createDataFrame([("1", "A", "blue dragon"), ("3", "C", "green hill"), ("4", "D", "dragon field")], "doc_id string, title string, body string"))
+    key = lambda e: {(r["row_id"], r["field"], r["term"], tuple(r["positions"])) for r in e.chunks.postings().collect()}
+    assert key(engine) == key(fresh) and engine.chunks.stats().collect() == fresh.chunks.stats().collect()
+    assert engine.apply(spark.createDataFrame([(2, "B", "new hall", 6, False)], schema)) == 1 and engine.search("hall").first()["doc_id"] == "2"
