@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import files as S
+from ..sources import heads, packed
 from . import catalog as C
 from . import refresh
 
@@ -132,16 +133,24 @@ def write_catalog(docs: DataFrame, path: str, now: str) -> bool:
     return True
 
 
-def write_corpus(rendered: DataFrame, path: str) -> None:
-    """Write (dest, text): a folder for each destination with its file."""
-    files = rendered.select("dest", F.regexp_replace("text", "\n$", "").alias("value"))
-    files.write.mode("overwrite").partitionBy("dest").text(path)
+def write_corpus(rendered: DataFrame, path: str, as_files: bool = False) -> None:
+    """Write (dest, text), packed into containers; or as_files, each text as the file that dest names."""
+    texts = rendered.select("dest", "text")
+    if as_files:
+        heads.write_files(texts.select(F.col("dest").alias("path"), F.col("text").cast("binary").alias("content")), path)
+    else:
+        packed.write_packed(texts, path)
+
+
+def read_corpus(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(path, text) of a packed corpus, or of wanted (path) alone, normalised as the chunker reads it: no byte-order mark, line ends as \\n."""
+    found = packed.read_packed(spark, path, None if wanted is None else wanted.select(F.col("path").alias("dest")))
+    return found.select(F.col("dest").alias("path"), S.normalised(F.col("text")).alias("text"))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of a written corpus, normalised as the chunker reads it: no byte-order mark, line ends as \\n."""
-    found = spark.read.option("basePath", path).text(path, wholetext=True)
-    return found.select(F.col("dest").cast("string").alias("path"), S.normalised(F.col("value")).alias("text"))
+def corpus_orphans(spark: SparkSession, path: str, planned: DataFrame) -> DataFrame:
+    """(dest): texts of a packed corpus that planned (dest) lacks, by the table of offsets."""
+    return refresh.orphans(packed.offsets(spark, path), planned, "dest")
 
 
 def headers(corpus_texts: DataFrame) -> DataFrame:

@@ -112,6 +112,7 @@ _RECORD_TEXT = "'FormKey: 1' || chr(10) || 'Name:' || chr(10) || '  TargetLangua
 
 ORACLES: dict[str, str] = {
     "bm25_topk": _shown(_bm25(_FIRST, _TEXT), 10),
+    "bm25_blocks": _shown(_bm25(_FIRST, _TEXT), 10),
     "bm25_batch": _shown(_bm25("SELECT item_id, text FROM benchmark", _TEXT), 10),
     "bm25_two_field": _shown(_bm25("SELECT 0::BIGINT AS item_id, 'src3 fr threthe leaux corpus' AS text", {"breadcrumb": ("'the corpus ' || source || ' ' || lang", 2.0), "text": ("text", 1.0)}), 20),
     "bm25_phrase": _shown(_bm25("SELECT 0::BIGINT AS item_id, 'mit.license apache.license.version released' AS text", _TEXT), 50),
@@ -120,6 +121,7 @@ ORACLES: dict[str, str] = {
     "stopword_query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",
     "cosine_topk": f"WITH {_near('row_id % 20 = 0', 'true', 10)} SELECT query_id, row_id AS vec_id, round(score, 6) AS score, rank FROM near",
     "cosine_filtered": f"WITH {_near('row_id % 20 = 0', 'r.label IN (1, 3, 5)', 10)} SELECT query_id, row_id AS vec_id, round(score, 6) AS score, rank FROM near",
+    "cosine_clusters": f"WITH {_near('row_id % 20 = 0', 'r.label IN (1, 3, 5)', 10)} SELECT query_id, row_id AS vec_id, round(score, 6) AS score, rank FROM near",
     "l2_normalise": f"WITH {_UNIT} SELECT row_id AS vec_id, round(v[1], 6) AS first, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM unit",
     "rrf_fuse": f"""WITH {_bm25(_FIRST, _TEXT)}, {_near(_ITEMS, "r.row_id IN (SELECT doc_id FROM documents)", 60)},
 arms AS (

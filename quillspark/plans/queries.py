@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import catalog, chunking, evaluate, lexical, lookup, ranking, refresh
+from ..operators import catalog, chunking, clusters, evaluate, impacts, lexical, lookup, ranking, refresh
 from ..operators.filters import Filters
 from ..sources import files
+from .scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +83,17 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(_bm25(texts(spark, sf), _phrases(table(spark, sf, "benchmark")), {"text": F.col("text")}, {"text": 1.0}), 10)
 
 
+@query
+def bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for the query set, from blocks by impact of which those that cannot matter are not read."""
+    docs, fields, weights, path = texts(spark, sf), {"text": F.col("text")}, {"text": 1.0}, scratch(spark, "blocks")
+    stats = lexical.corpus_stats(lexical.row_lengths(docs, "doc_id", fields))
+    impacts.write_blocks(lexical.build_postings(docs, "doc_id", fields), stats, weights, path, 16)
+    phrases = _phrases(_asked(spark, sf))
+    best, _ = impacts.top_k(spark, path, stats, phrases, 10, lexical.postings_of(docs, "doc_id", fields, phrases.where(F.size("phrase") > 1)), weights, 16)
+    return best.select("query_id", F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def bm25_two_field(spark: SparkSession, sf: str) -> DataFrame:
     docs = texts(spark, sf).withColumn("breadcrumb", F.concat_ws(" ", F.lit("the corpus"), "source", "lang"))
@@ -131,6 +143,16 @@ def cosine_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf, 10, rows).select("query_id", F.col("row_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def cosine_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from vectors stored by cluster, of which those out of reach are not read."""
+    path = scratch(spark, "clusters")
+    clusters.write_clusters(_vectors(spark, sf), path)
+    asked = _vectors(spark, sf).where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    hits, _ = clusters.top_k(spark, path, asked, 10, F.col("label").isin(1, 3, 5))
+    return hits.select("query_id", F.col("row_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     unit = table(spark, sf, "embeddings").withColumn("unit", V.l2_normalise(F.transform("embedding", lambda x: x * 3)))
