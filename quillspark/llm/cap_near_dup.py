@@ -118,7 +118,7 @@ def _codes(dimensions: int, first: int, second: int, least: float) -> ProductCod
 GROUPS = "label long, d int, first int, second int, group long, class long, members long, vector binary"
 
 
-def _join_groups(least: float):
+def _join_groups(least: float, kind_of: np.dtype):
     schema = pa.schema([("label", pa.int64()), ("d", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("group", pa.int64()), ("class", pa.int64()), ("members", pa.int64()), ("vector", pa.binary())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +127,9 @@ def _join_groups(least: float):
                 part = whole.slice(at, 256).to_pylist()
                 kinds: dict[tuple[int, int, int], list[int]] = {}
                 for n, r in enumerate(part):
-                    kinds.setdefault((len(r["vector"]) // 8, r["first"], r["second"]), []).append(n)
+                    kinds.setdefault((len(r["vector"]) // kind_of.itemsize, r["first"], r["second"]), []).append(n)
                 for kind, rows in kinds.items():
-                    v = np.stack([np.frombuffer(part[n]["vector"]) for n in rows])
+                    v = np.stack([np.frombuffer(part[n]["vector"], kind_of) for n in rows]).astype(np.float64)
                     codes = _codes(*kind, least)
                     vectors, groups = codes.firsts(codes.rounded(_unit(v)))
                     own = [part[rows[n]] for n in vectors.tolist()]
@@ -139,7 +139,7 @@ def _join_groups(least: float):
     return join
 
 
-def _verify(least: float):
+def _verify(least: float, kind_of: np.dtype):
     """Links between the classes of two blocks of a group, each in its pair's first common filter: counts by class, and a forest of edges."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -147,7 +147,7 @@ def _verify(least: float):
         d, first, second, group, i, j = (table.column(c)[0].as_py() for c in ("d", "first", "second", "group", "i", "j"))
         codes = _codes(d, first, second, least)
         ids, members, own = (table.column(c).to_numpy() for c in ("class", "members", "own"))
-        v = _unit(np.stack([np.frombuffer(x) for x in table.column("vector").to_pylist()]))
+        v = _unit(np.stack([np.frombuffer(x, kind_of) for x in table.column("vector").to_pylist()]).astype(np.float64))
         coarse = codes.rounded(v)
         links, top = np.zeros(len(ids), np.int64), list(range(len(ids)))
         lists: dict[int, np.ndarray] = {}
@@ -214,22 +214,25 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, block: int = GROUP)
     so no lists of them move. Labels have the more filters the more classes they have. Where more than block vectors
     share a first codeword, they are compared in pairs of blocks, still by filter.
     """
-    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind_of = np.dtype(np.float32 if single else np.float64)
+    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     takes_part = usable(F.col("embedding")) & F.col("label").isNotNull()
-    pack = F.arrow_udf(lambda x: pa.array([None if e is None else np.asarray(e, np.float64).tobytes() for e in x.to_pylist()], pa.binary()), "binary")
-    keyed = saved(own.select("vec_id", "label", pack(F.when(takes_part, F.transform("embedding", lambda x: x + 0.0))).alias("vector")), "vectors")  # -0.0 is 0.0
+    pack = F.arrow_udf(lambda x: pa.array([None if e is None else np.asarray(e, kind_of).tobytes() for e in x.to_pylist()], pa.binary()), "binary")
+    x_type = "float" if single else "double"
+    keyed = saved(own.select("vec_id", "label", pack(F.when(takes_part, F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(x_type)).otherwise(x)))).alias("vector")), "vectors")  # -0.0 is 0.0
     classes = keyed.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("members"), F.min("vec_id").alias("first_id"))
     classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     power = lambda x, most: F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(SIDES), F.least(F.lit(most), x))))).cast("int")
     sides = classes.groupBy("label").agg(F.count("*").alias("n")).withColumn("first", power(F.col("n") * CODES / GROUP, MOST_FIRST))
     sides = sides.withColumn("second", power(F.col("n") / F.col("first"), MOST_SECOND)).select("label", "first", "second")
-    joined = saved(classes.join(sides, "label").mapInArrow(_join_groups(least), GROUPS), "groups")
+    joined = classes.join(sides, "label").mapInArrow(_join_groups(least, kind_of), GROUPS)  # made twice rather than written: the sizes take no vectors along
     key = ["label", "d", "group"]
     sizes = joined.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = joined.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
     tasks = dealt.withColumn("pair", F.explode(pairs)).select(*key, "first", "second", "pair.i", "pair.j", "own", "class", "members", "vector")
-    found = saved(tasks.groupBy(*key, "i", "j").applyInArrow(_verify(least), "a long, b long, links long"), "found")
+    found = saved(tasks.groupBy(*key, "i", "j").applyInArrow(_verify(least, kind_of), "a long, b long, links long"), "found")
     groups = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "class")
     counts = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     placed = classes.select("label", "vector", "class", "members", "first_id").join(groups, "class", "left").join(counts, "class", "left")
