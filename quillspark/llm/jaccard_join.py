@@ -404,7 +404,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     Rows are told apart by doc_id and text, so of two texts with one doc_id each has the fate of its own group. Rows
     without shingles and rows with a null doc_id stay; of repeated rows of the smallest doc_id all stay.
     """
-    found = _members(docs, k, percent, MAX_FREQUENT, 512, 24 << 20, MANY)
+    found = _members(docs, k, percent, MAX_FREQUENT, 512, 12 << 20, MANY)
     drop = saved(found.where("size > 0 AND doc_id <> component_id").select("row_key").distinct(), "drop")
     row_key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key.alias("row_key"))
