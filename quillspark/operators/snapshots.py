@@ -145,7 +145,7 @@ class Change:
         dealt = df.withColumn("bucket", refresh.bucket(key, self.tables.buckets)).hint("rebalance", F.col("bucket"))
         dealt = dealt.sortWithinPartitions("bucket", *sort).observe(seen, F.count(F.lit(1)).alias("rows"), *(F.sum(F.expr(e)).alias(n) for n, e in sums.items()))
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.tables.root}/{path}")
-        counted = {n: v or 0 for n, v in seen.get.items()}
+        counted = {"rows": 0} | {n: v or 0 for n, v in seen.get.items()}
         return {"path": path, "at": self.version, **counted} if counted["rows"] else None
 
     def live(self, table: str) -> DataFrame:
