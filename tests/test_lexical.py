@@ -37,6 +37,13 @@ def test_bm25_equals_fts5(spark, query):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_postings_of_a_long_text_take_no_square_of_memory(spark):
+    text = " ".join(f"w{i}" for i in range(30_000))
+    rows = spark.createDataFrame([(1, text)], "id long, body string")
+    found = lexical.build_postings(rows, "id", {"body": F.col("body")})
+    assert found.agg(F.count("*"), F.sum(F.get("positions", F.lit(0)))).first()[:] == (30_000, sum(range(30_000)))
+
+
 def test_postings_hold_all_positions(spark):
     rows = spark.createDataFrame(ROWS, "id long, head string, body string")
     got = {(r["row_id"], r["field"], r["term"]): r["positions"] for r in lexical.build_postings(rows, "id", {"body": F.col("body")}).collect()}
