@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,6 +76,14 @@ def test_record_text(spark):
     assert on(spark, R.without_locales(F.col("text")), block) == "Name:\n  Values:\n  - Language: English\n    String: \"Z\"\nKeys: 1\n# (1 non-English localisations omitted)"
 
 
+def test_display_name_of_a_long_record_takes_linear_time(spark):
+    entries = "".join(f"  - Language: L{i}\n    String: n{i}\n" for i in range(50))
+    block = f"A: 1\n{'B: 2' + chr(10)}Name:\n{entries}  - Language: English\n    String: 'far'\nC: 3\n" + "D: 4\n" * 300
+    before = time.time()
+    assert on(spark, R.display_name(F.col("text")), block) == "far"
+    assert time.time() - before < 30
+
+
 def test_refresh(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, h string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d"), (3, None)], "id int, h string")
