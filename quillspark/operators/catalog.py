@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Tags of claims.
 CONFIDENCE = ("verified", "community", "unverified", "upstream", "author")
 #: Marks of generated and superseded documents and of phases, in the first lines of a file.
@@ -27,9 +29,15 @@ def title_of(lines: Column) -> Column:
 
 def generated_of(lines: Column) -> Column:
     """struct(generated, generator) from the first six lines: a comment on the first, or a quote on any."""
-    head = F.slice(lines, 1, 6)
+    return let(F.slice(lines, 1, 6), _generated)
+
+
+def _generated(head: Column) -> Column:
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(head) - 1, F.lit(0))), lambda i: ((i == 0) & F.get(head, i).rlike(GENERATED_COMMENT)) | F.get(head, i).rlike(GENERATED_QUOTE))
-    at = F.get(places, F.lit(0))
+    return let(F.get(places, F.lit(0)), lambda at: _generator(head, at))
+
+
+def _generator(head: Column, at: Column) -> Column:
     near = F.concat_ws(" ", F.get(head, at), F.get(head, at + 1))
     name = F.regexp_replace(F.regexp_extract(near, GENERATOR, 1), "[.,;:]+$", "")
     return F.struct(at.isNotNull().alias("generated"), F.when(at.isNotNull() & (name != ""), name).alias("generator"))

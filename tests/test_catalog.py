@@ -84,6 +84,14 @@ def test_display_name_of_a_long_record_takes_linear_time(spark):
     assert time.time() - before < 30
 
 
+def test_header_of_a_long_text_takes_linear_time(spark):
+    text = "---\na: 1\nb: x\na: 2\n---\n\n" + "line\n" * 30_000
+    before = time.time()
+    got = files.with_header(spark.createDataFrame([(text,)], "text string")).first()
+    assert time.time() - before < 30
+    assert got["header"] == {"a": "2", "b": "x"} and got["body"] == "line\n" * 30_000
+
+
 def test_refresh(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, h string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d"), (3, None)], "id int, h string")
