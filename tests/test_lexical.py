@@ -2,6 +2,7 @@ import re
 import sqlite3
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -122,3 +123,36 @@ def test_evaluation(spark):
     expected = spark.createDataFrame([(1, "a"), (2, "d"), (2, "q"), (3, "y"), (4, "z")], "case_id int, doc_id string")
     got = evaluate.summary(evaluate.case_ranks(hits, expected.select("case_id").distinct(), expected)).first()
     assert (got["n_cases"], got["recall"], got["mrr"]) == (4, 0.5, round((1 + 0.5) / 4, 6))
+
+
+def test_tokens_of_ascii_are_those_of_the_general_rule(spark):
+    odd = [None, "", " ", "...", "Plain words_here, 1.5 x-y\n\tEND", "\x00a\x1fb\x7fC", "a" * 50, "Straße École 3", "ΣΊΣΥΦΟΣ İx", "x́y", "日本 ok", "p q"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id int, t string")
+    general = F.array_remove(F.split(F.coalesce(T.fold(F.col("t")), F.lit("")), T.BETWEEN), "")
+    got = rows.select("id", T.tokens(F.col("t")).alias("a"), general.alias("b")).orderBy("id").collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert got[4]["a"] == ["plain", "words", "here", "1", "5", "x", "y", "end"] and got[0]["a"] == []
+
+
+def test_postings_come_sorted_by_term_for_many_rows(spark):
+    """A writer that sorts by term finds runs that span rows; rows that pass the bound are cut apart and lose nothing."""
+    rows = spark.createDataFrame([(i, f"w{i % 7} common w{i % 3}") for i in range(100)], "id long, body string").coalesce(1)
+    found = [(r["term"], r["row_id"]) for r in lexical.build_postings(rows, "id", {"body": F.col("body")}).collect()]
+    assert found == sorted(found) and len(found) == sum(len({f"w{i % 7}", "common", f"w{i % 3}"}) for i in range(100))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([["x", "y", "x"], [], ["y"] * 9], pa.list_(pa.string()))], names=["row_id", "f_t"])
+    before, lexical.TOKENS = lexical.TOKENS, 2
+    try:
+        cut = [r for part in lexical._inverted(["t"])(iter([batch])) for r in part.to_pylist()]
+    finally:
+        lexical.TOKENS = before
+    assert [(r["row_id"], r["length"], r["term"], r["positions"]) for r in cut] == [("a", 3, "x", [0, 2]), ("a", 3, "y", [1]), ("c", 9, "y", list(range(9)))]
+
+
+def test_hits_are_made_once_where_they_are_kept(spark):
+    rows = spark.createDataFrame([(i, f"one two w{i % 5}") for i in range(50)], "id long, body string")
+    fields, asked = {"body": F.col("body")}, spark.createDataFrame([(0, "w1 two.w3 one")], "query_id int, q string")
+    phrases, stats = lexical.query_phrases(asked, "query_id", F.col("q")), lexical.corpus_stats(lexical.row_lengths(rows, "id", fields))
+    kept = []
+    keep = lambda df: kept.append(df) or spark.createDataFrame(df.collect(), df.schema)
+    score = lambda *more: sorted((r["row_id"], round(r["score"], 9)) for r in lexical.bm25(lexical.postings_of(rows, "id", fields, phrases), stats, phrases, {"body": 1.0}, *more).collect())
+    assert score(keep) == score() and len(kept) == 1
