@@ -22,7 +22,10 @@ PHASE = r"\*\*Phase (\d+), document (\d+)\.\*\*"
 
 def title_of(lines: Column) -> Column:
     """The first line that is neither blank nor a comment, if it is a level-1 heading: without backticks, spaces collapsed."""
-    first = F.get(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("<!--")), F.lit(0))
+    return let(F.get(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("<!--")), F.lit(0)), _title)
+
+
+def _title(first: Column) -> Column:
     heading = F.regexp_extract(first, r"^#\s+(.+?)\s*$", 1)
     return F.when(heading != "", F.trim(F.regexp_replace(F.replace(heading, F.lit("`"), F.lit("")), r"\s+", " ")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,15 @@ def manifest_rows(spark: SparkSession, manifest: dict) -> tuple[DataFrame, DataF
     )
 
 
-def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """One row for each claimed file: all header columns, dest, body, links_out, unresolved (target, reason).
 
     texts: (source, path, text); repos: (source, game, project, branch); provenance: (source, path, commit, dirty), what
     version control says of files. Manifest and repos are parameters of the job and go to every task.
     Plain text files are wrapped in a fence under their name and not searched for flags or links. A value comes from the
     file's override, else its mapping, else what the file or its source says; a null that is set counts.
-    A mapping of an unknown source, and two files with one destination, are errors.
+    A mapping of an unknown source, and two files with one destination, are errors. Texts, links and documents are each
+    used several times; keep(table, name) may store them, else they are made anew for each use.
     """
     spark = texts.sparkSession
     known = {r["source"] for r in repos.select("source").collect()}  # a few, like the mappings
@@ -62,8 +64,9 @@ def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: Da
     wrapped = F.concat(F.lit("# "), name, F.lit("\n\n```text\n"), F.regexp_replace("text", "\n$", ""), F.lit("\n```"))
     rows = S.with_header(rows.withColumn("text", F.when(is_txt, wrapped).otherwise(F.col("text"))))
     rows = rows.withColumn("body", F.when(is_txt, F.col("text")).otherwise(F.regexp_replace("body", r"^(?:[ \t]*\n)+", ""))).withColumn("doc_id", F.regexp_replace("dest", r"\.md$", ""))
-    links = C.extract_links(rows.where(~is_txt).select("doc_id", "source", "path", "body"))
-    found = C.resolve_links(links, rows.select("doc_id", "source", "game", "path"), texts.select("source", "path"))
+    rows = keep(rows.drop("text"), "routed")
+    links = keep(C.extract_links(rows.where(~is_txt).select("doc_id", "source", "path", "body")), "targets")
+    found = keep(C.resolve_links(links, rows.select("doc_id", "source", "game", "path"), texts.select("source", "path")), "links")
     dests = rows.select(F.col("doc_id").alias("resolved"), F.col("dest").alias("target_dest"))
     rows = C.rewrite_links(rows, found.join(dests, "resolved"))
     missing = found.where("reason is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", F.col("raw").alias("target"), "reason"))).alias("missing"))
@@ -73,7 +76,7 @@ def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: Da
     else:
         rows = rows.withColumn("commit", F.lit(None).cast("string")).withColumn("dirty", F.lit(False))
 
-    lines = F.split("body", "\n")
+    rows, lines = rows.withColumn("lines_", F.split("body", "\n")), F.col("lines_")  # split once
     flagged = lambda x, none: F.when(is_txt, none).otherwise(x)
     generated = C.generated_of(lines)
     slug = F.substring_index("doc_id", "/", -1)
@@ -97,7 +100,7 @@ def documents(texts: DataFrame, manifest: dict, repos: DataFrame, provenance: Da
         F.when(F.size(agent) > 0, agent).alias("agent_meta"), F.when(F.size(rest) > 0, rest).alias("source_frontmatter"), "dest", F.col("final").alias("body"), "links_out",
         F.coalesce(F.transform("missing", lambda x: F.struct(x["target"].alias("target"), x["reason"].alias("reason"))), F.array().cast("array<struct<target:string,reason:string>>")).alias("unresolved"),
     )
-    return C.unique_titles(done)
+    return C.unique_titles(keep(done, "documents"))
 
 
 def _json(value: Column) -> Column:

@@ -67,3 +67,20 @@ def test_corpus(spark):
     assert [r["id"] for r in sync.missing_files(catalogued, texts).collect()] == ["d/b"]
     bare = {r["doc_id"]: r["title"] for r in sync.corpus(None, texts, own).collect()}
     assert bare == {"docs/a": "New", "curated/x": "curated/x"}
+
+
+def test_documents_are_made_once_where_tables_are_kept(spark):
+    """No table that is kept makes an earlier one again: after each, neither texts are parsed nor links extracted anew."""
+    texts = spark.createDataFrame(TEXTS, "source string, path string, text string")
+    repos = spark.createDataFrame([("r", "g", "rp", "main"), ("q", "both", None, "main")], "source string, game string, project string, branch string")
+    names = []
+
+    def keep(df, name):
+        names.append(name)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    got = sync.documents(texts, MANIFEST, repos, keep=keep)
+    assert names == ["routed", "targets", "links", "documents"]
+    assert "PythonUDF" not in got._jdf.queryExecution().optimizedPlan().toString()
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(got) == order(sync.documents(texts, MANIFEST, repos))
