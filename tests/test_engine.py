@@ -165,3 +165,18 @@ def test_stream_of_an_index(spark, tmp_path):
     key = lambda e: {(r["row_id"], r["field"], r["term"], tuple(r["positions"])) for r in e.chunks.postings().collect()}
     assert key(engine) == key(fresh) and engine.chunks.stats().collect() == fresh.chunks.stats().collect()
     assert engine.apply(spark.createDataFrame([(2, "B", "new hall", 6, False)], schema)) == 1 and engine.search("hall").first()["doc_id"] == "2"
+
+
+def test_many_are_fetched_in_one_plan(spark, tmp_path):
+    """What fetch gives for each, also of documents that changed, and of one that is asked twice; the plan doesn't grow with what is asked."""
+    engine = Engine(spark, str(tmp_path), buckets=4)
+    docs = lambda word: spark.createDataFrame([(f"d{i}", f"D{i}", f"# D{i}\n\n" + f"{word} {i} " * (i * 300 + 1) + "\n\n## Two\n\nend " * (i % 3) * 40) for i in range(8)], "doc_id string, title string, body string")
+    engine.build(docs("old"))
+    engine.refresh(docs("new").where("doc_id <> 'd7'"))
+    asked = [("d0", None), ("d5", None), ("d5", 1), ("d7", None), ("d3", 50), ("d5", None)]
+    many = engine.fetch_many(spark.createDataFrame(asked, "doc_id string, chunk int"), most=900)
+    shape = lambda rows: sorted(map(tuple, rows), key=str)
+    assert shape(many.collect()) == shape((d, c, *r) for d, c in asked for r in engine.fetch(d, c, most=900).collect())
+    assert {r["doc_id"] for r in many.collect()} == {"d0", "d5"} and any(r["text"] is None for r in many.collect())
+    plan = lambda n: engine.fetch_many(spark.createDataFrame(asked[:n], "doc_id string, chunk int"))._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert plan(1) == plan(6)
