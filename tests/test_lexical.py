@@ -156,3 +156,11 @@ def test_hits_are_made_once_where_they_are_kept(spark):
     keep = lambda df: kept.append(df) or spark.createDataFrame(df.collect(), df.schema)
     score = lambda *more: sorted((r["row_id"], round(r["score"], 9)) for r in lexical.bm25(lexical.postings_of(rows, "id", fields, phrases), stats, phrases, {"body": 1.0}, *more).collect())
     assert score(keep) == score() and len(kept) == 1
+
+
+def test_rows_with_a_term_are_counted_without_their_ids(spark):
+    """A term in two fields of a row counts once; the plan has no aggregation by row."""
+    rows = spark.createDataFrame([(1, "a b", "b a b"), (2, "", "a"), (3, None, "c c"), (4, "c", None), (5, "", "")], "id int, title string, body string")
+    found = lexical.counts(lexical.build_postings(rows, "id", {"title": F.col("title"), "body": F.col("body")}))
+    assert {(r["term"], r["df"], r["cf"], r["places"]) for r in found.collect()} == {("a", 2, 3, 0 + 1 + 0), ("b", 1, 3, 1 + 0 + 2), ("c", 2, 3, 0 + 1 + 0)}
+    assert "row_id" not in str(found._jdf.queryExecution().optimizedPlan()).split("MapInArrow")[0]
