@@ -88,3 +88,15 @@ def test_write_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert files.scan_tree(spark, str(tmp_path / "none"), "*.yaml", 10).count() == 0
     assert files.scan_tree(spark, str(tmp_path / "out"), "*.txt", 10).where(F.col("head") == "x�").count() == 1
+
+
+def test_tasks_list_folders_at_any_depth(spark, tmp_path):
+    """Files at the root, on each level and below those that are dealt are found once each, and the driver lists none of them."""
+    made = {"/".join(["d"] * n + [f"{n}-{i}.yaml"]): b"Name: %d" % n for n in range(7) for i in range(3)}
+    for path, content in made.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    (tmp_path / "empty.yaml").mkdir()  # a folder by that name is no file
+    found = files.scan_tree(spark, str(tmp_path), "*.yaml", 5)
+    assert "file_heads" not in found._jdf.queryExecution().optimizedPlan().toString()  # whose partitions are lists of the driver
+    assert sorted((r["path"], r["size"], r["head"]) for r in found.collect()) == sorted((p, 7, "Name:") for p in made)
