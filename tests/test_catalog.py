@@ -76,6 +76,16 @@ def test_record_text(spark):
     assert on(spark, R.without_locales(F.col("text")), block) == "Name:\n  Values:\n  - Language: English\n    String: \"Z\"\nKeys: 1\n# (1 non-English localisations omitted)"
 
 
+def test_display_name_splits_no_more_than_its_window(spark):
+    """What stands before the key and beyond the window is not split; only a line feed starts a line."""
+    name = lambda text: on(spark, R.display_name(F.col("text")), text)
+    block = "  - x\n" * 117 + "  - Language: English\n    String: far\n" + "rest\n" * 9
+    assert name("# filler\n" * 600 + "Name:\n" + block) == "far" and name("Name:\n  - x\n  - x\n" + block) == ""
+    assert name("a\x85Name: no\n Name: no\nFULL: yes\r\nName: later") == "yes" and name(None) == ""
+    plan = spark.range(1).select(R.display_name(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "121)" in plan and "-1))" not in plan
+
+
 def test_display_name_of_a_long_record_takes_linear_time(spark):
     entries = "".join(f"  - Language: L{i}\n    String: n{i}\n" for i in range(50))
     block = f"A: 1\n{'B: 2' + chr(10)}Name:\n{entries}  - Language: English\n    String: 'far'\nC: 3\n" + "D: 4\n" * 300
