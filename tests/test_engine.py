@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.api import Engine
 from quillspark.operators.filters import Filters
@@ -180,3 +181,17 @@ def test_many_are_fetched_in_one_plan(spark, tmp_path):
     assert {r["doc_id"] for r in many.collect()} == {"d0", "d5"} and any(r["text"] is None for r in many.collect())
     plan = lambda n: engine.fetch_many(spark.createDataFrame(asked[:n], "doc_id string, chunk int"))._jdf.queryExecution().optimizedPlan().toString().count("Relation")
     assert plan(1) == plan(6)
+
+
+def test_documents_stored_alone_are_indexed_by_the_next_refresh(spark, tmp_path):
+    """Plan and links need documents alone; a refresh then indexes unchanged ones too, as one that builds does."""
+    docs = spark.createDataFrame([(f"d{i}", f"D{i}", f"word{i} same", [f"d{i + 1}"]) for i in range(4)] + [(None, "none", "x", [])], "doc_id string, title string, body string, links_out array<string>")
+    new = docs.where("doc_id is null or doc_id <> 'd0'").withColumn("body", F.when(F.col("doc_id") == "d1", "other").otherwise(F.col("body"))).where("doc_id is not null")
+    one, two = Engine(spark, f"{tmp_path}/one", buckets=2), Engine(spark, f"{tmp_path}/two", buckets=2)
+    assert one.store(docs) == 4 and not one.tables.exists("chunks_postings")
+    assert {(r["doc_id"], r["status"]) for r in one.plan(new).collect()} == {("d0", "removed"), ("d1", "changed"), ("d2", "unchanged"), ("d3", "unchanged")}
+    assert {(r["doc_id"], r["linked"], r["title"]) for r in one.links(docs.select("doc_id")).collect()} == {("d0", "d1", "D1"), ("d1", "d2", "D2"), ("d2", "d3", "D3"), ("d3", "d4", None)}
+    assert one.refresh(new) == {"added": 0, "changed": 1, "removed": 1, "unchanged": 2, "embedded": 0}
+    two.build(new)
+    key = lambda e: sorted((r["row_id"], r["term"], tuple(r["positions"])) for r in e.chunks.postings().collect())
+    assert key(one) == key(two) and one.stats().first() == two.stats().first()
