@@ -73,6 +73,27 @@ def test_no_more_than_the_head_is_read(tree, monkeypatch):
     assert rows["long.yaml"] == "y" * 8192 and rows["Food/GroupRecordData.yaml"] == ""
 
 
+def test_a_file_that_cannot_be_read_is_no_empty_head(tree, monkeypatch):
+    """A scan ends at it; the data source by itself ends too, but tells a file that is gone from an empty one by its size."""
+    root, _ = tree
+    reader = heads.HeadReader({"path": str(root), "glob": "*.yaml", "bytes": "8192"})
+    (part,) = reader.partitions()
+    (root / "Food/GroupRecordData.yaml").unlink()
+    with pytest.raises(FileNotFoundError):
+        list(heads.read_heads(str(root), part.files, 8192))
+    sizes = {r["path"]: (r["size"], r["mtime"] is None) for batch in reader.read(part) for r in batch.to_pylist()}
+    assert sizes["Food/GroupRecordData.yaml"] == (None, True) and sizes["Food/Tea - 00012EB9_Base.esm/RecordData.yaml"] == (0, False)
+
+    class System:
+        def open_input_file(self, path):
+            raise PermissionError(path)
+
+    monkeypatch.setattr(heads, "opened", lambda root: (System(), root.rstrip("/")))
+    for read in (lambda: reader.read(part), lambda: heads.read_heads(str(root), part.files, 8192)):
+        with pytest.raises(PermissionError):
+            list(read())
+
+
 def test_records_and_scripts(spark, tree):
     root, made = tree
     found = {r["editor_id"]: r["name_en"] for r in files.read_records(spark, str(root), "s", "g").collect()}
