@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.api import Engine
+from quillspark.operators import refresh
 from quillspark.operators.filters import Filters
 from quillspark.sources import files
 
@@ -195,3 +197,30 @@ def test_documents_stored_alone_are_indexed_by_the_next_refresh(spark, tmp_path)
     two.build(new)
     key = lambda e: sorted((r["row_id"], r["term"], tuple(r["positions"])) for r in e.chunks.postings().collect())
     assert key(one) == key(two) and one.stats().first() == two.stats().first()
+
+
+def test_a_build_moves_no_chunks_and_no_postings(spark, tmp_path, monkeypatch):
+    """Documents are dealt once; chunks and postings are written where they are made, and texts are not stored beside their breadcrumb again."""
+    plans, write = {}, refresh.write_parquet
+
+    def seen(df, path, by=None):
+        plans.setdefault(path.split("/")[-2], []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, path, by)
+
+    monkeypatch.setattr(refresh, "write_parquet", seen)
+    engine = Engine(spark, str(tmp_path), embed=lambda texts: [[float(len(t))] for t in texts], buckets=2)
+    engine.build(_docs(spark, [(f"d{i}", f"D{i}", f"word{i} and things", None, None) for i in range(9)]))
+    assert len(plans["chunks"]) == len(plans["chunks_postings"]) == 1
+    assert not any(node in plans[name][0] for name in ("chunks", "chunks_postings") for node in ("Rebalance", "Join", "Repartition true")), plans
+    assert "embed_text" not in engine.chunks.rows().columns and {len("D1\n\nword1 and things")} == {int(r["vec"][0]) for r in engine.table("vectors").collect()}
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path):
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before, setting = blocks(), spark.conf.get(refresh.SWEEP, None)
+    refresh.write_parquet(spark.range(1000).repartition(7), f"{tmp_path}/t")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and spark.conf.get(refresh.SWEEP, None) == setting and spark.read.parquet(f"{tmp_path}/t").count() == 1000
