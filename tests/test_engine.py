@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.api import Engine
-from quillspark.operators import refresh
+from quillspark.operators import lexical, refresh, snapshots
 from quillspark.operators.filters import Filters
 from quillspark.sources import files
 
@@ -224,3 +224,22 @@ def test_shuffle_files_go_with_the_write(spark, tmp_path):
             break
         time.sleep(0.1)
     assert blocks() <= before and spark.conf.get(refresh.SWEEP, None) == setting and spark.read.parquet(f"{tmp_path}/t").count() == 1000
+
+
+def test_hits_move_once_to_meet_keys_that_are_gone(spark, tmp_path, monkeypatch):
+    """With too many keys to be sent to every task, hits and not postings meet them, where hits lie already; what is found is as in a new index."""
+    monkeypatch.setattr(snapshots, "MOST_SENT", 0)
+    docs = lambda word, n: _docs(spark, [(f"d{i}", f"D{i}", f"{word} red dragon {i} hall" if i < n else f"old red dragon {i} hall", None, None) for i in range(12)])
+    embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    engine, fresh = (Engine(spark, f"{tmp_path}/{name}", embed=embed, buckets=2) for name in ("i", "f"))
+    engine.build(docs("old", 0))
+    assert engine.refresh(docs("newer", 3))["embedded"] == 3
+    fresh.build(docs("newer", 3))
+    asked = spark.createDataFrame([(0, "red dragon"), (1, "old dragon.3"), (2, "newer hall")], "query_id int, q string")
+    key = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 9), r["text"]) for r in df.collect())
+    assert key(engine.search_many(asked, 9)) == key(fresh.search_many(asked, 9))
+    vectors = lambda e: sorted((r["chunk_id"], tuple(r["vec"])) for r in e.table("vectors").collect())
+    assert vectors(engine) == vectors(fresh)
+    hits = engine.chunks.hits(lexical.query_phrases(asked, "query_id", F.col("q")), {"breadcrumb": 2.0, "text": 1.0})
+    exchanges = [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in exchanges if "regexp_replace(row_id" in line]) == 2 and not [line for line in exchanges if "phrase" in line and "row_id" in line], exchanges

@@ -164,3 +164,13 @@ def test_rows_with_a_term_are_counted_without_their_ids(spark):
     found = lexical.counts(lexical.build_postings(rows, "id", {"title": F.col("title"), "body": F.col("body")}))
     assert {(r["term"], r["df"], r["cf"], r["places"]) for r in found.collect()} == {("a", 2, 3, 0 + 1 + 0), ("b", 1, 3, 1 + 0 + 2), ("c", 2, 3, 0 + 1 + 0)}
     assert "row_id" not in str(found._jdf.queryExecution().optimizedPlan()).split("MapInArrow")[0]
+
+
+def test_pairs_of_query_and_row_stay_in_their_task(spark):
+    rows = spark.createDataFrame([(i, f"red word{i % 3} dragon") for i in range(30)], "id int, body string")
+    asked = spark.createDataFrame([(q, f"red word{q % 3} red") for q in range(9)], "id int, q string")
+    phrases, fields = lexical.query_phrases(asked, "id", F.col("q")), {"body": F.col("body")}
+    scores = lexical.bm25(lexical.build_postings(rows, "id", fields), lexical.corpus_stats(lexical.row_lengths(rows, "id", fields)), phrases, {"body": 1.0})
+    exchanges = [line for line in scores._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in exchanges if "query_id" in line and "row_id" in line] and [line for line in exchanges if "hashpartitioning(row_id" in line]
+    assert scores.columns == ["query_id", "row_id", "score"] and scores.count() == 9 * 30
